@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import aggregates, tables  # noqa: F401
+from . import aggregates, geometry, tables  # noqa: F401

@@ -78,6 +78,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if sql is not None:
-            ORACLES[name] = with_inputs(sql)
+            # Lower-case ``by`` is only ever a coordinate here, and a reserved word there.
+            ORACLES[name] = re.sub(r'(?<!["\'])\bby\b', '"by"', with_inputs(sql))
         return fn
     return wrap

@@ -71,7 +71,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     broadcast.  ``how`` may be inner, left, left_semi or left_anti.
     """
     hot = F.broadcast(
-        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_hot_rows"))
+        .filter(F.col("_hot_rows") > hot_rows)
         .select(*on, F.lit(True).alias("_hot")))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
     salted = (left.join(hot, on, "left")
