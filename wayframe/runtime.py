@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Rows of one join key above which its rows are spread over several tasks.
 HOT_ROWS = 1_000_000
 SALTS = 64
+# Inputs the optimizer puts below this many bytes cannot hold a key worth salting.
+SMALL_BYTES = 16 * 1024 * 1024
 
 _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -62,14 +64,22 @@ def cut(df: DataFrame, **metrics: Column) -> DataFrame | tuple[DataFrame, dict]:
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of a DataFrame as the optimizer estimates it, without running anything."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
               hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """Equi-join whose heavy ``left`` keys are spread over ``salts`` tasks.
 
-    Only keys with more than ``hot_rows`` left rows are salted, and only their right rows
-    are repeated.  There are at most ``rows / hot_rows`` such keys, which bounds the
-    broadcast.  ``how`` may be inner, left, left_semi or left_anti.
+    A small ``left`` (by the optimizer's estimate) is joined plainly, under the runtime's own
+    skew handling.  Otherwise only keys with more than ``hot_rows`` left rows are salted, and only their right rows
+    are repeated; there are at most ``rows / hot_rows`` such keys, which
+    bounds the broadcast.  ``how`` may be inner, left, left_semi or left_anti.
     """
+    if hot_rows == HOT_ROWS and estimated_bytes(left) < SMALL_BYTES:
+        return left.join(right, on, how)
     hot = F.broadcast(
         left.groupBy(*on).agg(F.count(F.lit(1)).alias("_hot_rows"))
         .filter(F.col("_hot_rows") > hot_rows)
