@@ -103,7 +103,7 @@ CODED_ROUTE = r"^([A-Z]{2,4})?[\s-]*([0-9]{1,4}|[A-Z]{2,4})[\s-]*([A-Z])?$"
 
 def coded_routes(value: Column) -> Column:
     """P-21: a coded list as distinct (prefix, number, toll); numbers padded to three digits."""
-    pieces = F.filter(F.transform(F.split(F.upper(F.coalesce(T.null_if_sentinel(value), F.lit(""))), r"[/,;]+"), F.trim),
+    pieces = F.filter(F.transform(F.split(F.upper(F.coalesce(T.null_if_sentinel(value), F.lit(""))), r"[/,;]+"), lambda x: F.trim(x)),
                       lambda p: p.rlike(CODED_ROUTE))
 
     def read(p: Column) -> Column:
@@ -118,7 +118,7 @@ def coded_routes(value: Column) -> Column:
 
 def rejected_codes(value: Column) -> Column:
     """P-21: the pieces of a coded list that name no route."""
-    pieces = F.transform(F.split(F.upper(F.coalesce(T.null_if_sentinel(value), F.lit(""))), r"[/,;]+"), F.trim)
+    pieces = F.transform(F.split(F.upper(F.coalesce(T.null_if_sentinel(value), F.lit(""))), r"[/,;]+"), lambda x: F.trim(x))
     return F.filter(pieces, lambda p: (p != "") & ~p.rlike(CODED_ROUTE))
 
 
@@ -345,7 +345,7 @@ def composite_key(text: Column) -> Column:
 
     Returns struct(routes, prefixes, toll, shared).
     """
-    tokens = F.filter(F.transform(F.split(T.fold(F.coalesce(text, F.lit(""))), "-"), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(T.fold(F.coalesce(text, F.lit(""))), "-"), lambda x: F.trim(x)), lambda t: t != "")
     blank = F.struct(F.lit(None).cast("string").alias("prefix"), F.array().cast("array<string>").alias("routes"),
                      F.array().cast("array<string>").alias("prefixes"), F.lit(False).alias("toll"))
 

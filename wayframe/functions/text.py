@@ -85,7 +85,7 @@ def mentioned_numbers(text: Column, pattern: str) -> Column:
 
 def cell_list(text: Column, pattern: str = r"[,;/]") -> Column:
     """P-37: a list cell as trimmed, non-empty items."""
-    return F.filter(F.transform(F.split(text, pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def other_names(*names: Column) -> Column:

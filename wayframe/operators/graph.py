@@ -90,7 +90,8 @@ def extremities(nodes: DataFrame, comp: str = "comp") -> DataFrame:
     Equally far nodes go to the least id.
     """
     def farthest(origin: DataFrame) -> DataFrame:
-        d = F.struct(haversine(F.col("_ox"), F.col("_oy"), F.col("lon"), F.col("lat")).alias("d"), (-F.col("node")).alias("n"))
+        # Rounded, so that the order in which a centre is summed cannot decide between equals.
+        d = F.struct(F.round(haversine(F.col("_ox"), F.col("_oy"), F.col("lon"), F.col("lat")), 8).alias("d"), (-F.col("node")).alias("n"))
         pick = F.max_by(F.struct("node", "lon", "lat"), d).alias("_p")
         return nodes.join(origin, comp).groupBy(comp).agg(pick).select(
             comp, F.col("_p.node").alias("_n"), F.col("_p.lon").alias("_ox"), F.col("_p.lat").alias("_oy"))
