@@ -250,12 +250,16 @@ def mileage_by_band(t):
     return M.mileage_by_band(t.observed, "route", "src", "kph", "km")
 
 
-@query("A20_structure_share", f"""WITH w AS (SELECT route, structure, km * CASE WHEN oneway = 1 THEN 0.5 ELSE 1 END AS w, lanes * CASE WHEN oneway = 1 THEN 2 ELSE 1 END AS across FROM observed),
-s AS (SELECT route, sum(w) AS a, sum(CASE WHEN structure = 'b' THEN w ELSE 0 END) AS b, sum(CASE WHEN structure = 't' THEN w ELSE 0 END) AS t, sum(across * w) AS lw,
-  sum(CASE WHEN across IS NOT NULL THEN w END) AS ll FROM w GROUP BY route)
-SELECT route, {pct('b', 'a', 1)} AS bridge_share, {pct('t', 'a', 1)} AS tunnel_share, CASE WHEN ll / a * 100 >= 20 THEN floor(lw / ll * 10 + 0.5) / 10.0 END AS lanes FROM s""")
+def _share(c: str) -> str:
+    return f"least(100.0::DOUBLE, {pct(c, 'a', 1)})"
+
+
+@query("A20_structure_share", f"""WITH w AS (SELECT route, route_km, structure, km * CASE WHEN oneway = 1 THEN 0.5 ELSE 1 END AS w, lanes * CASE WHEN oneway = 1 THEN 2 ELSE 1 END AS across FROM observed),
+s AS (SELECT route, greatest(max(route_km), 0.1) AS a, sum(CASE WHEN structure = 'b' THEN w ELSE 0 END) AS b, sum(CASE WHEN structure = 't' THEN w ELSE 0 END) AS t, sum(across * w) AS lw,
+  sum(CASE WHEN across IS NOT NULL THEN w ELSE 0 END) AS ll FROM w GROUP BY route)
+SELECT route, {_share('b')} AS bridge_share, {_share('t')} AS tunnel_share, {_share('ll')} AS lanes_cover, CASE WHEN {_share('ll')} >= 20 THEN floor(lw / ll * 10 + 0.5) / 10.0 END AS lanes FROM s""")
 def structure_share(t):
-    return M.structure_share(t.observed, "route", "km", "structure", "lanes", "oneway")
+    return M.structure_share(t.observed, "route", "km", "structure", "lanes", "oneway", "route_km")
 
 
 @query("A30_decade_increments", """WITH y AS (SELECT key, year, max(value) AS v FROM yearly GROUP BY key, year),

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import aggregates, geometry, networks, rules, tables, texts  # noqa: F401
+from . import aggregates, geometry, jobs, networks, rules, tables, texts  # noqa: F401

@@ -28,9 +28,8 @@ def top_names(t):
     return S.top_names(t.routes, ["sys"], "name")
 
 
-@query("A23_toll_gantries", """WITH d AS (SELECT l_partkey AS number, l_returnflag AS line, l_linestatus AS dir, count(*) AS n, sum(l_quantity) AS km FROM lineitem GROUP BY 1, 2, 3),
-l AS (SELECT number, line, max(n) AS n, max(km) AS km FROM d GROUP BY 1, 2)
-SELECT number, CAST(sum(n) AS BIGINT) AS gantries, round(sum(km), 3) AS km FROM l GROUP BY number""")
+@query("A23_toll_gantries", """WITH d AS (SELECT l_partkey AS number, l_returnflag AS line, l_linestatus AS dir, count(*) AS n, sum(l_quantity) AS km FROM lineitem GROUP BY 1, 2, 3)
+SELECT number, line, CAST(max(n) AS BIGINT) AS gantries, floor(max(km) * 10 + 0.5) / 10.0 AS km FROM d GROUP BY 1, 2""")
 def toll_gantries(t):
     g = t.lineitem.select(F.col("l_partkey").alias("number"), F.col("l_returnflag").alias("line"), F.col("l_linestatus").alias("dir"), F.col("l_quantity").alias("km"))
     return S.toll_points(g, "number", "line", "dir", "km")

@@ -272,19 +272,22 @@ def mileage_by_band(rows: DataFrame, key: str, source: str, kph: str, km: str) -
             .agg(F.round(F.sum(F.col(km) / KM_PER_MI), 3).alias("mi")))
 
 
-def structure_share(ways: DataFrame, route: str, length: str, structure: str, lanes: str, oneway: str,
+def structure_share(ways: DataFrame, route: str, length: str, structure: str, lanes: str, oneway: str, route_km: str,
                     min_cover: float = 20) -> DataFrame:
-    """A-20: bridge and tunnel share and mean lanes; a one-way carriageway counts half its length."""
-    w = F.col(length) * F.when(F.col(oneway) == 1, 0.5).otherwise(1.0)
-    across = F.when(F.col(oneway) == 1, F.col(lanes) * 2).otherwise(F.col(lanes))
+    """A-20: bridge and tunnel share of a route's length, and mean lanes if read over enough of it.
+
+    One carriageway of a divided road is half its length, and has one direction's lanes.
+    """
+    one = F.col(oneway) == 1
+    w = F.col(length) * F.when(one, 0.5).otherwise(1.0)
+    across = F.col(lanes) * F.when(one, 2).otherwise(1)
     sums = ways.groupBy(route).agg(
-        F.sum(w).alias("_all"), F.sum(F.when(F.col(structure) == "b", w).otherwise(0.0)).alias("_b"),
-        F.sum(F.when(F.col(structure) == "t", w).otherwise(0.0)).alias("_t"),
-        F.sum(across * w).alias("_lw"), F.sum(F.when(F.col(lanes).isNotNull(), w)).alias("_ll"))
-    enough = F.col("_ll") / F.col("_all") * 100 >= min_cover
-    return sums.select(route, percent(F.col("_b"), F.col("_all"), 1).alias("bridge_share"),
-                       percent(F.col("_t"), F.col("_all"), 1).alias("tunnel_share"),
-                       F.when(enough, js_round(F.col("_lw") / F.col("_ll") * 10) / 10.0).alias("lanes"))
+        F.greatest(F.max(route_km), F.lit(0.1)).alias("_all"), F.sum(F.when(F.col(structure) == "b", w).otherwise(0.0)).alias("_b"),
+        F.sum(F.when(F.col(structure) == "t", w).otherwise(0.0)).alias("_t"), F.sum(across * w).alias("_lw"),
+        F.sum(F.when(F.col(lanes).isNotNull(), w).otherwise(0.0)).alias("_ll"))
+    share = lambda c: F.least(F.lit(100.0), percent(F.col(c), F.col("_all"), 1))
+    return sums.select(route, share("_b").alias("bridge_share"), share("_t").alias("tunnel_share"), share("_ll").alias("lanes_cover"),
+                       F.when(share("_ll") >= min_cover, js_round(F.col("_lw") / F.col("_ll") * 10) / 10.0).alias("lanes"))
 
 
 def climb(profile: DataFrame, route: str, seq: str, height: str) -> DataFrame:

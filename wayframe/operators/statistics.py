@@ -44,10 +44,9 @@ def top_names(rows: DataFrame, keys: list[str], name: str, k: int = 4) -> DataFr
 
 
 def toll_points(gantries: DataFrame, number: str, line: str, direction: str, km: str) -> DataFrame:
-    """A-23: gantries and charged km per line and direction, then the larger direction."""
+    """A-23: gantries and charged km per line of a road: the larger of its directions, which are not paired."""
     per_dir = gantries.groupBy(number, line, direction).agg(F.count(F.lit(1)).alias("_n"), F.sum(km).alias("_km"))
-    per_line = per_dir.groupBy(number, line).agg(F.max("_n").alias("_n"), F.max("_km").alias("_km"))
-    return per_line.groupBy(number).agg(F.sum("_n").alias("gantries"), F.round(F.sum("_km"), 3).alias("km"))
+    return per_dir.groupBy(number, line).agg(F.max("_n").alias("gantries"), (js_round(F.max("_km") * 10) / 10.0).alias("km"))
 
 
 def fare_bands(fares: DataFrame, facility: str, vehicle: str, fare: str, updated: str, wanted: str) -> DataFrame:
