@@ -78,6 +78,15 @@ def designations(name: Column, road_type: Column, state: Column, lettered: list[
     plain = F.regexp_replace(plain, r"(?i)\b([A-Z]) (\d)", "$1$2")
     plain = F.regexp_replace(plain, r"(?i)\b(\d) ([A-Z])(?![A-Za-z])", "$1$2")
 
+    nothing = F.array().cast(_ROUTE_TYPE)
+    # Bound by a lambda, so that the cleaned name is worked out once and not once per rule.
+    read = F.get(F.transform(F.array(plain), lambda p: F.coalesce(*_tried(p, st), nothing)), 0)
+    return F.when(wanted, read).otherwise(nothing)
+
+
+def _tried(plain: Column, st: Column) -> list[Column]:
+    """What each naming rule makes of a cleaned name; null where it does not apply."""
+    nothing = F.array().cast(_ROUTE_TYPE)
     tried = []
     for rule_state, system, pattern, variant, number, prefix in NAME_RULES:
         last = 3 if variant else 2
@@ -91,9 +100,8 @@ def designations(name: Column, road_type: Column, state: Column, lettered: list[
         found = F.transform(F.split(F.upper(F.regexp_extract(plain, pattern, number)), "/"), lambda n: F.struct(
             F.lit(system).alias("system"), F.concat(F.lit(prefix), n).alias("number"), qualifier.alias("qualifier")))
         applies = plain.rlike(pattern) if rule_state is None else (st == rule_state) & plain.rlike(pattern)
-        tried.append(F.when(applies, F.when(readable, found).otherwise(F.array().cast(_ROUTE_TYPE))))
-    nothing = F.array().cast(_ROUTE_TYPE)
-    return F.when(wanted, F.coalesce(*tried, nothing)).otherwise(nothing)
+        tried.append(F.when(applies, F.when(readable, found).otherwise(nothing)))
+    return tried
 
 
 # ---------------------------------------------------------------- coded fields (P-21, P-22)

@@ -7,6 +7,8 @@ and a lost executor repeats one round at most.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,10 +149,8 @@ def bridges(nodes: DataFrame, edges: DataFrame, group: str, budget_km: float, an
                      .select(group, "_gap", F.coalesce("_nca", "ca").alias("x"), F.coalesce("_ncb", "cb").alias("y")).filter(F.col("x") != F.col("y"))
                      .groupBy(group, F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).agg(F.min("_gap").alias("_gap")))
             cand, n = cut(moved, rows=F.count(F.lit(1)))
-    out = found[0] if found else nodes.sparkSession.createDataFrame([], start.select(group, F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("km")).schema)
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    none = start.filter(F.lit(False)).select(group, F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("km"))
+    return reduce(lambda a, b: a.unionByName(b), found, none)
 
 
 def chains(edges: DataFrame, stops: DataFrame | None = None) -> DataFrame:
@@ -288,12 +288,12 @@ def corridors(pieces: DataFrame, states: DataFrame, adjacency: DataFrame, number
     beside = (here.join(adjacency, state).select(number, state, F.col("beside"))
               .join(here.select(number, F.col(state).alias("beside")), [number, "beside"])
               .select(spot(number, state).alias("a"), spot(number, "beside").alias("b")))
-    comps = connected(own.unionByName(beside))
+    comps = connected(own.unionByName(beside)).select("node", F.col("comp").alias("_c"))
     # Name a corridor after its least piece.
     members = pieces.select(number, piece, F.concat_ws("|", F.lit("p"), F.col(piece).cast("string")).alias("node")).join(comps, "node", "left")
-    members = members.withColumn("comp", F.coalesce("comp", "node"))
-    least = members.groupBy("comp").agg(F.min(piece).alias("corridor"))
-    return members.join(least, "comp").select(number, piece, "corridor")
+    members = members.withColumn("_c", F.coalesce("_c", "node"))
+    least = members.groupBy("_c").agg(F.min(piece).alias("corridor"))
+    return members.join(least, "_c").select(number, piece, "corridor")
 
 
 def nearest_node(nodes: DataFrame, points: DataFrame, task: str) -> DataFrame:

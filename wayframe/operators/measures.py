@@ -328,5 +328,4 @@ def completion_curve(lines: DataFrame, year: str, keys: list[str] | None = None)
     """A-31: how many dated lines were complete by each year."""
     keys = keys or []
     per_year = lines.filter(F.col(year).isNotNull()).groupBy(*keys, year).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    return running_sum(per_year, keys or [], year, "_n", "complete") if keys else \
-        running_sum(per_year.withColumn("_all", F.lit(0)), ["_all"], year, "_n", "complete").drop("_all")
+    return running_sum(per_year, keys, year, "_n", "complete")

@@ -17,8 +17,9 @@ BLOCK = 4096
 BUCKETS = 64
 
 
-def _keyed(keys: list[str]) -> tuple[list[str], dict[str, Column]]:
-    return (keys, {}) if keys else (["_all"], {"_all": F.lit(0)})
+def _keyed(keys: list[str], column: str) -> tuple[list[str], dict[str, Column]]:
+    """The keys, or one key for everything; it is computed from a column, as a constant would be joined without a key."""
+    return (keys, {}) if keys else (["_all"], {"_all": F.pmod(F.hash(F.col(column)), F.lit(1))})
 
 
 def value_buckets(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
@@ -42,7 +43,7 @@ def positions(df: DataFrame, keys: list[str], order: list[Column], lead: str, de
     Rows are numbered inside range buckets of ``lead``; the counts of the buckets before
     give the rest (W-1, A-35).
     """
-    keys, extra = _keyed(keys)
+    keys, extra = _keyed(keys, lead)
     df = df.withColumns(extra)
     bucketed = value_buckets(df, keys, lead, buckets)
     before = W.partitionBy(*keys).orderBy(F.col("_bucket").desc() if descending else F.col("_bucket")) \
@@ -69,7 +70,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple
 
     Equal values are merged before anything is shuffled by key.
     """
-    keys, extra = _keyed(keys)
+    keys, extra = _keyed(keys, value)
     df = df.withColumns(extra).filter(F.col(value).isNotNull())
     amount = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
     merged = df.groupBy(*keys, value).agg(amount.alias("_w"))
@@ -114,13 +115,14 @@ def quantiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple
 def running_sum(df: DataFrame, keys: list[str], seq: str, value: str, name: str,
                 block: int = BLOCK) -> DataFrame:
     """Inclusive running sum of ``value`` in the order of the whole number ``seq`` (P-4, A-30, A-31)."""
-    blocked = df.withColumn("_block", F.floor(F.col(seq) / block))
+    keys, extra = _keyed(keys, seq)
+    blocked = df.withColumns(extra).withColumn("_block", F.floor(F.col(seq) / block))
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = (blocked.groupBy(*keys, "_block").agg(F.sum(value).alias("_bw"))
               .withColumn("_start", F.coalesce(F.sum("_bw").over(before), F.lit(0.0))).drop("_bw"))
     inside = W.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (blocked.withColumn("_in", F.sum(value).over(inside)).join(starts, [*keys, "_block"])
-            .withColumn(name, F.col("_in") + F.col("_start")).drop("_in", "_start", "_block"))
+            .withColumn(name, F.col("_in") + F.col("_start")).drop("_in", "_start", "_block", *extra))
 
 
 def carry(df: DataFrame, keys: list[str], seq: str, value: str, name: str, forward: bool = True,

@@ -346,9 +346,9 @@ def node_parts(parts: DataFrame, task: str, points: DataFrame | None = None, joi
         cuts = cuts.unionByName(nearest.select(task, "seg_id", "seq", F.col("plon").alias("lon"), F.col("plat").alias("lat"), "ax", "ay", "bx", "by"))
     spot = project(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     cuts = (cuts.withColumn("_s", spot).filter((haversine(F.col("_s.lon"), F.col("_s.lat"), F.col("ax"), F.col("ay")) > 1e-6) | (F.col("seq") > 1))
-            .select(task, "seg_id", "seq", F.col("_s.t").alias("t"), F.col("_s.lon").alias("lon"), F.col("_s.lat").alias("lat")).distinct())
+            .select(task, "seg_id", "seq", F.col("_s.t").alias("_at"), F.col("_s.lon").alias("lon"), F.col("_s.lat").alias("lat")).distinct())
     # A source fragment is small, so its few cuts are kept beside it as an array.
-    by_part = cuts.groupBy(task, "seg_id").agg(F.array_sort(F.collect_set(F.struct("seq", "t", "lon", "lat"))).alias("_cuts"))
+    by_part = cuts.groupBy(task, "seg_id").agg(F.array_sort(F.collect_set(F.struct("seq", "_at", "lon", "lat"))).alias("_cuts"))
     rows = parts.join(by_part, [task, "seg_id"], "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast(by_part.schema["_cuts"].dataType)))
     sub = rows.withColumn("sub", F.explode(F.sequence(F.lit(0), F.size("_cuts"))))
     lo, hi = F.get("_cuts", F.col("sub") - 1), F.get("_cuts", F.col("sub"))
