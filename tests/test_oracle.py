@@ -9,7 +9,7 @@ from tests.plans import unwanted
 from wayframe.checks.registry import ORACLES, QUERIES
 
 # Queries without SQL that run whole stitches are covered by test_stitch on known networks.
-LONG = {"D1_route_build", "D12_overlay_routes", "G19_G20_stitched_components", "G13_path_pieces", "G18_paths_between"}
+LONG = {"D1_route_build", "D12_overlay_routes", "G11_G12_G15_G19_G20_stitched_components", "G13_path_pieces", "G18_paths_between"}
 # These may well find nothing on the smallest tables.
 MAY_BE_EMPTY = {"both sides are empty"}
 

@@ -22,7 +22,7 @@ def table(spark, data):
 def test_quantiles_follow_each_rule(spark):
     data = rows()
     got = {r.k: r for r in O.quantiles(table(spark, data), ["k"], "v", {
-        "mid": ("middle", 0.5), "low": ("index", 0.1), "high": ("index", 0.9), "up": ("upper", 0.5)}, buckets=8).collect()}
+        "mid": ("middle", 0.5), "low": ("index", 0.1), "high": ("index", 0.9), "up": ("upper", 0.5)}, buckets=4, levels=3).collect()}
     heavy = {r.k: r.m for r in O.quantiles(table(spark, data), ["k"], "v", {"m": ("weighted", 0.5)}, weight="w", buckets=8).collect()}
     for k in {d[0] for d in data}:
         v = sorted(d[1] for d in data if d[0] == k)
@@ -48,7 +48,7 @@ def test_positions_are_row_numbers(spark):
     data = rows()
     for down in (False, True):
         lead = F.col("v").desc() if down else F.col("v")
-        got = {r.id: r.position for r in O.positions(table(spark, data), ["k"], [lead, F.col("id")], "v", descending=down, buckets=8).collect()}
+        got = {r.id: r.position for r in O.positions(table(spark, data), ["k"], [lead, F.col("id")], "v", descending=down, buckets=4, levels=1 + down).collect()}
         for k in {d[0] for d in data}:
             mine = sorted((d for d in data if d[0] == k), key=lambda d: (-d[1] if down else d[1], d[3]))
             assert [got[d[3]] for d in mine] == list(range(1, len(mine) + 1))

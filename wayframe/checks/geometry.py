@@ -105,7 +105,23 @@ def middle_vertices(t):
     return fragments(t).select("seg_id", F.round(m["lon"], 6).alias("lon"), F.round(m["lat"], 6).alias("lat"))
 
 
-@query("P10_projected_coordinates")
+_TM2_N = 1 / 298.257222101 / (2 - 1 / 298.257222101)
+
+
+def _tm2_sql() -> str:
+    n = _TM2_N
+    a = 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64)
+    b = [n / 2 - 2 / 3 * n ** 2 + 37 / 96 * n ** 3, n ** 2 / 48 + n ** 3 / 15, 17 / 480 * n ** 3]
+    d = [2 * n - 2 / 3 * n ** 2 - 2 * n ** 3, 7 / 3 * n ** 2 - 8 / 5 * n ** 3, 56 / 15 * n ** 3]
+    u = " ".join(f"- {c!r}::DOUBLE * sin({2 * j + 2} * xi) * cosh({2 * j + 2} * eta)" for j, c in enumerate(b))
+    v = " ".join(f"- {c!r}::DOUBLE * cos({2 * j + 2} * xi) * sinh({2 * j + 2} * eta)" for j, c in enumerate(b))
+    p = " ".join(f"+ {c!r}::DOUBLE * sin({2 * j + 2} * chi)" for j, c in enumerate(d))
+    return f"""WITH s AS (SELECT o_orderkey, (2450000 + o_orderkey * 29 % 350000) / {0.9999 * a!r}::DOUBLE AS xi, (150000 + o_orderkey * 13 % 200000 - 250000) / {0.9999 * a!r}::DOUBLE AS eta FROM orders),
+w AS (SELECT o_orderkey, xi {u} AS u, eta {v} AS v FROM s), x AS (SELECT *, asin(sin(u) / cosh(v)) AS chi FROM w)
+SELECT o_orderkey, round(121 + degrees(atan2(sinh(v), cos(u))), 7) AS lon, round(degrees(chi {p}), 7) AS lat FROM x"""
+
+
+@query("P10_projected_coordinates", _tm2_sql())
 def projected(t):
     spot = G.tm2_to_lonlat((150000 + F.col("o_orderkey") * 13 % 200000).cast("double"), (2450000 + F.col("o_orderkey") * 29 % 350000).cast("double"))
     return t.orders.select("o_orderkey", F.round(spot["lon"], 7).alias("lon"), F.round(spot["lat"], 7).alias("lat"))
@@ -179,12 +195,16 @@ def subdivided(t):
     return L.subdivide(vertices(t), ["seg_id"], 0.5).select("seg_id", F.col("seq").cast("int").alias("seq"), "part", F.round("lon", 6).alias("lon"))
 
 
-@query("G5_unfolded")
+@query("G5_unfolded", f"""WITH r AS (SELECT seg_id, lon, lat FROM vertices WHERE i = 0), d AS (SELECT v.seg_id, i, sqrt(pow((v.lon - r.lon) * cos(radians(r.lat)), 2) + pow(v.lat - r.lat, 2)) AS d,
+  sqrt(pow((v.lon - r.lon) * cos(radians(r.lat)), 2) + pow(v.lat + 0.0002 - r.lat, 2)) AS d2 FROM vertices v JOIN r ON v.seg_id = r.seg_id),
+f AS (SELECT seg_id, greatest(max(d), max(d2) FILTER (i < 4)) AS far, arg_max(i, (d, -i)) AS tip, max(d2) FILTER (i < 4) AS back_far, max(d) AS out_far, max(d2) FILTER (i = 0) AS ends FROM d GROUP BY 1)
+SELECT f.seg_id, far >= 0.027 AND ends <= far / 2 AND back_far <= out_far AS folded FROM f""")
 def unfolded(t):
     # Each fragment is drawn out and back again: seq 0..4 and the same places home.
     v = vertices(t)
     back = v.filter("seq < 4").withColumn("seq", 8 - F.col("seq")).withColumn("lat", F.col("lat") + 0.0002)
-    return L.unfold(v.unionByName(back), ["seg_id"], out_deg=0.027)
+    parts = L.unfold(v.unionByName(back).select("seg_id", "seq", "lon", "lat"), ["seg_id"], out_deg=0.027)
+    return parts.groupBy("seg_id").agg((F.max("part") == 1).alias("folded"))
 
 
 @query("G22_oriented", """WITH e AS (SELECT a.seg_id, CASE WHEN abs(b.lat - a.lat) >= abs(b.lon - a.lon) THEN b.lat > a.lat ELSE b.lon > a.lon END AS f FROM vertices a JOIN vertices b ON a.seg_id = b.seg_id AND a.i = 0 AND b.i = 4)
@@ -311,7 +331,14 @@ def route_ends(t):
     return N.route_end(vertices(t), ["seg_id"]).select("seg_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query("J29_not_covered")
+_OFF = "sqrt(pow((x - ax) * k - (bx - ax) * k * tt, 2) + pow(y - ay - (by - ay) * tt, 2))"
+
+
+@query("J29_not_covered", f"""WITH {LEGS}, s AS (SELECT seg_id, i, lon + (seg_id % 5) * 0.01 AS x, lat AS y, cos(radians(lat)) AS k FROM vertices),
+j AS (SELECT s.seg_id, s.i, x, y, k, ax, ay, bx, by, CASE WHEN pow((bx - ax) * k, 2) + pow(by - ay, 2) > 0 THEN greatest(0.0, least(1.0, ((x - ax) * k * (bx - ax) * k + (y - ay) * (by - ay)) / (pow((bx - ax) * k, 2) + pow(by - ay, 2)))) ELSE 0 END AS tt
+  FROM s JOIN legs ON x BETWEEN least(ax, bx) - 0.01 AND greatest(ax, bx) + 0.01 AND y BETWEEN least(ay, by) - 0.01 AND greatest(ay, by) + 0.01),
+h AS (SELECT seg_id, count(DISTINCT i) AS n FROM j WHERE {_OFF} < 0.4 / 111.32 GROUP BY 1)
+SELECT v.seg_id, CAST(5 AS BIGINT) AS samples, coalesce(n, 0) / 5.0 AS covered FROM (SELECT DISTINCT seg_id FROM vertices) v LEFT JOIN h ON v.seg_id = h.seg_id WHERE coalesce(n, 0) / 5.0 <= 0.5""")
 def not_covered(t):
     samples = t.vertices.select(F.col("seg_id"), (F.col("lon") + (F.col("seg_id") % 5) * 0.01).alias("lon"), "lat")
     return N.not_covered(samples, road_legs(t), ["seg_id"])

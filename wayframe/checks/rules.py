@@ -46,9 +46,9 @@ def positional_source(t):
 
 @query("S4_decoded_files", """SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 2 = 0 THEN 'utf-8' ELSE 'windows-1252' END AS encoding, p_name || ' é' AS text FROM part""")
 def decoded_files(t):
-    t.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    text = F.concat(F.col("p_name"), F.lit(" é"))
-    files = t.part.select(F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_partkey") % 2 == 0, F.encode(text, "UTF-8")).otherwise(F.encode(text, "windows-1252")).alias("content"))
+    # The Latin letter as one byte, which is no valid UTF-8.
+    utf8, latin = F.encode(F.concat(F.col("p_name"), F.lit(" é")), "UTF-8"), F.concat(F.encode(F.concat(F.col("p_name"), F.lit(" ")), "UTF-8"), F.unhex(F.lit("E9")))
+    files = t.part.select(F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_partkey") % 2 == 0, utf8).otherwise(latin).alias("content"))
     return R.decode_files(files)
 
 

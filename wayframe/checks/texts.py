@@ -6,6 +6,7 @@ from ..functions import designation as D
 from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import matching as M
+from .geometry import hav
 from .registry import query
 
 # ---------------------------------------------------------------- numbers and dates
@@ -263,7 +264,10 @@ def ranked_facilities(t):
     return M.ranked_facility(w, f, "want", "name", "title", "facility", "km", 1500).select("want", "facility", "rank")
 
 
-@query("J21_D14_proposals")
+@query("J21_D14_proposals", """WITH w AS (SELECT p_partkey AS id, p_brand AS st, p_size AS sz, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
+t AS (SELECT id AS title, st, a, b FROM w), e AS (SELECT title, r.id AS road FROM t JOIN w r ON t.st = r.st AND least(t.a, t.b) = least(r.a, r.b) AND greatest(t.a, t.b) = greatest(r.a, r.b)),
+x AS (SELECT DISTINCT st, CAST(sz AS BIGINT) AS road, a AS p FROM w UNION SELECT DISTINCT st, CAST(sz AS BIGINT), b FROM w), p AS (SELECT DISTINCT title, x.road FROM t JOIN x ON t.st = x.st AND t.a = x.p JOIN x y ON y.st = t.st AND y.road = x.road AND y.p = t.b WHERE t.a <> t.b)
+SELECT title, road, CASE WHEN bool_or(r) THEN 'road' ELSE 'points' END AS via FROM (SELECT title, road, true AS r FROM e UNION ALL SELECT title, road, false FROM p) GROUP BY 1, 2""")
 def proposals(t):
     titles = t.part.select(F.col("p_partkey").alias("title"), F.concat(F.lit("Autopista "), F.regexp_replace("p_name", " ", "-"), F.lit(" y Lib. Norte")).alias("object"))
     states = t.part.select(F.col("p_partkey").alias("title"), F.col("p_brand").alias("st"))
@@ -292,7 +296,11 @@ def number_verdicts(t):
     return M.number_verdicts(register, ours, "st", "num", "name", "road")
 
 
-@query("J28_resolved_anchors")
+@query("J28_resolved_anchors", f"""WITH e AS (SELECT station AS entry, station % 211 AS number, 'Brand#' || (station % 25) AS hint, lon, lat FROM stations),
+j AS (SELECT entry, id, CASE WHEN hint = st THEN 0 ELSE 1 END AS miss, round({hav('lon', 'lat', 'cx', 'cy')}, 6) AS km FROM e JOIN routes r ON e.number = r.number),
+b AS (SELECT entry, min(row(miss, km, id)) AS b FROM j GROUP BY entry), q AS (SELECT entry, arg_min(id, (miss, km, id)) AS id, arg_min(miss, (miss, km, id)) AS miss, arg_min(km, (miss, km, id)) AS km FROM j GROUP BY entry),
+n AS (SELECT q.entry, count(*) AS n FROM q JOIN j ON q.entry = j.entry AND q.miss = j.miss AND q.km = j.km GROUP BY 1)
+SELECT e.entry, CASE WHEN n = 1 AND km <= 500 THEN id END AS route, km, CASE WHEN id IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN km > 500 THEN 'far' ELSE 'found' END AS status FROM e LEFT JOIN q ON e.entry = q.entry LEFT JOIN n ON e.entry = n.entry""")
 def resolved_anchors(t):
     entries = t.stations.select(F.col("station").alias("entry"), (F.col("station") % 211).alias("number"), F.concat(F.lit("Brand#"), (F.col("station") % 25).cast("string")).alias("hint"), "lon", "lat")
     routes = t.routes.select(F.col("id").alias("route"), "number", "st", F.col("cx").alias("olon"), F.col("cy").alias("olat"))

@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, estimated_bytes
 
-BLOCK = 4096
+# Consecutive rows of a key that one task may order.
+BLOCK = 65_536
+# Range buckets per level, and the rows one task may order in a bucket.
 BUCKETS = 64
+BUCKET_ROWS = 4_000_000
 
 
 def _keyed(keys: list[str], column: str) -> tuple[list[str], dict[str, Column]]:
@@ -22,22 +25,36 @@ def _keyed(keys: list[str], column: str) -> tuple[list[str], dict[str, Column]]:
     return (keys, {}) if keys else (["_all"], {"_all": F.pmod(F.hash(F.col(column)), F.lit(1))})
 
 
-def value_buckets(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+def value_buckets(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS, levels: int | None = None) -> DataFrame:
     """Add ``_bucket``: the range bucket of ``value`` within its key, with about even counts.
 
-    The bucket bounds (one short array per key) are written out once, so that a re-run task
-    sees the same bounds.
+    Buckets are split again, level by level, until even a key that holds all rows leaves no
+    bucket too large for a task; the number of levels follows the estimated size.  The
+    bounds (one short array per key and bucket) are written out, so that a re-run task sees
+    the same ones.
     """
+    if levels is None:
+        rows, levels = estimated_bytes(df) / 32, 1
+        while rows > BUCKET_ROWS * buckets ** levels:
+            levels += 1
+    out = _split(df, keys, value, buckets)
+    for _ in range(levels - 1):
+        finer = _split(out.withColumnRenamed("_bucket", "_coarse"), [*keys, "_coarse"], value, buckets)
+        out = finer.withColumn("_bucket", F.col("_coarse") * buckets + F.col("_bucket")).drop("_coarse")
+    return out
+
+
+def _split(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = cut(df.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(F.col(value), cuts, 1000)).alias("_bounds")))
     return (df.join(bounds, keys, "left")
-            .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
+            .withColumn("_bucket", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0)).cast("bigint"))
             .drop("_bounds"))
 
 
 def positions(df: DataFrame, keys: list[str], order: list[Column], lead: str, descending: bool = False,
-              name: str = "position", buckets: int = BUCKETS) -> DataFrame:
+              name: str = "position", buckets: int = BUCKETS, levels: int | None = None) -> DataFrame:
     """Exact row number of each row within its key, in ``order`` whose first column is ``lead``.
 
     Rows are numbered inside range buckets of ``lead``; the counts of the buckets before
@@ -45,7 +62,7 @@ def positions(df: DataFrame, keys: list[str], order: list[Column], lead: str, de
     """
     keys, extra = _keyed(keys, lead)
     df = df.withColumns(extra)
-    bucketed = value_buckets(df, keys, lead, buckets)
+    bucketed = value_buckets(df, keys, lead, buckets, levels)
     before = W.partitionBy(*keys).orderBy(F.col("_bucket").desc() if descending else F.col("_bucket")) \
         .rowsBetween(W.unboundedPreceding, -1)
     starts = (bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -58,7 +75,7 @@ def positions(df: DataFrame, keys: list[str], order: list[Column], lead: str, de
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple[str, float]],
-              weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+              weight: str | None = None, buckets: int = BUCKETS, levels: int | None = None) -> DataFrame:
     """Exact quantiles by rank, one row per key.
 
     ``picks`` maps an output column to (rule, q).  Rules over values sorted ascending, n in all:
@@ -74,7 +91,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple
     df = df.withColumns(extra).filter(F.col(value).isNotNull())
     amount = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
     merged = df.groupBy(*keys, value).agg(amount.alias("_w"))
-    bucketed = value_buckets(merged, keys, value, buckets)
+    bucketed = value_buckets(merged, keys, value, buckets, levels)
     per_bucket = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_bw"))
     whole = W.partitionBy(*keys)
     before = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordered import first_by
 from ..operators.identity import concat_tables
+from ..operators.ordered import first_by
+from ..runtime import cut
 
 
 def require_columns(df: DataFrame, columns: list[str], what: str) -> DataFrame:
@@ -28,7 +29,7 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = N
     """S-1, S-2: delimited text with quotes, doubled quotes and line breaks inside quotes; headers in lower case."""
     df = (spark.read.option("header", True).option("multiLine", True).option("quote", quote).option("escape", quote)
           .option("sep", sep).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).csv(path))
-    df = df.toDF(*[c.replace("﻿", "").strip().lower() for c in df.columns])
+    df = df.toDF(*[c.replace("\ufeff", "").strip().lower() for c in df.columns])
     return require_columns(df, columns, path) if columns else df
 
 
@@ -42,16 +43,22 @@ def read_positional(spark: SparkSession, path: str, columns: dict[int, str], wid
 def decode_files(files: DataFrame, fallback: str = "windows-1252") -> DataFrame:
     """S-4: files (path, content) as text: strict UTF-8, else the fallback; reports which (path, encoding, text).
 
-    The fallback charsets need ``spark.sql.legacy.javaCharsets``, set for this reading only by the caller's session.
+    The fallback charsets need a legacy setting, which is on for this reading only, so the
+    texts are written out here.
     """
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(valid, F.decode("content", "UTF-8")).otherwise(F.decode("content", fallback))
-    return files.select("path", F.when(valid, "utf-8").otherwise(fallback).alias("encoding"), F.regexp_replace(text, "^﻿", "").alias("text"))
+    spark, setting = files.sparkSession, "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        valid = F.is_valid_utf8(F.col("content").cast("string"))
+        text = F.when(valid, F.decode("content", "UTF-8")).otherwise(F.decode("content", fallback))
+        return cut(files.select("path", F.when(valid, "utf-8").otherwise(fallback).alias("encoding"), F.regexp_replace(text, "^\ufeff", "").alias("text")))
+    finally:
+        spark.conf.set(setting, before)
 
 
 def read_encoded(spark: SparkSession, path: str, fallback: str = "windows-1252") -> DataFrame:
     """S-4: whole files with their encoding found out."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return decode_files(spark.read.format("binaryFile").load(path).select("path", "content"), fallback)
 
 
