@@ -64,7 +64,9 @@ def test_bridges_are_the_shortest_forest(spark):
             edges.append((a, a, b))
     n = spark.createDataFrame(nodes, "g bigint, node bigint, lon double, lat double, comp bigint")
     e = spark.createDataFrame(edges, "edge_id bigint, a bigint, b bigint")
-    got = {(x.g, round(x.km, 6)) for x in R.bridges(n, e, "g", 25).collect()}
+    closed, comps = R.bridges(n, e, "g", 25, steps=(0.125, 0.5, 1.0))
+    got = {(x.g, round(x.km, 6)) for x in closed.collect()}
+    assert got == {(x.g, round(x.km, 6)) for x in R.bridges(n, e, "g", 25)[0].collect()}
     from math import asin, cos, radians, sin, sqrt
 
     def km(p, q):
@@ -81,6 +83,7 @@ def test_bridges_are_the_shortest_forest(spark):
                 p[ra] = rb
                 want.add((g, round(d, 6)))
     assert got == want
+    assert comps.count() == len(nodes) and comps.select("comp").distinct().count() == 24 - len(want)
 
 
 def test_chains_in_order_with_circles(spark):

@@ -86,7 +86,7 @@ SELECT g AS group_key, w[2] AS a, w[3] AS b, round(w[1], 6) AS km FROM cand WHER
 def bridged_gaps(t):
     edges, nodes = network(t)
     labelled = R.label_nodes(nodes, edges.select("a", "b"))
-    return R.bridges(labelled, edges, "group_key", 15).withColumn("km", F.round("km", 6))
+    return R.bridges(labelled, edges, "group_key", 15)[0].withColumn("km", F.round("km", 6))
 
 
 @query("G11_G12_G15_G19_G20_stitched_components")

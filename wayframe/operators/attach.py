@@ -58,7 +58,7 @@ def attach_to_longest(routes: DataFrame, figures: DataFrame, keys: list[str], ro
     """J-12: a per-number figure shown on the longest piece, if the lengths agree; with the verdict."""
     longest = longest_per(routes, keys, miles, route, [route, miles])
     official = F.col(km) / KM_PER_MI
-    verdict = (F.when(F.col(route).isNull(), "unmatched").when(F.abs(official / F.col(miles) - 1) > within, "apart").otherwise("shown"))
+    verdict = (F.when(F.col(route).isNull(), "unmatched").when((F.col(miles) <= 0) | (F.abs(official - F.col(miles)) > within * F.col(miles)), "apart").otherwise("shown"))
     return (figures.join(longest, keys, "left").withColumn("verdict", verdict)
             .withColumn("official_mi", F.when(F.col("verdict") == "shown", F.round(official, 6))).drop(miles))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEG, haversine
-from ..runtime import cut, skew_join
+from ..runtime import SMALL_BYTES, cut, estimated_bytes, skew_join
 from .grid import around, in_cell
 from .ordered import first_by
 
@@ -106,13 +106,13 @@ def extremities(nodes: DataFrame, comp: str = "comp") -> DataFrame:
 
 
 def bridges(nodes: DataFrame, edges: DataFrame, group: str, budget_km: float, any_node: bool = False,
-            from_extremities: bool = False, steps: tuple[float, ...] = (0.125, 1.0)) -> DataFrame:
-    """G-8: gap-closing edges (group, a, b, km) between components of a group.
+            from_extremities: bool = False, steps: tuple[float, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """G-8: gap-closing edges (group, a, b, km) between components of a group, and the components after it (node, comp).
 
     ``nodes`` has group, node, lon, lat, comp.  Shortest gap first, one per merge, is a
     minimum spanning forest over the components; it is grown in rounds in which every
-    component takes its shortest gap.  Reach is widened in steps, so that near gaps are
-    closed, and their pairs gone, before far ones are formed.
+    component takes its shortest gap.  Where there are many ends, reach is widened in steps,
+    so that near gaps are closed, and their pairs gone, before far ones are formed.
     """
     dead = degrees(edges).filter(F.col("degree") == 1).select("node")
     sources = dead
@@ -121,6 +121,8 @@ def bridges(nodes: DataFrame, edges: DataFrame, group: str, budget_km: float, an
         sources = dead.unionByName(ends.select(F.col("a").alias("node"))).unionByName(ends.select(F.col("b").alias("node"))).distinct()
     cols = [group, "node", "lon", "lat"]
     start = cut(nodes.join(sources, "node", "left_semi").select(*cols))
+    if steps is None:
+        steps = (1.0,) if estimated_bytes(start) < SMALL_BYTES else (1 / 64, 1 / 8, 1.0)
     ends = nodes.select(*cols) if any_node else start
     comps = cut(nodes.select("node", "comp").distinct())
     found = []
@@ -150,7 +152,7 @@ def bridges(nodes: DataFrame, edges: DataFrame, group: str, budget_km: float, an
                      .groupBy(group, F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).agg(F.min("_gap").alias("_gap")))
             cand, n = cut(moved, rows=F.count(F.lit(1)))
     none = start.filter(F.lit(False)).select(group, F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("km"))
-    return reduce(lambda a, b: a.unionByName(b), found, none)
+    return reduce(lambda a, b: a.unionByName(b), found, none), comps
 
 
 def chains(edges: DataFrame, stops: DataFrame | None = None) -> DataFrame:

@@ -130,7 +130,7 @@ def yearly_series(rows: DataFrame, keys: list[str], year: str, value: str, weigh
     rows = rows.filter(F.col(year).isNotNull() & F.col(value).isNotNull())
     by = [*keys, year]
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                                   *([(F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("_v")] if weight else []))
+                                   *([F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("_v")] if weight else []))
     if not weight:
         counts = counts.join(quantiles(rows, by, value, {"_v": ("middle", 0.5)}), by)
     counts = counts.filter(F.col("_v").isNotNull())

@@ -70,9 +70,9 @@ def length_tolerance(rows: DataFrame, key: str, official: str, logged: str, meas
     """Q-3: official length against the log (2% or 1 mi) and against what was measured (20%)."""
     off = F.col(official)
     log_gap = F.abs(off - F.col(logged)) > F.greatest(F.lit(1.0), off * 0.02)
-    far = F.abs(F.col(measured) / off - 1) > 0.2
+    far = F.abs(F.try_divide(F.col(measured), off) - 1) > 0.2
     return all_violations(violation(rows.filter(log_gap), "official differs from log", key, F.round(off - F.col(logged), 3)),
-                          violation(rows.filter(far), "measured differs from official", key, F.round(F.col(measured) / off, 3)))
+                          violation(rows.filter(far), "measured differs from official", key, F.round(F.try_divide(F.col(measured), off), 3)))
 
 
 def supersede(claims: DataFrame, register: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:

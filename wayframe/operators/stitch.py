@@ -195,12 +195,12 @@ def stitch(segments: DataFrame, group: str, snap_deg: float = 0.0025, bridge_km:
     edges = cut(sized.join(keep.select("comp"), "comp", "left_semi").select(group, "edge_id", "a", "b", "km", "coords", F.lit(False).alias("bridge")))
     nodes = comps.join(keep.select("comp"), "comp", "left_semi")
     if bridge_km > 0:
-        closed = bridges(nodes, edges, group, bridge_km, any_node, from_extremities)
+        closed, comps = bridges(nodes, edges, group, bridge_km, any_node, from_extremities)
         spot = lambda n: nodes.select(F.col("node").alias(n), F.struct("lon", "lat").alias(f"_{n}"))
         lines = cut(closed.join(spot("a"), "a").join(spot("b"), "b").select(
             group, (-F.monotonically_increasing_id() - 1).alias("edge_id"), "a", "b", "km", F.array("_a", "_b").alias("coords"), F.lit(True).alias("bridge")))
-        edges = cut(edges.unionByName(lines))
-    nodes = cut(label_nodes(nodes.drop("comp"), edges.select("a", "b")))
+        edges = edges.unionByName(lines)
+        nodes = cut(nodes.drop("comp").join(comps, "node"))
     edges = cut(edges.join(nodes.select(F.col("node").alias("a"), "comp"), "a"))
     out = _route(edges, nodes, group, tail_km, rings)
     return without_opposite_carriageways(out, dedupe_km) if dedupe_km else out
@@ -374,10 +374,10 @@ def stitch_between(parts: DataFrame, termini: DataFrame, task: str, snap_deg: fl
     edges = cut(edges.withColumn("bridge", F.lit(False)))
     nodes = cut(label_nodes(nodes, edges.select("a", "b")))
     if bridge_km > 0:
-        closed = bridges(nodes, edges, task, bridge_km, any_node=True)
+        closed, comps = bridges(nodes, edges, task, bridge_km, any_node=True)
         extra = closed.select(task, (-F.monotonically_increasing_id() - 1).alias("edge_id"), "a", "b", "km", F.lit(True).alias("bridge"))
         edges = cut(edges.select(task, "edge_id", "a", "b", "km", "bridge").unionByName(extra))
-        nodes = cut(label_nodes(nodes.drop("comp"), edges.select("a", "b")))
+        nodes = cut(nodes.drop("comp").join(comps, "node"))
     near = lambda x, y, name: nearest_node(nodes, termini.select(task, F.col(x).alias("plon"), F.col(y).alias("plat")), task).select(
         task, F.col("node").alias(f"{name}_node"), F.round("km", 1).alias(f"snap_{name}"))
     ends = cut(near("flon", "flat", "from").join(near("tlon", "tlat", "to"), task))
@@ -412,7 +412,7 @@ def between_points(lines_along: DataFrame, ends: DataFrame, facility: str, line:
     both = both.withColumn("km", F.abs(F.col("t_at") - F.col("f_at"))).withColumn("off", F.col("f_off") + F.col("t_off"))
     best = first_by(both, [facility], ["off", line], [line, "km", "off", "f_at", "t_at"])
     published = ends.select(facility, F.col("km").alias("published")).distinct()
-    drawn = F.abs(F.col("km") - F.col("published")) / F.col("published") <= tolerance
+    drawn = F.abs(F.col("km") - F.col("published")) <= F.col("published") * tolerance
     return published.join(best, facility, "left").withColumn("drawn", F.coalesce(drawn, F.lit(False)))
 
 
