@@ -87,19 +87,22 @@ def near_points(points: DataFrame, others: DataFrame, km: float, on: list[str] =
             .filter(F.col("dist") <= km).drop("_cx", "_cy"))
 
 
-def within(samples: DataFrame, others: DataFrame, km: float, on: list[str] = (), sample_keys: list[str] = (),
-           also: Column | None = None) -> DataFrame:
+def within(samples: DataFrame, others: DataFrame, km: float, on: list[str] = (),
+           also: Column | None = None, spread_samples: bool = False) -> DataFrame:
     """J-2, G-14: the samples that lie within ``km`` of any of the other points (columns olon, olat).
 
     The others are first thinned to one row per exact place, and only whether there is a
     neighbour is asked.  Crowded cells are answered by a semi-join, which stops at the
-    first hit and emits no pairs.
+    first hit and emits no pairs.  The others are spread over the cells around them, or,
+    where they are far more than the samples (which must then be distinct), the samples.
     """
     size = max(km / KM_PER_DEG, 1e-5)
     extra = [] if also is None else [c for c in others.columns if c not in (*on, "olon", "olat")]
-    spread = around(others.select(*on, "olon", "olat", *extra).distinct(), size, km, "olon", "olat")
-    cells = in_cell(samples, size)
-    a, b = cells.alias("a"), spread.alias("b")
+    spots = others.select(*on, "olon", "olat", *extra).distinct()
+    if spread_samples:
+        a, b = around(samples, size, km).alias("a"), in_cell(spots, size, "olon", "olat").alias("b")
+    else:
+        a, b = in_cell(samples, size).alias("a"), around(spots, size, km, "olon", "olat").alias("b")
     cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*on, "_cx", "_cy")]
     cond.append(haversine(F.col("a.lon"), F.col("a.lat"), F.col("b.olon"), F.col("b.olat")) <= km)
     if also is not None:
@@ -107,7 +110,8 @@ def within(samples: DataFrame, others: DataFrame, km: float, on: list[str] = (),
     test = cond[0]
     for c in cond[1:]:
         test = test & c
-    return a.join(b, test, "left_semi").drop("_cx", "_cy")
+    hit = a.join(b, test, "left_semi").drop("_cx", "_cy")
+    return hit.distinct() if spread_samples else hit
 
 
 def within_deg(points: DataFrame, line_legs: DataFrame, on: list[str], degrees: float, size: float = 0.02) -> DataFrame:
@@ -122,9 +126,9 @@ def within_deg(points: DataFrame, line_legs: DataFrame, on: list[str], degrees:
     return a.join(cells, test & (d < degrees), "left_semi").drop("_cx", "_cy")
 
 
-def coincident_share(samples: DataFrame, others: DataFrame, keys: list[str], km: float, on: list[str] = ()) -> DataFrame:
+def coincident_share(samples: DataFrame, others: DataFrame, keys: list[str], km: float, on: list[str] = (), spread_samples: bool = False) -> DataFrame:
     """G-14: share of a line's samples within ``km`` of the other points."""
-    hit = within(samples, others, km, on).groupBy(*keys).agg(F.count(F.lit(1)).alias("_hit"))
+    hit = within(samples, others, km, on, spread_samples=spread_samples).groupBy(*keys).agg(F.count(F.lit(1)).alias("_hit"))
     return (samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples")).join(hit, keys, "left")
             .select(*keys, "samples", (F.coalesce("_hit", F.lit(0)) / F.col("samples")).alias("share")))
 

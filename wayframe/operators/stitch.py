@@ -135,10 +135,11 @@ def close_rings(edges: DataFrame, path: DataFrame, ends: DataFrame, tol_km: floa
     paved = edges.filter(~F.col("bridge"))
     walked = path.filter(~F.col("bridge")).select("comp", "edge_id")
     open_edges = paved.join(walked, ["comp", "edge_id"], "left_anti")
-    on_path = paved.join(walked, ["comp", "edge_id"], "left_semi")
+    on_path = paved.join(walked, ["comp", "edge_id"], "left_semi").join(open_edges.select("comp"), "comp", "left_semi")
     dense = sample_fragments(on_path, ["comp", "edge_id"], "coords", tol_km / 2).select("comp", F.col("lon").alias("olon"), F.col("lat").alias("olat"))
     samples = sample_fragments(open_edges, ["comp", "edge_id"], "coords", 0.2)
-    beside = coincident_share(samples, dense, ["comp", "edge_id"], tol_km, ["comp"]).filter(F.col("share") >= 0.6)
+    # What is off the path is little beside the path itself, so its samples are the side to repeat.
+    beside = coincident_share(samples, dense, ["comp", "edge_id"], tol_km, ["comp"], spread_samples=True).filter(F.col("share") >= 0.6)
     gone = walked.unionByName(beside.select("comp", "edge_id"))
     bridge_walked = path.filter("bridge").select("comp", "edge_id")
     residual = cut(edges.join(gone, ["comp", "edge_id"], "left_anti").join(bridge_walked, ["comp", "edge_id"], "left_anti")
@@ -150,8 +151,7 @@ def close_rings(edges: DataFrame, path: DataFrame, ends: DataFrame, tol_km: floa
     along = cut(along.unionByName(ends.select("comp", F.lit(0).cast("bigint").alias("idx"), F.col("a").alias("node"), F.lit(0.0).alias("at"))))
     total = along.groupBy("comp").agg(F.max("at").alias("_total"))
     placed = along.join(total, "comp")
-    stops = along.join(residual.select(F.col("a").alias("node")).unionAll(residual.select(F.col("b").alias("node"))).distinct(), "node", "left_semi").filter(
-        F.lit(True)).select("node").distinct()
+    stops = along.join(residual.select(F.col("a").alias("node")).unionAll(residual.select(F.col("b").alias("node"))).distinct(), "node", "left_semi").select("node").distinct()
     short, members = contract(residual, stops)
     short = cut(short)
 
