@@ -150,7 +150,7 @@ def tile_addresses(t):
 
 
 # ---------------------------------------------------------------- line rewriting
-@query("G1_simplified", f"""WITH RECURSIVE v AS (SELECT seg_id, i, lon, lat FROM vertices),
+_SIMPLIFIED = f"""WITH RECURSIVE v AS (SELECT seg_id, i, lon, lat FROM vertices),
 e AS (SELECT a.seg_id, cos(radians((a.lat + b.lat) / 2)) AS k FROM v a JOIN v b ON a.seg_id = b.seg_id AND a.i = 0 AND b.i = 4),
 w(seg_id, lo, hi, level) AS (SELECT seg_id, 0, 4, 0 FROM e
  UNION ALL SELECT seg_id, CASE WHEN side = 0 THEN lo ELSE far END, CASE WHEN side = 0 THEN far ELSE hi END, level + 1 FROM
@@ -158,8 +158,11 @@ w(seg_id, lo, hi, level) AS (SELECT seg_id, 0, 4, 0 FROM e
    JOIN v a ON a.seg_id = w.seg_id AND a.i = w.lo JOIN v b ON b.seg_id = w.seg_id AND b.i = w.hi,
    LATERAL (SELECT (b.lon - a.lon) * k AS dx, b.lat - a.lat AS dy, (v.lon - a.lon) * k AS qx, v.lat - a.lat AS qy) g,
    LATERAL (SELECT sqrt(pow(qx - dx * greatest(0, least(1, (qx * dx + qy * dy) / (dx * dx + dy * dy))), 2) + pow(qy - dy * greatest(0, least(1, (qx * dx + qy * dy) / (dx * dx + dy * dy))), 2)) AS d) d
-   WHERE d.d > 0.0007 GROUP BY 1, 2, 3, 4) s, (VALUES (0), (1)) sides(side))
-SELECT DISTINCT seg_id, CAST(i AS INT) AS seq FROM (SELECT seg_id, lo AS i FROM w UNION ALL SELECT seg_id, hi FROM w)""")
+   WHERE d.d > 0.0007 GROUP BY 1, 2, 3, 4) s, (VALUES (0), (1)) sides(side)),
+kept AS (SELECT DISTINCT seg_id, CAST(i AS INT) AS seq FROM (SELECT seg_id, lo AS i FROM w UNION ALL SELECT seg_id, hi FROM w))"""
+
+
+@query("G1_simplified", f"{_SIMPLIFIED} SELECT seg_id, seq FROM kept")
 def simplified(t):
     return L.simplify(vertices(t), ["seg_id"], 0.0007).select("seg_id", F.col("seq").cast("int").alias("seq"))
 

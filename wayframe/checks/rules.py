@@ -8,7 +8,7 @@ from ..operators import quality as Q
 from ..runtime import table_dir
 from ..sources import readers as R
 from ..sources import writers as Z
-from .geometry import hav, vertices
+from .geometry import _SIMPLIFIED, hav, vertices
 from .registry import query
 
 
@@ -78,7 +78,8 @@ def partitioned_dataset(t):
     return R.read_partitions(t.spark, path, "LARGE", ["Brand#3", "Brand#4"]).select("id", "st")
 
 
-@query("S8_geometry_sink")
+@query("S8_geometry_sink", f"""{_SIMPLIFIED} SELECT c_mktsegment AS system, c_nationkey AS st, CAST(count(DISTINCT seg_id) AS BIGINT) AS blocks, CAST(count(*) AS BIGINT) AS vertices
+FROM kept JOIN orders ON seg_id = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
 def geometry_sink(t):
     path = _scratch(t)
     v = vertices(t).select(F.col("group_key").alias("route"), F.col("seg_id").alias("line"), F.lit(True).alias("main"), "seq", "lon", "lat")

@@ -63,8 +63,9 @@ def lengths(vertices: DataFrame, keys: list[str]) -> DataFrame:
 
 def chainage(vertices: DataFrame, keys: list[str]) -> DataFrame:
     """P-4: legs with the distance along the line at which each starts and ends."""
-    summed = running_sum(legs(vertices, keys), keys, "seq", "km", "to_km")
-    return summed.withColumn("from_km", F.col("to_km") - F.col("km"))
+    summed = running_sum(legs(vertices, keys), keys, "seq", "km", "to_km", before="from_km")
+    # A leg must start exactly where the one before ends, also where two blocks of the sum meet.
+    return summed.withColumn("from_km", F.round("from_km", 9)).withColumn("to_km", F.round("to_km", 9))
 
 
 def extents(vertices: DataFrame, keys: list[str]) -> DataFrame:

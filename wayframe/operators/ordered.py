@@ -129,17 +129,23 @@ def quantiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple
     return ranked.groupBy(*keys).agg(*aggs).drop(*extra)
 
 
-def running_sum(df: DataFrame, keys: list[str], seq: str, value: str, name: str,
+def running_sum(df: DataFrame, keys: list[str], seq: str, value: str, name: str, before: str | None = None,
                 block: int = BLOCK) -> DataFrame:
-    """Inclusive running sum of ``value`` in the order of the whole number ``seq`` (P-4, A-30, A-31)."""
+    """Inclusive running sum of ``value`` in the order of the whole number ``seq`` (P-4, A-30, A-31).
+
+    ``before`` names a column for the sum up to the row before, equal to what that row got.
+    """
     keys, extra = _keyed(keys, seq)
     blocked = df.withColumns(extra).withColumn("_block", F.floor(F.col(seq) / block))
-    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = (blocked.groupBy(*keys, "_block").agg(F.sum(value).alias("_bw"))
-              .withColumn("_start", F.coalesce(F.sum("_bw").over(before), F.lit(0.0))).drop("_bw"))
-    inside = W.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (blocked.withColumn("_in", F.sum(value).over(inside)).join(starts, [*keys, "_block"])
-            .withColumn(name, F.col("_in") + F.col("_start")).drop("_in", "_start", "_block", *extra))
+              .withColumn("_start", F.coalesce(F.sum("_bw").over(earlier), F.lit(0.0))).drop("_bw"))
+    row = W.partitionBy(*keys, "_block").orderBy(seq)
+    summed = (blocked.withColumn("_in", F.sum(value).over(row.rowsBetween(W.unboundedPreceding, W.currentRow))).join(starts, [*keys, "_block"])
+              .withColumn(name, F.col("_in") + F.col("_start")))
+    if before:
+        summed = summed.withColumn(before, F.coalesce(F.lag(name).over(row), F.col("_start")))
+    return summed.drop("_in", "_start", "_block", *extra)
 
 
 def carry(df: DataFrame, keys: list[str], seq: str, value: str, name: str, forward: bool = True,
