@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayframe.llm.mixing import mix, word_count
+from wayframe.llm.registry import ready
 from wayframe.runtime import cut
-from pyspark.sql import functions as F
 
 # The whole run as SQL: none, as several stages are fitted models or approximate searches.
 ORACLE_SQL = None

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import mixing  # noqa: F401
+from . import mixing, quality, toxicity  # noqa: F401
