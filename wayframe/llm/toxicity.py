@@ -14,8 +14,8 @@ FOLDS = 5
 # Most texts the classifier is fitted on: confirmed toxic ones, and others whose labels are not looked at.
 POSITIVES = 4_000
 UNLABELLED = 8_000
-STEPS = 250
-DECAY = 2e-4
+STEPS = 400
+DECAY = 2e-5
 # How many standard errors a word's share of the toxic texts must lie from its share of the others to be looked at.
 APART = 5.0
 
