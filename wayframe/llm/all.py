@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import mixing, neighbours, quality, toxicity  # noqa: F401
+from . import brown, mixing, neighbours, quality, toxicity  # noqa: F401

@@ -21,7 +21,7 @@ WIDEN = 1.15
 START = 0.3
 # Rounds end when so many vectors for each wanted neighbour, and such a share of the shard,
 # have collided often enough.  Set by the recall against brute force.
-SURPLUS = 10
+SURPLUS = 20
 SHARE = 0.15
 # Vectors of a shard and queries of a block: what one task holds at a time.
 SHARD = 16_384
