@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import brown, mixing, neighbours, quality, templates, toxicity  # noqa: F401
+from . import brown, contamination, mixing, neighbours, quality, templates, toxicity  # noqa: F401
