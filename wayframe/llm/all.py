@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import brown, contamination, lines, mixing, neighbours, ngrams, quality, templates, toxicity  # noqa: F401
+from . import brown, contamination, lines, mixing, neighbours, ngrams, quality, suffixes, templates, toxicity  # noqa: F401
