@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import Adam, Sparse, bucket_of, sample_features, scored, sigmoid, spread, together
+from .features import Adam, Sparse, bucket_of, rows_of, sample_features, scored, sigmoid, spread, together
 from .registry import query, table
 
 BITS = 18
@@ -94,6 +95,18 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = FOLDS)
     return out.select("doc_id", (bucket_of(F.col("doc_id"), folds) == fold).alias("held_out"), "score", "predicted")
 
 
+def clean(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = FOLDS) -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns; nothing is shuffled for it."""
+    rate, at = model(docs, labels, fold, folds), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, m in rows_of(batch.column(at), BITS, structure=False):
+                yield batch.slice(lo, hi - lo).filter(pa.array(rate(m) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op7_toxicity")
 def op7(spark, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
