@@ -25,10 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line repeats go, and documents that have no other line left; ``n_chars`` follows the text."""
     ready(spark)
-    left = lines.dedup(docs)
-    left = left.filter((F.col("exact") + F.col("near") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    changed = F.when(F.col("exact") + F.col("near") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return left.select(*[changed.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    left = lines.dedup(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    lost = F.col("exact") + F.col("near") > 0
+    left = left.filter(~lost | (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    return left.select("doc_id", "text", "lang", "source", F.when(lost, F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def keep_one_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ def spread(key: Column, seed: int) -> Column:
 
 def sample_features(docs: DataFrame, ids: DataFrame, bits: int, structure: bool) -> list[tuple[int, bytes, bytes, int]]:
     """(doc_id, columns, values, y) of the chosen documents.  ``ids`` is bounded by its maker, and so is what comes back."""
-    chosen = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

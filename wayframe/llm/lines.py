@@ -132,6 +132,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, ``text`` without the removed lines, and ``lines``, ``exact`` and ``near``: how many it had and lost.
 
+    Columns of those three names that the documents have already are replaced.
+
     Lines are what line feeds part; words are what white space parts, in lower case.  Lines
     stand in the order of doc_id and place.  A line goes if an earlier one has the same words,
     or, from ``NEAR_WORDS`` words on, if an earlier one is within one word added, lost or
@@ -141,14 +143,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     id stand before all others, as one document.  Repeated rows have the same places and lose
     the same lines.
     """
-    gone = removed_lines(docs)
-    kept = (docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
-            .join(gone.select(F.col("doc").alias("_doc"), F.col("exact").alias("_exact"), F.col("near").alias("_near")), "_doc", "left"))
+    gone = removed_lines(docs.select("doc_id", "text")).select(F.col("doc").alias("__doc"), F.col("exact").alias("__exact"), F.col("near").alias("__near"))
+    kept = docs.drop("lines", "exact", "near").withColumn("__doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).join(gone, "__doc", "left")
     lines = F.split("text", "\n")
-    left = F.filter(lines, lambda line, i: ~F.array_contains("_exact", i) & ~F.array_contains("_near", i))
+    left = F.filter(lines, lambda line, i: ~F.array_contains("__exact", i) & ~F.array_contains("__near", i))
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("bigint")
-    return kept.select(*[F.when(F.col("_exact").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-                       size(lines).alias("lines"), size(F.col("_exact")).alias("exact"), size(F.col("_near")).alias("near"))
+    return (kept.withColumns({"lines": size(lines), "exact": size(F.col("__exact")), "near": size(F.col("__near"))})
+            .withColumn("text", F.when(F.col("__exact").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop("__doc", "__exact", "__near"))
 
 
 @query("op8_line_dedup")
