@@ -245,21 +245,21 @@ def number_classes(t):
 
 
 # ---------------------------------------------------------------- names matched with names
-@query("J19_fuzzy_places", """WITH w AS (SELECT o_orderkey AS crossing, CASE o_orderkey % 4 WHEN 0 THEN 'BOLT' WHEN 1 THEN 'GEAR' WHEN 2 THEN 'SMALL' ELSE 'PLATE' END AS town, 'Brand#' || (1 + o_custkey % 25) AS st FROM orders),
+@query("J19_fuzzy_places", """WITH w AS (SELECT o_orderkey AS crossing, CASE o_orderkey % 6 WHEN 0 THEN 'BOLT' WHEN 1 THEN 'GEAR' WHEN 2 THEN 'SMALL' WHEN 3 THEN 'RED' WHEN 4 THEN 'AR' ELSE 'PLATE' END AS town, 'Brand#' || (1 + o_custkey % 25) AS st FROM orders),
 c AS (SELECT p_partkey AS place, p_brand AS st, upper(p_name) AS name, p_size % 5 AS rank, p_retailprice / 300 AS km FROM part)
 SELECT crossing, arg_min(place, (rank, km, place)) AS place, arg_min(rank, (rank, km, place)) AS rank FROM w JOIN c ON w.st = c.st AND contains(name, town) WHERE km <= 5 GROUP BY 1""")
 def fuzzy_places(t):
-    w = t.orders.select(F.col("o_orderkey").alias("crossing"), F.element_at(F.array(*map(F.lit, ["BOLT", "GEAR", "SMALL", "PLATE"])), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("town"),
+    w = t.orders.select(F.col("o_orderkey").alias("crossing"), F.element_at(F.array(*map(F.lit, ["BOLT", "GEAR", "SMALL", "RED", "AR", "PLATE"])), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("town"),
                         F.concat(F.lit("Brand#"), (1 + F.col("o_custkey") % 25).cast("string")).alias("st"))
     c = t.part.select(F.col("p_partkey").alias("place"), F.col("p_brand").alias("st"), X.fold(F.col("p_name")).alias("name"), (F.col("p_size") % 5).alias("rank"), (F.col("p_retailprice") / 300).alias("km"))
     return M.fuzzy_places(w, c, "crossing", "st", "town", "name", "place", "rank", "km").select("crossing", "place", "rank")
 
 
-@query("J20_ranked_facilities", """WITH w AS (SELECT n_nationkey AS want, CASE n_nationkey % 3 WHEN 0 THEN 'red bolt' WHEN 1 THEN 'blue' ELSE 'gear' END AS name FROM nation), f AS (SELECT p_partkey AS facility, p_name || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' port' END AS title, p_retailprice AS km FROM part),
+@query("J20_ranked_facilities", """WITH w AS (SELECT n_nationkey AS want, CASE n_nationkey % 5 WHEN 0 THEN 'red bolt' WHEN 1 THEN 'blue' WHEN 2 THEN 'red' WHEN 3 THEN 'ea' ELSE 'gear' END AS name FROM nation), f AS (SELECT p_partkey AS facility, p_name || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' port' END AS title, p_retailprice AS km FROM part),
 h AS (SELECT want, facility, CASE WHEN title = name THEN 0 WHEN starts_with(title, name) THEN 1 ELSE 2 END AS rank, km FROM w JOIN f ON contains(title, name) WHERE km <= 1500)
 SELECT want, arg_min(facility, (rank, km, facility)) AS facility, CAST(min(rank) AS INT) AS rank FROM h GROUP BY 1""")
 def ranked_facilities(t):
-    w = t.nation.select(F.col("n_nationkey").alias("want"), F.element_at(F.array(*map(F.lit, ["red bolt", "blue", "gear"])), F.col("n_nationkey") % 3 + 1).alias("name"))
+    w = t.nation.select(F.col("n_nationkey").alias("want"), F.element_at(F.array(*map(F.lit, ["red bolt", "blue", "red", "ea", "gear"])), F.col("n_nationkey") % 5 + 1).alias("name"))
     f = t.part.select(F.col("p_partkey").alias("facility"), F.concat("p_name", F.when(F.col("p_size") % 3 == 0, "").otherwise(" port")).alias("title"), F.col("p_retailprice").alias("km"))
     return M.ranked_facility(w, f, "want", "name", "title", "facility", "km", 1500).select("want", "facility", "rank")
 
@@ -284,15 +284,15 @@ def place_pairs(t):
     return M.place_pairs(titles, "title", "text").groupBy("title").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query("J22_number_verdicts", """WITH l AS (SELECT p_brand AS st, p_size % 12 AS num, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part WHERE p_partkey % 2 = 0),
+@query("J22_number_verdicts", """WITH l AS (SELECT p_brand AS st, p_size % 12 AS num, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
 l2 AS (SELECT st, num, upper(CASE WHEN length(a) >= 4 THEN a END) AS a, upper(CASE WHEN length(b) >= 4 THEN b END) AS b FROM l),
-o AS (SELECT DISTINCT p_brand AS st, p_size % 15 AS num, upper(replace(p_name, ' ', '')) AS seg FROM part WHERE p_partkey % 3 = 0),
+o AS (SELECT DISTINCT p_brand AS st, p_size % 15 AS num, upper(replace(p_name, ' ', '')) AS seg FROM part),
 h AS (SELECT l2.st, l2.num, bool_or(o.num = l2.num) AS same, bool_or(o.num <> l2.num) AS other FROM l2 JOIN o ON l2.st = o.st AND (a IS NULL OR contains(seg, a)) AND (b IS NULL OR contains(seg, b)) AND (a IS NOT NULL OR b IS NOT NULL) GROUP BY 1, 2),
 k AS (SELECT DISTINCT st, num FROM l2), m AS (SELECT DISTINCT st, num FROM o)
 SELECT k.st, k.num, CASE WHEN same AND m.num IS NOT NULL THEN 'agree' WHEN other THEN 'otherNumber' WHEN m.num IS NOT NULL THEN 'numberOnly' ELSE 'notFound' END AS verdict FROM k LEFT JOIN h ON k.st = h.st AND k.num = h.num LEFT JOIN m ON k.st = m.st AND k.num = m.num""")
 def number_verdicts(t):
-    register = t.part.filter("p_partkey % 2 = 0").select(F.col("p_brand").alias("st"), (F.col("p_size") % 12).alias("num"), F.regexp_replace("p_name", " ", " - ").alias("name"), F.col("p_partkey").alias("road"))
-    ours = t.part.filter("p_partkey % 3 = 0").select(F.col("p_brand").alias("st"), (F.col("p_size") % 15).alias("num"), F.col("p_name").alias("name"))
+    register = t.part.select(F.col("p_brand").alias("st"), (F.col("p_size") % 12).alias("num"), F.regexp_replace("p_name", " ", " - ").alias("name"), F.col("p_partkey").alias("road"))
+    ours = t.part.select(F.col("p_brand").alias("st"), (F.col("p_size") % 15).alias("num"), F.col("p_name").alias("name"))
     return M.number_verdicts(register, ours, "st", "num", "name", "road")
 
 

@@ -2,6 +2,7 @@
 
 "Contains" is turned into an equi-join: a needle can only lie where its first few letters
 do, so texts and needles meet on letter groups, and no text is compared with every needle.
+A needle of fewer letters than a group meets on all its letters.
 """
 
 from __future__ import annotations
@@ -26,10 +27,20 @@ FILLER = r"^(?:RAMAL A|ACCESO A|ENT\.?|EST\.?|E\.? ?C\.?|T\.? ?C\.?|LIBRAMIENTO(
 
 
 def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str, on: list[str] = (), letters: int = LETTERS) -> DataFrame:
-    """Pairs in which ``text`` contains ``needle`` (of ``letters`` letters or more), among rows that agree on ``on``."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - letters + 1), lambda i: F.substring(F.col(text), i, F.lit(letters))))
-    spread = texts.filter(F.length(text) >= letters).withColumn("_gram", F.explode(grams))
-    anchored = needles.filter(F.length(needle) >= letters).withColumn("_gram", F.substring(F.col(needle), 1, letters))
+    """Pairs in which ``text`` contains ``needle``, among rows that agree on ``on``; an empty needle is in no text.
+
+    Texts give their groups only of the lengths that needles have, up to ``letters``.
+    """
+    size = F.least(F.length(needle), F.lit(letters))
+    sizes = sorted(r[0] for r in needles.filter(F.length(needle) > 0).select(size).distinct().collect())  # ``letters`` numbers at most
+
+    def of_length(k: int) -> Column:
+        return F.transform(F.when(F.length(text) >= k, F.sequence(F.lit(1), F.length(text) - k + 1)), lambda i: F.substring(F.col(text), i, F.lit(k)))
+
+    groups = [of_length(k) for k in sizes]
+    grams = F.array_distinct(F.flatten(F.array_compact(F.array(*groups)))) if groups else F.array().cast("array<string>")
+    spread = texts.withColumn("_gram", F.explode(grams))
+    anchored = needles.filter(F.length(needle) > 0).withColumn("_gram", F.substring(F.col(needle), F.lit(1), size))
     return skew_join(spread, anchored, [*on, "_gram"]).filter(F.col(text).contains(F.col(needle))).drop("_gram")
 
 
@@ -40,10 +51,21 @@ def fuzzy_places(crossings: DataFrame, candidates: DataFrame, crossing: str, pro
     return first_by(hits, [crossing], [rank, boundary_km, place], [place, rank, boundary_km])
 
 
+# What may stand before a port's name, and after it without making it another.
+PORT_BEFORE = "^(?:中华人民共和国|中国)"
+PORT_AFTER = ["", "口岸", "公路口岸", "陆路口岸"]
+
+
 def ranked_facility(wanted: DataFrame, facilities: DataFrame, want: str, name: str, title: str, facility: str, km: str, max_km: float) -> DataFrame:
-    """J-20: the facility whose name is, begins with or contains the wanted one, then the nearest to the boundary."""
+    """J-20: the facility whose name is (0), begins with (1) or contains (2) a wanted one, then the nearest to the boundary.
+
+    ``wanted`` may have several names for one place.  The country before a title and the kind of
+    port after it do not count.
+    """
     hits = contains_join(facilities.filter(F.col(km) <= max_km), title, wanted, name)
-    rank = F.when(F.col(title) == F.col(name), 0).when(F.col(title).startswith(F.col(name)), 1).otherwise(2)
+    bare = F.regexp_replace(title, PORT_BEFORE, "")
+    same = F.array_contains(F.array(*[F.concat(F.col(name), F.lit(k)) for k in PORT_AFTER]), bare)
+    rank = F.when(same, 0).when(bare.startswith(F.col(name)), 1).otherwise(2)
     return first_by(hits.withColumn("rank", rank), [want], ["rank", km, facility], [facility, "rank", km])
 
 
@@ -55,17 +77,22 @@ def plain_title(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9 -]", " "), r"\s+", " "))
 
 
-def place_pairs(titles: DataFrame, title: str, text: str, words: int = 7) -> DataFrame:
+def place_pairs(titles: DataFrame, title: str, text: str, known: DataFrame | None = None, place: str = "place") -> DataFrame:
     """J-21: pairs of places a title may write as "A - B" (title, a, b), also the two ends of "A - B - C".
 
-    Each side is every run of up to ``words`` words next to the hyphen.
+    Each side is a run of words next to the hyphen.  With ``known`` places only runs that are
+    one of them are paired, so that long sides stay short lists.
     """
     parts = titles.select(title, F.posexplode(F.split(plain_title(F.col(text)), " - ")).alias("p", "w")).withColumn("w", F.split("w", " "))
-    runs = lambda from_end: F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size("w"))), lambda k: F.array_join(
+    runs = lambda from_end: F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.array_join(
         F.slice("w", F.size("w") - k + 1 if from_end else F.lit(1), k), " "))
-    left = parts.select(title, F.explode(F.array(F.col("p") + 1, F.col("p") + 2)).alias("p"), runs(True).alias("l"))
-    right = parts.select(title, "p", runs(False).alias("r"))
-    return left.join(right, [title, "p"]).select(title, F.explode("l").alias("a"), "r").select(title, "a", F.explode("r").alias("b")).distinct()
+    left = parts.select(title, "p", F.explode(runs(True)).alias("a"))
+    right = parts.select(title, "p", F.explode(runs(False)).alias("b"))
+    if known is not None:
+        names = known.select(F.col(place).alias("a")).distinct()
+        left, right = left.join(names, "a", "left_semi"), right.join(names.withColumnRenamed("a", "b"), "b", "left_semi")
+    left = left.select(title, "a", F.explode(F.array(F.col("p") + 1, F.col("p") + 2)).alias("p"))
+    return left.join(right, [title, "p"]).select(title, "a", "b").distinct()
 
 
 def pair_key(a: Column, b: Column) -> Column:
@@ -81,12 +108,13 @@ def propose(titles: DataFrame, title_states: DataFrame, roads: DataFrame, points
     """
     plain = roads.select(state, road, plain_title(F.col(name)).alias("_n"))
     ends = F.split("_n", " - ")
-    pairs = place_pairs(titles, title, text).join(title_states, title)
+    stops = points.select(state, road, plain_title(F.col(place)).alias("a")).distinct()
+    known = stops.select("a").unionByName(plain.filter(F.size(ends) == 2).select(F.explode(ends).alias("a")))
+    pairs = place_pairs(titles, title, text, known, "a").join(title_states, title)
     by_ends = (pairs.withColumn("_k", pair_key(F.col("a"), F.col("b")))
                .join(plain.filter(F.size(ends) == 2).withColumn("_k", pair_key(ends[0], ends[1])), [state, "_k"]).select(title, road, F.lit("road").alias("via")))
     written = contains_join(titles.withColumn("_t", F.concat(F.lit(" "), plain_title(F.col(text)), F.lit(" "))).join(title_states, title), "_t",
                             plain.filter(F.length("_n") >= 8).withColumn("_needle", F.concat(F.lit(" "), F.col("_n"), F.lit(" "))), "_needle", [state])
-    stops = points.select(state, road, plain_title(F.col(place)).alias("a")).distinct()
     at_points = (pairs.filter(F.col("a") != F.col("b")).join(stops, [state, "a"])
                  .join(stops.withColumnRenamed("a", "b"), [state, road, "b"]).select(title, road, F.lit("points").alias("via")))
     every = by_ends.unionByName(written.select(title, road, F.lit("road").alias("via"))).unionByName(at_points)
