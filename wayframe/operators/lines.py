@@ -1,7 +1,7 @@
 """Lines as vertex rows: lengths, sampling, simplification, chaining (P-3, P-4, P-6, P-7, G-1..G-5, G-22, G-26).
 
-A line is rows (keys, seq, lon, lat) with ``seq`` counting from 0 without holes, so the
-neighbour of a vertex is an equi-join away and no line has to fit one task.
+A line is rows (keys, seq, lon, lat) with ``seq`` counting from 0 without holes.  Neighbours
+are found within blocks of a line, so no line has to fit one task.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing, haversine, line_km, offset_deg, project, runs_forward
@@ -42,9 +43,13 @@ def to_fragments(vertices: DataFrame, keys: list[str], seq: str = "seq") -> Data
 
 def legs(vertices: DataFrame, keys: list[str]) -> DataFrame:
     """Straight legs (keys, seq, ax, ay, bx, by, km); ``seq`` is that of the leg's second vertex."""
-    before = vertices.select(*keys, (F.col("seq") + 1).alias("seq"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
-    after = vertices.select(*keys, "seq", F.col("lon").alias("bx"), F.col("lat").alias("by"))
-    return before.join(after, [*keys, "seq"]).withColumn("km", haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    here = F.floor(F.col("seq") / BLOCK_VERTICES)
+    # The last vertex of a block is also the one before the first of the next, so neighbours are found within blocks.
+    last = F.col("seq") % BLOCK_VERTICES == BLOCK_VERTICES - 1
+    blocks = (vertices.select(*keys, "seq", "lon", "lat", F.explode(F.when(last, F.array(here, here + 1)).otherwise(F.array(here))).alias("_b")))
+    w = W.partitionBy(*keys, "_b").orderBy("seq")
+    return (blocks.select(*keys, "seq", F.lag("seq").over(w).alias("_p"), F.lag("lon").over(w).alias("ax"), F.lag("lat").over(w).alias("ay"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
+            .filter(F.col("_p") == F.col("seq") - 1).drop("_p").withColumn("km", haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))))
 
 
 def fragment_legs(lines: DataFrame, keys: list[str], coords: str) -> DataFrame:
@@ -63,9 +68,8 @@ def lengths(vertices: DataFrame, keys: list[str]) -> DataFrame:
 
 def chainage(vertices: DataFrame, keys: list[str]) -> DataFrame:
     """P-4: legs with the distance along the line at which each starts and ends."""
-    summed = running_sum(legs(vertices, keys), keys, "seq", "km", "to_km", before="from_km")
-    # A leg must start exactly where the one before ends, also where two blocks of the sum meet.
-    return summed.withColumn("from_km", F.round("from_km", 9)).withColumn("to_km", F.round("to_km", 9))
+    # A leg starts exactly where the one before ends.
+    return running_sum(legs(vertices, keys), keys, "seq", "km", "to_km", before="from_km")
 
 
 def extents(vertices: DataFrame, keys: list[str]) -> DataFrame:

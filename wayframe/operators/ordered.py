@@ -136,13 +136,14 @@ def running_sum(df: DataFrame, keys: list[str], seq: str, value: str, name: str,
     ``before`` names a column for the sum up to the row before, equal to what that row got.
     """
     keys, extra = _keyed(keys, seq)
-    blocked = df.withColumns(extra).withColumn("_block", F.floor(F.col(seq) / block))
+    row = W.partitionBy(*keys, "_block").orderBy(seq)
+    inside = (df.withColumns(extra).withColumn("_block", F.floor(F.col(seq) / block))
+              .withColumn("_in", F.sum(value).over(row.rowsBetween(W.unboundedPreceding, W.currentRow))))
+    # A block's total is its last running sum, so the next block starts from the very number at which this one ends.
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = (blocked.groupBy(*keys, "_block").agg(F.sum(value).alias("_bw"))
+    starts = (inside.groupBy(*keys, "_block").agg(F.max_by("_in", seq).alias("_bw"))
               .withColumn("_start", F.coalesce(F.sum("_bw").over(earlier), F.lit(0.0))).drop("_bw"))
-    row = W.partitionBy(*keys, "_block").orderBy(seq)
-    summed = (blocked.withColumn("_in", F.sum(value).over(row.rowsBetween(W.unboundedPreceding, W.currentRow))).join(starts, [*keys, "_block"])
-              .withColumn(name, F.col("_in") + F.col("_start")))
+    summed = inside.join(starts, [*keys, "_block"]).withColumn(name, F.col("_in") + F.col("_start"))
     if before:
         summed = summed.withColumn(before, F.coalesce(F.lag(name).over(row), F.col("_start")))
     return summed.drop("_in", "_start", "_block", *extra)
