@@ -359,10 +359,10 @@ def parent_cities(t):
     return N.parent_cities(t.places.filter("kind = 'town'").withColumnRenamed("place_id", "district"), cities, "district", "city").select("district", "city")
 
 
-@query("J35_facility_points", """WITH l AS (SELECT route AS f, avg(lon) AS x, avg(lat) AS y FROM stations WHERE station % 4 = 0 GROUP BY 1), n AS (SELECT group_key AS f, avg(lon) AS x, avg(lat) AS y FROM vertices GROUP BY 1)
+@query("J35_facility_points", """WITH l AS (SELECT route AS f, avg(lon) AS x, avg(lat) AS y FROM stations GROUP BY 1), n AS (SELECT group_key AS f, avg(lon) AS x, avg(lat) AS y FROM vertices GROUP BY 1)
 SELECT coalesce(l.f, n.f) AS facility, round(coalesce(l.x, n.x), 7) AS lon, round(coalesce(l.y, n.y), 7) AS lat, CASE WHEN l.x IS NOT NULL THEN 'listed' ELSE 'named' END AS by FROM l FULL JOIN n ON l.f = n.f""")
 def facility_points(t):
-    listed = t.stations.filter("station % 4 = 0").select(F.col("route").alias("facility"), "lon", "lat")
+    listed = t.stations.select(F.col("route").alias("facility"), "lon", "lat")
     return N.facility_points(listed, t.vertices.select(F.col("group_key").alias("facility"), "lon", "lat"), "facility")
 
 

@@ -264,11 +264,14 @@ def widest_gaps(t):
     return I.top(t.routes.filter("gap_mi > 0").select("id", "sys", "gap_mi"), [F.col("gap_mi").desc(), F.col("id")], 20)
 
 
-@query("O3_search", """WITH h AS (SELECT *, upper(label || ' ' || name || ' ' || st) AS hay FROM routes)
-SELECT id, CASE WHEN upper(label) = 'RED BRAND#1' THEN -400 WHEN CAST(number AS VARCHAR) = 'RED BRAND#1' THEN -300 WHEN upper(name) LIKE 'RED BRAND#1%' THEN -250 ELSE 0 END AS score
-FROM h WHERE contains(hay, 'RED') AND contains(hay, 'BRAND#1') ORDER BY score, mi DESC, id LIMIT 300""")
+@query("O3_search", """WITH h AS (SELECT *, upper(label || ' ' || name || ' ' || st) AS hay FROM routes),
+r AS (SELECT id, CASE WHEN upper(label) = 'RED BRAND#1' THEN -400 ELSE 0 END + CASE WHEN CAST(number AS VARCHAR) = 'RED BRAND#1' THEN -300 ELSE 0 END + CASE WHEN upper(name) LIKE 'RED BRAND#1%' OR upper(st) LIKE 'RED BRAND#1%' THEN -250 ELSE 0 END
+  + CASE sys WHEN 'ECONOMY' THEN -60 WHEN 'SMALL' THEN -20 ELSE 0 END + CASE WHEN cc = 'EC' THEN -15 ELSE 0 END - least(mi, 3000) / 100 AS score FROM h WHERE contains(hay, 'RED') AND contains(hay, 'BRAND#1'))
+SELECT id, round(score, 6) AS score, count(*) OVER () AS total FROM r ORDER BY r.score, id LIMIT 300""")
 def search(t):
-    return I.search(I.haystack(t.routes, "label", "name", "st"), "red brand#1", "label", "number", "name", "mi", "id").select("id", "score")
+    tier = F.when(F.col("sys") == "ECONOMY", "primary").when(F.col("sys") == "SMALL", "auxiliary")
+    rows = I.haystack(t.routes.withColumn("tier", tier), "label", "name", "st")
+    return I.search(rows, "red brand#1", "label", "number", ["name", "st"], "mi", "id", "tier", F.col("cc") == "EC").select("id", F.round("score", 6).alias("score"), "total")
 
 
 @query("O3_search_many", """WITH w AS (SELECT DISTINCT id, unnest(string_split(upper(name || ' ' || st), ' ')) AS w FROM routes),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEG, haversine
-from ..runtime import SMALL_BYTES, cut, estimated_bytes, skew_join
+from ..runtime import cut, discard, skew_join
 from .grid import around, in_cell
 from .ordered import first_by
 
@@ -39,8 +39,9 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = down.join(least, "u")
         small = (small.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        before = now
+        before, old = now, edges
         edges, now = cut(small, **_fingerprint())
+        discard(old)
         if now == before:
             break
     else:
@@ -106,13 +107,12 @@ def extremities(nodes: DataFrame, comp: str = "comp") -> DataFrame:
 
 
 def bridges(nodes: DataFrame, edges: DataFrame, group: str, budget_km: float, any_node: bool = False,
-            from_extremities: bool = False, steps: tuple[float, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+            from_extremities: bool = False, steps: tuple[float, ...] = (1 / 64, 1 / 8, 1.0)) -> tuple[DataFrame, DataFrame]:
     """G-8: gap-closing edges (group, a, b, km) between components of a group, and the components after it (node, comp).
 
     ``nodes`` has group, node, lon, lat, comp.  Shortest gap first, one per merge, is a
     minimum spanning forest over the components; it is grown in rounds in which every
-    component takes its shortest gap.  Where there are many ends, reach is widened in steps,
-    so that near gaps are closed, and their pairs gone, before far ones are formed.
+    component takes its shortest gap.  Reach is widened in steps, so that near gaps are closed, and their pairs gone, before far ones are formed.
     """
     dead = degrees(edges).filter(F.col("degree") == 1).select("node")
     sources = dead
@@ -121,8 +121,6 @@ def bridges(nodes: DataFrame, edges: DataFrame, group: str, budget_km: float, an
         sources = dead.unionByName(ends.select(F.col("a").alias("node"))).unionByName(ends.select(F.col("b").alias("node"))).distinct()
     cols = [group, "node", "lon", "lat"]
     start = cut(nodes.join(sources, "node", "left_semi").select(*cols))
-    if steps is None:
-        steps = (1.0,) if estimated_bytes(start) < SMALL_BYTES else (1 / 64, 1 / 8, 1.0)
     ends = nodes.select(*cols) if any_node else start
     comps = cut(nodes.select("node", "comp").distinct())
     found = []
@@ -184,10 +182,13 @@ def chains(edges: DataFrame, stops: DataFrame | None = None) -> DataFrame:
         step = table.join(ahead, "n", "left").select(
             "s", F.col("_n").alias("n"), F.when(F.col("_e").isNotNull(), F.col("hops") + 1 + F.col("_h")).otherwise(F.col("hops")).alias("hops"),
             F.coalesce("_e", "end").alias("end"), F.least("low", "_l").alias("low"))
-        before = m
+        before, old = m, table
         table, m = cut(step, open=F.count("n"), low=F.sum(F.xxhash64("low").cast("decimal(38,0)")))
+        discard(old)
         if m == before:
             break
+    else:
+        raise RuntimeError("chains did not settle")
     # What is still open runs in circles: open each circle at its least edge, walked forward.
     circles = table.filter(F.col("n").isNotNull())
     rings = None
@@ -215,10 +216,13 @@ def _open_circles(edges: DataFrame, circles: DataFrame, nxt: DataFrame) -> DataF
         step = table.join(prev, "p", "left").select("s", "chain", F.col("_p").alias("p"),
                                                     F.when(F.col("_h").isNotNull(), F.col("hops") + 1 + F.col("_h")).otherwise(F.col("hops")).alias("hops"),
                                                     F.coalesce("root", "_r").alias("root"))
-        before = m
+        before, old = m, table
         table, m = cut(step, open=F.count("p"))
+        discard(old)
         if not m["open"] or m == before:
             break
+    else:
+        raise RuntimeError("circles did not settle")
     # Only the direction that starts at the forward root reaches it.
     return table.filter(F.col("root").isNotNull()).select(F.col("s.e").alias("edge_id"), "chain", F.col("hops").alias("pos"), F.col("s.f").alias("forward"))
 
@@ -244,8 +248,10 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, task: str = "task") -> D
             (F.col("s.dist") + F.col("cost")).alias("dist"), F.lit(r).alias("round"), F.col("node").alias("prev"), F.col("edge_id").alias("edge_id"),
             (F.col("s.hops") + 1).alias("hops"), (F.col("s.bridged") + F.col("bridge")).alias("bridged")).alias("s"))
         # The struct compares by cost first; an equal cost found earlier stays.
+        old = state
         state, m = cut(state.unionByName(reach).groupBy(task, "node").agg(F.min("s").alias("s")),
                        fresh=F.count(F.when(F.col("s.round") == r, 1)))
+        discard(old)
     raise RuntimeError("shortest paths did not settle")
 
 
@@ -255,10 +261,14 @@ def trace(tree: DataFrame, goals: DataFrame, task: str = "task") -> DataFrame:
     on = cut(goals.select(task, "node").join(tree.select(task, "node"), [task, "node"], "left_semi"))
     for _ in range(64):
         higher = on.join(jump, [task, "node"]).select(task, F.col("up").alias("node"))
+        old = on, jump
         on = cut(on.unionByName(higher).distinct())
         jump, j = cut(jump.join(jump.select(task, F.col("node").alias("up"), F.col("up").alias("_up")), [task, "up"]).select(task, "node", F.col("_up").alias("up")), n=F.count(F.lit(1)))
+        discard(*old)
         if not j["n"]:
             break
+    else:
+        raise RuntimeError("paths did not settle")
     return tree.join(on, [task, "node"], "left_semi").filter(F.col("prev").isNotNull()).select(
         task, F.col("hops").alias("seq"), "node", "prev", "edge_id")
 
@@ -271,9 +281,13 @@ def climb_to(tree: DataFrame, marked: DataFrame, task: str = "task") -> DataFram
     for _ in range(64):
         if not m["open"]:
             break
+        old = table
         above = table.select(task, F.col("node").alias("up"), F.col("at").alias("_at"), F.col("up").alias("_up"))
         table, m = cut(table.join(above, [task, "up"], "left").select(
             task, "node", F.coalesce("at", "_at").alias("at"), F.col("_up").alias("up")), open=F.count("up"))
+        discard(old)
+    else:
+        raise RuntimeError("trees did not settle")
     return table.filter(F.col("at").isNotNull()).select(task, "node", "at")
 
 

@@ -93,17 +93,23 @@ def haystack(routes: DataFrame, *columns: str) -> DataFrame:
     return routes.withColumn("hay", fold(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])))
 
 
-def search(routes: DataFrame, phrase: str, label: str, number: str, name: str, miles: str, tie: str, k: int = 300) -> DataFrame:
-    """O-3: routes whose haystack holds every term, best first.
+def search(routes: DataFrame, phrase: str, label: str, number: str, names: list[str], miles: str, tie: str, tier: str | None = None,
+           here: Column | None = None, k: int = 300) -> DataFrame:
+    """O-3: the ``k`` best routes whose haystack holds every term, and ``total``, the number of all.
 
-    An exact label counts most, then an exact number, then a name that starts with the
-    phrase; longer routes come first among equals.
+    An exact label counts most, then an exact number, then a name that starts with the phrase;
+    then the tier, being in the region on screen (``here``), and the length.
     """
-    want = " ".join(phrase.upper().split())
+    want = " ".join(phrase.upper().split()).replace("\u2013", "-").replace("\u2014", "-")
     hits = routes.filter(reduce(lambda a, b: a & b, [F.col("hay").contains(term) for term in want.split(" ")]))
-    score = (F.when(fold(F.col(label)) == want, -400).when(F.col(number).cast("string") == want, -300)
-             .when(fold(F.col(name)).startswith(want), -250).otherwise(0))
-    return hits.withColumn("score", score).orderBy("score", F.col(miles).desc(), tie).limit(k)
+    nothing = F.lit(0)
+    named = reduce(lambda a, b: a | b, [F.coalesce(fold(F.col(n)).startswith(want), F.lit(False)) for n in names])
+    score = (F.when(fold(F.col(label)) == want, -400).otherwise(nothing) + F.when(F.col(number).cast("string") == want, -300).otherwise(nothing)
+             + F.when(named, -250).otherwise(nothing)
+             + (F.when(F.col(tier) == "primary", -60).when(F.col(tier) == "auxiliary", -20).otherwise(nothing) if tier else nothing)
+             + (F.when(here, -15).otherwise(nothing) if here is not None else nothing) - F.least(F.col(miles), F.lit(3000)) / 100)
+    total = hits.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    return hits.withColumn("score", score).withColumn("total", F.lit(total).cast("bigint")).orderBy("score", tie).limit(k)
 
 
 def search_many(routes: DataFrame, phrases: DataFrame, phrase_id: str, term: str, route: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import cut, estimated_bytes
+from ..runtime import cut
 
 # Consecutive rows of a key that one task may order.
 BLOCK = 65_536
@@ -29,28 +29,28 @@ def value_buckets(df: DataFrame, keys: list[str], value: str, buckets: int = BUC
     """Add ``_bucket``: the range bucket of ``value`` within its key, with about even counts.
 
     Buckets are split again, level by level, until even a key that holds all rows leaves no
-    bucket too large for a task; the number of levels follows the estimated size.  The
-    bounds (one short array per key and bucket) are written out, so that a re-run task sees
-    the same ones.
+    bucket too large for a task; the number of levels follows the counted rows of the largest
+    key.  The bounds (one short array per key and bucket) are written out, so that a re-run task
+    sees the same ones.
     """
+    out, most = _split(df, keys, value, buckets)
     if levels is None:
-        rows, levels = estimated_bytes(df) / 32, 1
-        while rows > BUCKET_ROWS * buckets ** levels:
+        levels = 1
+        while most > BUCKET_ROWS * buckets ** levels:
             levels += 1
-    out = _split(df, keys, value, buckets)
     for _ in range(levels - 1):
-        finer = _split(out.withColumnRenamed("_bucket", "_coarse"), [*keys, "_coarse"], value, buckets)
+        finer, _ = _split(out.withColumnRenamed("_bucket", "_coarse"), [*keys, "_coarse"], value, buckets)
         out = finer.withColumn("_bucket", F.col("_coarse") * buckets + F.col("_bucket")).drop("_coarse")
     return out
 
 
-def _split(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
+def _split(df: DataFrame, keys: list[str], value: str, buckets: int) -> tuple[DataFrame, int]:
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = cut(df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(F.col(value), cuts, 1000)).alias("_bounds")))
-    return (df.join(bounds, keys, "left")
+    bounds, seen = cut(df.groupBy(*keys).agg(
+        F.array_distinct(F.percentile_approx(F.col(value), cuts, 1000)).alias("_bounds"), F.count(F.lit(1)).alias("_rows")), most=F.max("_rows"))
+    return (df.join(bounds.drop("_rows"), keys, "left")
             .withColumn("_bucket", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0)).cast("bigint"))
-            .drop("_bounds"))
+            .drop("_bounds"), seen["most"] or 0)
 
 
 def positions(df: DataFrame, keys: list[str], order: list[Column], lead: str, descending: bool = False,

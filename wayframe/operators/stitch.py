@@ -17,7 +17,7 @@ from ..runtime import cut, skew_join
 from .graph import bridges, chains, climb_to, connected, degrees, extremities, label_nodes, nearest_node, shortest_paths, snap, trace
 from .grid import coincident_share, near_legs, within
 from .lines import fragment_legs, sample_fragments, walk
-from .ordered import first_by, merge_intervals, positions, running_sum, top_k
+from .ordered import first_by, merge_intervals, positions, running_sum
 
 
 @dataclass
@@ -94,7 +94,7 @@ def expand(steps: DataFrame, short: DataFrame, members: DataFrame, edges: DataFr
 
 
 def past_the_end(tree: DataFrame, ends: DataFrame, nodes: DataFrame, dead_ends: DataFrame, walked: DataFrame,
-                 tail_km: float = 0, gain_km: float = 1.6, tries: int = 24) -> DataFrame:
+                 tail_km: float = 0, gain_km: float = 1.6) -> DataFrame:
     """G-11: the end moved on where the road goes on past it (comp, node).
 
     ``tree`` holds least costs from the other end, ``walked`` the nodes of the path to
@@ -106,9 +106,8 @@ def past_the_end(tree: DataFrame, ends: DataFrame, nodes: DataFrame, dead_ends:
     attach = tree.select("comp", F.col("node").alias("at"), F.col("dist").alias("_at_dist"), F.col("bridged").alias("_at_bridged"))
     beyond = (tree.join(dead_ends.select("node"), "node", "left_semi").join(base, "comp")
               .filter(F.col("dist") - F.col("_base") >= gain_km))
-    # The farthest few are looked at, as a far carriageway's end may come first.
-    tried = top_k(beyond, ["comp"], [F.col("dist").desc(), F.col("node")], tries)
-    ok = (tried.join(hooks, ["comp", "node"]).join(attach, ["comp", "at"])
+    # All are looked at in one join: the farthest may be the end of the other direction's lanes.
+    ok = (beyond.join(hooks, ["comp", "node"]).join(attach, ["comp", "at"])
           .filter((F.col("_base") - F.col("_at_dist") <= tail_km) & (F.col("bridged") == F.col("_at_bridged"))))
     spots = nodes.select("node", "lon", "lat")
     path = walked.select("comp", F.col("node").alias("_w")).join(spots.select(F.col("node").alias("_w"), F.col("lon").alias("wlon"), F.col("lat").alias("wlat")), "_w")

@@ -8,12 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of one join key above which its rows are spread over several tasks.
-HOT_ROWS = 1_000_000
-SALTS = 64
-# Inputs the optimizer puts below this many bytes cannot hold a key worth salting.
-SMALL_BYTES = 16 * 1024 * 1024
-
 _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -64,33 +58,23 @@ def cut(df: DataFrame, **metrics: Column) -> DataFrame | tuple[DataFrame, dict]:
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of a DataFrame as the optimizer estimates it, without running anything."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that :func:`cut` wrote and nothing reads any more, such as the rounds before the last."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/wayframe-" in f.rsplit("/", 1)[0]}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-              hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """Equi-join whose heavy ``left`` keys are spread over ``salts`` tasks.
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on keys of which a few may hold a large share of the rows.
 
-    A small ``left`` (by the optimizer's estimate) is joined plainly, under the runtime's own
-    skew handling.  Otherwise only keys with more than ``hot_rows`` left rows are salted, and only their right rows
-    are repeated; there are at most ``rows / hot_rows`` such keys, which
-    bounds the broadcast.  ``how`` may be inner, left, left_semi or left_anti.
+    Both sides are read once.  The runtime measures the shuffled partitions, splits those that
+    are much larger than the others over several tasks and repeats the other side's part for
+    them (``tune`` has this on, also where the next aggregate then needs a shuffle of its own).
+    No estimate decides anything.
     """
-    if hot_rows == HOT_ROWS and estimated_bytes(left) < SMALL_BYTES:
-        return left.join(right, on, how)
-    hot = F.broadcast(
-        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_hot_rows"))
-        .filter(F.col("_hot_rows") > hot_rows)
-        .select(*on, F.lit(True).alias("_hot")))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    salted = (left.join(hot, on, "left")
-              .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot"))
-    copies = (right.join(hot, on, "left")
-              .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                             .otherwise(F.array(F.lit(0))))).drop("_hot"))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return left.join(right, on, how)
 
 
 def rule_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
