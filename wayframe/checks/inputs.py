@@ -11,8 +11,8 @@ _SLOT = "(o_orderkey % 13)"
 _BRANCH = "(CAST(floor(o_orderkey / 13) AS BIGINT) % 6 = 0)"
 
 
-def _vertex(i: int) -> str:
-    """Vertex ``i`` of 5 of the road fragment an order stands for.
+def _spot(i: int) -> tuple[str, str, str]:
+    """Place in its fragment, longitude and latitude of vertex ``i`` of 5 of the road fragment an order stands for.
 
     The fragments of one customer form a road of 13 slots running east, some fragments leave
     it northwards.  Ends are displaced by a few metres, so they have to be snapped.
@@ -23,10 +23,13 @@ def _vertex(i: int) -> str:
     lon = f"CASE WHEN {_BRANCH} THEN {_SLOT} * 0.05 ELSE ({_SLOT} + {i} / 4.0) * 0.05 END"
     lat = (f"CASE WHEN {_BRANCH} THEN {here} + {i} * 0.012 "
            f"ELSE {here} * {(4 - i) / 4} + {after} * {i / 4} END")
-    return f"""SELECT o_orderkey AS seg_id, o_custkey AS group_key,
-  CAST(CASE WHEN o_orderkey % 2 = 1 THEN {4 - i} ELSE {i} END AS INT) AS i,
-  CAST({_BASE_LON} + {lon} AS DOUBLE) AS lon, CAST({_BASE_LAT} + {lat} + {bend} AS DOUBLE) AS lat
-FROM orders"""
+    return (f"CAST(CASE WHEN o_orderkey % 2 = 1 THEN {4 - i} ELSE {i} END AS INT)",
+            f"CAST({_BASE_LON} + {lon} AS DOUBLE)", f"CAST({_BASE_LAT} + {lat} + {bend} AS DOUBLE)")
+
+
+def _vertex(i: int) -> str:
+    at, lon, lat = _spot(i)
+    return f"SELECT o_orderkey AS seg_id, o_custkey AS group_key, {at} AS i, {lon} AS lon, {lat} AS lat FROM orders"
 
 
 INPUTS = {
@@ -131,3 +134,9 @@ UNION ALL SELECT n_nationkey, 1, 0, CAST(-120 + (n_nationkey % 5) * 10 + 3 AS DO
 UNION ALL SELECT n_nationkey, 1, 1, CAST(-120 + (n_nationkey % 5) * 10 + 5 AS DOUBLE), CAST(26 + floor(n_nationkey / 5) * 4 + 1.2 AS DOUBLE) FROM nation
 UNION ALL SELECT n_nationkey, 1, 2, CAST(-120 + (n_nationkey % 5) * 10 + 4.5 AS DOUBLE), CAST(26 + floor(n_nationkey / 5) * 4 + 2.3 AS DOUBLE) FROM nation""",
 }
+
+# The same rows from one reading of the table, where the form of the text is Spark's own.
+SPARK_INPUTS = {
+    "vertices": "SELECT seg_id, group_key, v.i, v.lon, v.lat FROM (SELECT o_orderkey AS seg_id, o_custkey AS group_key, explode(array("
+    + ", ".join("named_struct('i', {}, 'lon', {}, 'lat', {})".format(*_spot(i)) for i in range(5)) + ")) AS v FROM orders)",
+}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import tune
-from .inputs import INPUTS
+from .inputs import INPUTS, SPARK_INPUTS
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -29,7 +29,7 @@ class Tables:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name in INPUTS:
             if name not in self._made:
-                self._made[name] = self.sql(INPUTS[name])
+                self._made[name] = self.sql(SPARK_INPUTS.get(name, INPUTS[name]))
             return self._made[name]
         raise AttributeError(name)
 
