@@ -25,9 +25,13 @@ def undocumented_columns(df: DataFrame, documented: list[str]) -> list[str]:
 
 
 def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ",", quote: str = '"',
-                   encoding: str = "UTF-8") -> DataFrame:
-    """S-1, S-2: delimited text with quotes, doubled quotes and line breaks inside quotes; headers in lower case."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("quote", quote).option("escape", quote)
+                   encoding: str = "UTF-8", line_breaks: bool = False) -> DataFrame:
+    """S-1, S-2: delimited text with quotes and doubled quotes; headers in lower case.
+
+    A file is split over tasks, unless quoted values may hold line breaks (``line_breaks``): then
+    each file is one task.
+    """
+    df = (spark.read.option("header", True).option("multiLine", line_breaks).option("quote", quote).option("escape", quote)
           .option("sep", sep).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).csv(path))
     df = df.toDF(*[c.replace("\ufeff", "").strip().lower() for c in df.columns])
     return require_columns(df, columns, path) if columns else df
