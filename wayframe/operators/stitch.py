@@ -196,8 +196,9 @@ def stitch(segments: DataFrame, group: str, snap_deg: float = 0.0025, bridge_km:
     if bridge_km > 0:
         closed, comps = bridges(nodes, edges, group, bridge_km, any_node, from_extremities)
         spot = lambda n: nodes.select(F.col("node").alias(n), F.struct("lon", "lat").alias(f"_{n}"))
+        closed = positions(cut(closed), [], [F.col("a"), F.col("b")], "a", name="_place")
         lines = cut(closed.join(spot("a"), "a").join(spot("b"), "b").select(
-            group, (-F.monotonically_increasing_id() - 1).alias("edge_id"), "a", "b", "km", F.array("_a", "_b").alias("coords"), F.lit(True).alias("bridge")))
+            group, (-F.col("_place")).alias("edge_id"), "a", "b", "km", F.array("_a", "_b").alias("coords"), F.lit(True).alias("bridge")))
         edges = edges.unionByName(lines)
         nodes = cut(nodes.drop("comp").join(comps, "node"))
     edges = cut(edges.join(nodes.select(F.col("node").alias("a"), "comp"), "a"))
@@ -368,13 +369,15 @@ def stitch_between(parts: DataFrame, termini: DataFrame, task: str, snap_deg: fl
     """
     spots = termini.select(task, F.inline(F.array(F.struct(F.col("flon").alias("plon"), F.col("flat").alias("plat")), F.struct(F.col("tlon").alias("plon"), F.col("tlat").alias("plat")))))
     noded = node_parts(parts, task, spots)
-    numbered = cut(noded.withColumn("seg_id", F.monotonically_increasing_id()).select("seg_id", task, "coords"))
+    placed = positions(cut(noded), [], [F.col("seg_id"), F.col("sub"), F.col(task)], "seg_id", name="_place")
+    numbered = cut(placed.select(F.col("_place").alias("seg_id"), task, "coords"))
     edges, nodes = build_edges(numbered, task, snap_deg)
     edges = cut(edges.withColumn("bridge", F.lit(False)))
     nodes = cut(label_nodes(nodes, edges.select("a", "b")))
     if bridge_km > 0:
         closed, comps = bridges(nodes, edges, task, bridge_km, any_node=True)
-        extra = closed.select(task, (-F.monotonically_increasing_id() - 1).alias("edge_id"), "a", "b", "km", F.lit(True).alias("bridge"))
+        closed = positions(cut(closed), [], [F.col("a"), F.col("b")], "a", name="_place")
+        extra = closed.select(task, (-F.col("_place")).alias("edge_id"), "a", "b", "km", F.lit(True).alias("bridge"))
         edges = cut(edges.select(task, "edge_id", "a", "b", "km", "bridge").unionByName(extra))
         nodes = cut(nodes.drop("comp").join(comps, "node"))
     near = lambda x, y, name: nearest_node(nodes, termini.select(task, F.col(x).alias("plon"), F.col(y).alias("plat")), task).select(
