@@ -15,15 +15,19 @@ NEAR_WORDS = 8
 NO_ID = -(1 << 63)
 
 
+BLANK = " \t\r\x0b\f"
+
+
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), "[ \\t\\r\\x0B\\f]+"), lambda w: w != "")
+    """Words of a line that has some."""
+    return F.split(F.btrim(F.lower(line), F.lit(BLANK)), "[ \\t\\r\\x0B\\f]+")
 
 
 def _split_lines(docs: DataFrame) -> DataFrame:
     """(doc, pos, words) of every line with words."""
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc")
     return (docs.select(doc, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-            .select("doc", "pos", _words(F.col("line")).alias("words")).filter(F.size("words") > 0))
+            .filter(F.btrim("line", F.lit(BLANK)) != "").select("doc", "pos", _words(F.col("line")).alias("words")))
 
 
 def _half_keys(words: Column, n: Column) -> Column:
@@ -42,7 +46,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     lines = _split_lines(docs)
     n = F.size("words")
     keys = F.when(n >= NEAR_WORDS, _half_keys(F.col("words"), n))
-    hashed = lines.select("doc", "pos", n.alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), F.reverse("words")).alias("h2"), keys.alias("keys"))
+    hashed = lines.select("doc", "pos", n.alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), keys.alias("keys"))
     # Combined in each task before the shuffle, so a line that stands everywhere sends one row a task.
     return (hashed.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "pos")).alias("first"), F.first("keys").alias("keys"))
             .select("h1", "h2", "n", "first.doc", "first.pos", "keys"))
@@ -119,7 +123,7 @@ def _verified(docs: DataFrame, late: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, exact, near): for each document that loses lines, their places."""
     different = cut(distinct_lines(docs))
-    lines = _split_lines(docs).select("doc", "pos", F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), F.reverse("words")).alias("h2"))
+    lines = _split_lines(docs).select("doc", "pos", F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"))
     first = different.select("h1", "h2", "n", F.col("doc").alias("to_doc"), F.col("pos").alias("to_pos"))
     near = near_lines(docs, different)
     # A line goes if it isn't its words' first place, or if those words are within one word of an earlier line.
