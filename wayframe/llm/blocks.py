@@ -90,9 +90,10 @@ def tokens(data: np.ndarray, offsets: np.ndarray, runs: bool) -> tuple[np.ndarra
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def token_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each token's bytes, the same wherever the token stands."""
+def token_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, final: bool = True) -> np.ndarray:
+    """A 64-bit hash of each token's bytes, the same wherever the token stands; its low bits are good only after ``mixed``."""
     up, down = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * down[start])
+    h = (sums[end] - sums[start]) * down[start]
+    return mixed(h) if final else h

@@ -8,13 +8,15 @@ really repeat and the first document that holds each.
 
 from __future__ import annotations
 
+import gc
 import hashlib
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut
@@ -27,9 +29,20 @@ PLACES = WINDOW - GRAM + 1
 SPAN = WINDOW + PLACES - 1
 # Bytes of text for each lot of anchors, and the documents that hold an anchor from which on
 # its surroundings are dealt out window by window.
-LOT_BYTES = 40_000_000
+LOT_BYTES = 8_000_000
 HOT = 4_096
-NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """The bytes of an array, compressed, after their number."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The arrays of a column one after the other."""
+    raw = [pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True) for b in column.to_pylist() if b]
+    return np.frombuffer(b"".join(raw), kind)
 
 
 def _least(h: np.ndarray, f=np.minimum) -> np.ndarray:
@@ -46,16 +59,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     none = np.zeros(0, np.int64)
     if n < WINDOW:
         return none, none, np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    room = offsets[1:][row] - np.arange(n)  # bytes left in the text
     starts = np.arange(n - GRAM + 1)
-    h = token_hashes(data, starts, starts + GRAM)
-    h = np.where(room[:len(h)] >= GRAM, h >> np.uint64(1), NONE)
-    least = np.where(room[:n - WINDOW + 1] >= WINDOW, _least(h), np.uint64(0))
-    pad = np.zeros(PLACES - 1, np.uint64)
+    h = token_hashes(data, starts, starts + GRAM, final=False)
+    # The order of the strings is that of half their hash; those that do not lie in one text come last.
+    order = (h >> np.uint64(33)).astype(np.uint32)
+    inside = np.zeros(n + 1, np.int8)
+    long = np.diff(offsets) >= WINDOW
+    np.add.at(inside, offsets[:-1][long], 1)
+    np.add.at(inside, offsets[1:][long] - WINDOW + 1, -1)
+    begins = np.cumsum(inside[:n - WINDOW + 1], dtype=np.int8).astype(bool)  # places where a window begins
+    least = np.where(begins, _least(order), np.uint32(0))
+    pad = np.zeros(PLACES - 1, np.uint32)
     of_some = _least(np.concatenate([pad, least, pad]), np.maximum)
-    at = np.flatnonzero((h != NONE) & (of_some == h))
-    return at, row[at], mixed(h[at])
+    # Where no window reaches, 0 stands; a string with that hash is then an anchor too, which does no harm.
+    at = np.flatnonzero(of_some == order)
+    row = np.searchsorted(offsets, at, "right") - 1
+    there = (at + GRAM <= offsets[row + 1]) & (offsets[row + 1] - offsets[row] >= WINDOW)
+    at, row = at[there], row[there]
+    return at, row, mixed(h[at])
 
 
 def _lots(h: np.ndarray, lots: int) -> np.ndarray:
@@ -69,15 +90,58 @@ def _cuts(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]])
 
 
+def _short(h: np.ndarray) -> bytes:
+    """The upper six bytes of each."""
+    return h.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    h = np.zeros((len(six), 8), np.uint8)
+    h[:, 2:] = six
+    return h.view(np.uint64).ravel()
+
+
+# Values of many documents on their way back to them: a row for each part of the documents.
+PARTS = "part int, docs binary, hashes binary, counts binary, items binary"
+
+
+def to_parts(doc: np.ndarray, text_hash: np.ndarray, count: np.ndarray, items: np.ndarray, parts: int) -> pa.Table:
+    """``count`` items for each document, packed by parts of the documents."""
+    part = _lots(mixed(doc.view(np.uint64)), parts)
+    order = np.argsort(part, kind="stable")
+    first = np.cumsum(count) - count
+    size = count[order]
+    at = np.repeat(first[order], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    doc, text_hash, items, ends = doc[order], text_hash[order], items[at], np.concatenate([[0], np.cumsum(size)])
+    cuts = _cuts(part[order])
+    rows = [(int(part[order[a]]), packed(doc[a:b]), packed(text_hash[a:b]), packed(size[a:b].astype(np.uint32)), packed(items[ends[a]:ends[b]])) for a, b in zip(cuts[:-1], cuts[1:])]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, [pa.int32()] + [pa.binary()] * 4)], ["part", "docs", "hashes", "counts", "items"])
+
+
+def by_document(rows: DataFrame, kind: str) -> DataFrame:
+    """(doc, text_hash, items): one row for each document, from rows by parts."""
+    def gather(part: pa.Table) -> pa.Table:
+        doc, text_hash, count, items = (unpacked(part.column(c), t) for c, t in (("docs", np.int64), ("hashes", np.int32), ("counts", np.uint32), ("items", kind)))
+        owner = np.repeat(np.arange(len(doc)), count)
+        order = np.lexsort((text_hash[owner], doc[owner]))
+        doc, text_hash, items = doc[owner[order]], text_hash[owner[order]], items[order]
+        runs = _cuts_of(doc, text_hash)
+        return pa.table({"doc": pa.array(doc[runs[:-1]], pa.int64()), "text_hash": pa.array(text_hash[runs[:-1]], pa.int32()),
+                         "items": pa.array([items[a:b].tobytes() for a, b in zip(runs[:-1], runs[1:])], pa.binary())})
+
+    return rows.groupBy("part").applyInArrow(gather, "doc bigint, text_hash int, items binary")
+
+
 def shared_anchors(docs: DataFrame, lots: int) -> DataFrame:
-    """(doc, text_hash, found): for each document the hashes of anchors that other documents hold too; odd ones are hot."""
+    """(doc, text_hash, items): for each document the hashes of anchors that other documents hold too, six bytes each; odd ones are hot."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, text_hash = (batch.column(k).to_numpy() for k in (0, 1))
             for lo, hi, data, offsets in pieces(batch.column(2)):
                 _, row, h = anchors(data, offsets)
-                h &= ~np.uint64(0xFFFF)  # 48 bits are sent
-                lot = _lots(h >> np.uint64(16), lots)
+                h &= ~np.uint64(0x1FFFF)  # 48 bits are sent, the lowest for a mark
+                lot = _lots(h >> np.uint64(17), lots)
                 order = np.lexsort((h, row, lot))
                 lot, row, h = lot[order], row[order], h[order]
                 new = np.ones(len(h), bool)
@@ -87,15 +151,12 @@ def shared_anchors(docs: DataFrame, lots: int) -> DataFrame:
                 for a, b in zip((c := _cuts(lot))[:-1], c[1:]):
                     runs = _cuts(row[a:b])
                     who = row[a:b][runs[:-1]] + lo
-                    out.append((int(lot[a]), doc[who].tobytes(), text_hash[who].tobytes(), np.diff(runs).astype(np.uint32).tobytes(), h[a:b].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()))
+                    out.append((int(lot[a]), packed(doc[who]), packed(text_hash[who]), packed(np.diff(runs).astype(np.uint32)), _short(h[a:b])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, [pa.int32()] + [pa.binary()] * 4)], ["lot", "docs", "hashes", "counts", "anchors"])
 
     def answer(lot: pa.Table) -> pa.Table:
-        doc, text_hash, count = (np.concatenate([np.frombuffer(x.as_py(), t) for x in lot.column(c)]) for c, t in (("docs", np.int64), ("hashes", np.int32), ("counts", np.uint32)))
-        raw = np.frombuffer(b"".join(lot.column("anchors").to_pylist()), np.uint8).reshape(-1, 6)
-        h = np.zeros((len(raw), 8), np.uint8)
-        h[:, 2:] = raw
-        h = h.view(np.uint64).ravel()
+        doc, text_hash, count = (unpacked(lot.column(c), t) for c, t in (("docs", np.int64), ("hashes", np.int32), ("counts", np.uint32)))
+        h = _long(b"".join(lot.column("anchors").to_pylist()))
         owner = np.repeat(np.arange(len(doc)), count)
         order = np.lexsort((doc[owner], h))
         h, owner = h[order], owner[order]
@@ -104,16 +165,16 @@ def shared_anchors(docs: DataFrame, lots: int) -> DataFrame:
         # Held by more than one document: the ids at both ends of the run differ.
         many = doc[owner[first]] != doc[owner[runs[1:] - 1]] if len(h) else np.zeros(0, bool)
         keep = np.repeat(many, size)
-        found = (h | np.repeat((size > HOT).astype(np.uint64), size))[keep]
+        found = (h | np.repeat((size > HOT).astype(np.uint64) << np.uint64(16), size))[keep]
         owner = owner[keep]
         order = np.argsort(owner, kind="stable")
         found, owner = found[order], owner[order]
         runs = _cuts(owner)
         who = owner[runs[:-1]]
-        return pa.table({"doc": pa.array(doc[who]), "text_hash": pa.array(text_hash[who]), "found": pa.array([found[a:b].tobytes() for a, b in zip(runs[:-1], runs[1:])], pa.binary())})
+        return to_parts(doc[who], text_hash[who], np.diff(runs), np.frombuffer(_short(found), "V6"), lots)
 
     sent = docs.mapInArrow(send, "lot int, docs binary, hashes binary, counts binary, anchors binary")
-    return sent.groupBy("lot").applyInArrow(answer, "doc bigint, text_hash int, found binary")
+    return by_document(sent.groupBy("lot").applyInArrow(answer, PARTS), "V6")
 
 
 def surroundings(docs: DataFrame, found: DataFrame, lots: int) -> DataFrame:
@@ -122,8 +183,7 @@ def surroundings(docs: DataFrame, found: DataFrame, lots: int) -> DataFrame:
     Of equal surroundings that one task sees only those in the first document are sent on; in
     the later ones they repeat.
     """
-    of_doc = found.groupBy("doc", "text_hash").agg(F.collect_list("found").alias("found"))
-    both = docs.join(of_doc, ["doc", "text_hash"]).select("doc", "text_hash", "text", "found")
+    both = docs.join(found, ["doc", "text_hash"]).select("doc", "text_hash", "text", "items")
     names = ["lot", "docs", "hashes", "begins", "parts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,20 +192,20 @@ def surroundings(docs: DataFrame, found: DataFrame, lots: int) -> DataFrame:
             answers = batch.column(3).to_pylist()
             for lo, hi, data, offsets in pieces(batch.column(2)):
                 at, row, h = anchors(data, offsets)
-                known = [np.frombuffer(b"".join(a), np.uint64) for a in answers[lo:hi]]
+                known = [_long(a) for a in answers[lo:hi]]
                 owner = np.repeat(np.arange(hi - lo), [len(k) for k in known])
                 known = np.concatenate(known) if known else np.zeros(0, np.uint64)
-                hot = known & np.uint64(1) == 1
-                known = (known & ~np.uint64(0xFFFF)) | owner.astype(np.uint64)
+                hot = known & np.uint64(0x10000) > 0
+                known = (known & ~np.uint64(0x1FFFF)) | owner.astype(np.uint64)
                 order = np.argsort(known)
                 known, hot = known[order], hot[order]
-                mine = (h & ~np.uint64(0xFFFF)) | row.astype(np.uint64)
+                mine = (h & ~np.uint64(0x1FFFF)) | row.astype(np.uint64)
                 place = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
                 is_shared = known[place] == mine if len(known) else np.zeros(len(mine), bool)
                 at, row, h, hot = at[is_shared], row[is_shared], h[is_shared], hot[place[is_shared]]
                 begin = np.maximum(offsets[row], at - PLACES + 1)
                 end = np.minimum(offsets[row + 1], at + GRAM + PLACES - 1)
-                lot = _lots((h & ~np.uint64(0xFFFF)) >> np.uint64(16), lots)
+                lot = _lots((h & ~np.uint64(0x1FFFF)) >> np.uint64(17), lots)
                 if hot.any():
                     # One window each, dealt out by the window itself.
                     windows = end[hot] - begin[hot] - WINDOW + 1
@@ -173,7 +233,8 @@ def surroundings(docs: DataFrame, found: DataFrame, lots: int) -> DataFrame:
                 out = []
                 for a, b in zip((c := _cuts(lot[order]))[:-1], c[1:]):
                     o = order[a:b]
-                    out.append((int(lot[o[0]]), who[o].tobytes(), text_hash[lo + row[o]].tobytes(), ends[o].tobytes() if lot[o[0]] < 0 else begins[o].astype(np.uint32).tobytes(), b"" if lot[o[0]] < 0 else parts[o].tobytes()))
+                    known_ = lot[o[0]] < 0
+                    out.append((int(lot[o[0]]), packed(who[o]), packed(text_hash[lo + row[o]]), packed(ends[o] if known_ else begins[o].astype(np.uint32)), b"" if known_ else packed(parts[o])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32()] + [pa.binary()] * 4)], names)
 
     return both.mapInArrow(run, "lot int, docs binary, hashes binary, begins binary, parts binary")
@@ -188,11 +249,12 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int = WINDOW) -> n
     the sorted ones, those with a run of the bucket's byte in order of the run's length.
     """
     n = len(wanted)
-    step = np.sign(np.diff(text[:n + 1].astype(np.int16)))
+    step = (text[1:n + 1] > text[:n]).astype(np.int8) - (text[1:n + 1] < text[:n])
     # A byte equal to the next is of the next one's kind.
-    moves = np.where(step != 0, np.arange(n), n)
-    after = np.minimum.accumulate(moves[::-1])[::-1]
-    rising = np.where(after < n, step[np.minimum(after, n - 1)] > 0, True)
+    after = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
+    after = np.minimum.accumulate(after[::-1])[::-1]
+    rising = (after == n) | (step[np.minimum(after, n - 1)] > 0)
+    del after, step
     # A falling suffix needs its successor, down to the next rising one.
     need = wanted.copy()
     while True:
@@ -204,7 +266,7 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int = WINDOW) -> n
     direct = np.flatnonzero(need & rising)
     direct = direct[np.argsort(sliding_window_view(text, depth)[direct].copy().view(f"V{depth}").ravel(), kind="stable")] if len(direct) else direct
     falling = np.flatnonzero(need & ~rising)
-    rank = np.full(n + 1, -1, np.int64)
+    rank = np.full(n + 1, -1, np.int32)
     rank[n] = 0  # the end comes before all
     out, count = [], 1
     direct_edges = np.searchsorted(text[direct], np.arange(257)) if len(direct) else np.zeros(257, np.int64)
@@ -241,10 +303,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = WINDOW, st
     return out
 
 
-def repeats(lot: pa.Table) -> pa.Table:
-    """(doc, text_hash, stretches) of one lot: where strings begin that also begin in an earlier document."""
-    doc, text_hash, begin = (np.concatenate([np.frombuffer(x.as_py(), t) for x in lot.column(c)]) for c, t in (("docs", np.int64), ("hashes", np.int32), ("begins", np.uint32)))
-    parts = np.frombuffer(b"".join(lot.column("parts").to_pylist()), f"V{SPAN + 1}")
+def repeats(lot: pa.Table, lots: int) -> pa.Table:
+    """The stretches of one lot, by parts of the documents: where strings begin that also begin in an earlier document."""
+    doc, text_hash, begin = (unpacked(lot.column(c), t) for c, t in (("docs", np.int64), ("hashes", np.int32), ("begins", np.uint32)))
+    parts = unpacked(lot.column("parts"), f"V{SPAN + 1}")
     # Equal surroundings are looked at once, for the first document that holds them.
     distinct, of = np.unique(parts, return_inverse=True)
     first = np.full(len(distinct), np.iinfo(np.int64).max)
@@ -260,25 +322,28 @@ def repeats(lot: pa.Table) -> pa.Table:
     earliest[order] = np.repeat(least, np.diff(runs))
     earliest = earliest.reshape(starts.shape)[:, :PLACES]
     out = []
-    for k in range(0, len(doc), 200_000):
-        flag = np.zeros((min(200_000, len(doc) - k), PLACES + 2), np.int8)
-        flag[:, 1:-1] = earliest[of[k:k + 200_000]] < doc[k:k + 200_000, None]
+    for k in range(0, len(doc), 50_000):
+        flag = np.zeros((min(50_000, len(doc) - k), PLACES + 2), np.int8)
+        flag[:, 1:-1] = earliest[of[k:k + 50_000]] < doc[k:k + 50_000, None]
         edge = np.diff(flag, axis=1)
         who, a = np.nonzero(edge == 1)
         b = np.nonzero(edge == -1)[1]
         out.append((who + k, begin[who + k] + a, begin[who + k] + b + WINDOW - 1))
     who, a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-    return _by_doc(doc[who], text_hash[who], a, b)
+    return _stretches(doc[who], text_hash[who], a, b, lots)
 
 
-def _by_doc(doc: np.ndarray, text_hash: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    """Stretches packed by document; those that meet are one."""
-    order = np.lexsort((b, a, text_hash, doc))
+def _stretches(doc: np.ndarray, text_hash: np.ndarray, a: np.ndarray, b: np.ndarray, lots: int) -> pa.Table:
+    """Stretches packed by parts of the documents; those of a document that meet are one."""
+    order = np.lexsort((a, text_hash, doc))
     doc, text_hash, a, b = (x[order] for x in (doc, text_hash, a.astype(np.int64), b.astype(np.int64)))
     runs = _cuts_of(doc, text_hash)
-    both = np.stack([a, b], 1).astype(np.uint32)
-    return pa.table({"doc": pa.array(doc[runs[:-1]], pa.int64()), "text_hash": pa.array(text_hash[runs[:-1]], pa.int32()),
-                     "stretches": pa.array([joined(both[x:y]).tobytes() for x, y in zip(runs[:-1], runs[1:])], pa.binary())})
+    # All documents at once, each shifted to a place of its own.
+    shift = np.repeat(np.arange(len(runs) - 1), np.diff(runs)) << np.int64(33)
+    one = joined(np.stack([a + shift, b + shift], 1))
+    count = np.bincount(one[:, 0] >> np.int64(33), minlength=len(runs) - 1)
+    both = np.ascontiguousarray((one & np.int64((1 << 33) - 1)).astype(np.uint32))
+    return to_parts(doc[runs[:-1]], text_hash[runs[:-1]], count, both.view("V8").ravel(), lots)
 
 
 def _cuts_of(*columns: np.ndarray) -> np.ndarray:
@@ -301,30 +366,32 @@ def joined(stretches: np.ndarray) -> np.ndarray:
     return np.stack([s[first, 0], reach[np.append(first[1:], len(s)) - 1]], 1)
 
 
-def passed_on(lot: pa.Table) -> pa.Table:
-    doc, text_hash, ends = (np.concatenate([np.frombuffer(x.as_py(), t) for x in lot.column(c)]) for c, t in (("docs", np.int64), ("hashes", np.int32), ("begins", np.uint32)))
+def passed_on(lot: pa.Table, lots: int) -> pa.Table:
+    doc, text_hash, ends = (unpacked(lot.column(c), t) for c, t in (("docs", np.int64), ("hashes", np.int32), ("begins", np.uint32)))
     ends = ends.reshape(-1, 2)
-    return _by_doc(doc, text_hash, ends[:, 0], ends[:, 1])
+    return _stretches(doc, text_hash, ends[:, 0], ends[:, 1], lots)
 
 
-def release(df: DataFrame) -> DataFrame:
-    """``df`` written out and read back, with a hint to Spark's cleaner that the shuffles behind it are done with."""
-    out = cut(df)
-    df.sparkSession._jvm.System.gc()
+def release(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written out and read back, with a hint to Spark's cleaner that the shuffles behind it are done with."""
+    out = cut(build())
+    for _ in range(2):  # Python lets go of the plan first, the driver's JVM of its shuffles after that
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
     return out
 
 
 def stretches(docs: DataFrame, lots: int) -> DataFrame:
-    """(doc, text_hash, stretches) of all documents with repeats, in parts."""
-    found = release(shared_anchors(docs, lots))
-    around = surroundings(docs, found, lots)
+    """(doc, text_hash, items) of all documents with repeats: their stretches."""
+    found = release(docs.sparkSession, lambda: shared_anchors(docs, lots))
 
     def solve(lot: pa.Table) -> pa.Table:
-        return passed_on(lot) if lot.column("lot")[0].as_py() < 0 else repeats(lot)
+        return passed_on(lot, lots) if lot.column("lot")[0].as_py() < 0 else repeats(lot, lots)
 
-    # Stretches already known go along in lots of their own, one for each document's hash.
+    # Stretches already known go along in lots of their own, dealt out by their documents.
     key = F.when(F.col("lot") >= 0, F.col("lot")).otherwise(-1 - F.pmod(F.xxhash64("docs"), F.lit(lots)).cast("int")).alias("lot")
-    return release(around.withColumn("lot", key).groupBy("lot").applyInArrow(solve, "doc bigint, text_hash int, stretches binary"))
+    return release(docs.sparkSession, lambda: by_document(surroundings(docs, found, lots).withColumn("lot", key).groupBy("lot").applyInArrow(solve, PARTS), "V8"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -343,15 +410,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lots = max(parts, -(-size // LOT_BYTES))
     found = stretches(keyed.filter("doc IS NOT NULL AND text IS NOT NULL"), lots)
-    of_doc = found.groupBy("doc", "text_hash").agg(F.collect_list("stretches").alias("stretches"))
-    all_of = keyed.join(of_doc, ["doc", "text_hash"], "left").select("doc", "text", "stretches")
+    all_of = keyed.join(found, ["doc", "text_hash"], "left").select("doc", "text", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, found_ in zip(batch.column(1).cast(pa.binary()), batch.column(2)):
                 data = text.as_py() or b""
-                gone = joined(np.frombuffer(b"".join(found_.as_py() or []), np.uint32).reshape(-1, 2))
+                gone = joined(np.frombuffer(found_.as_py() or b"", np.uint32).reshape(-1, 2))
                 kept, last = [], 0
                 for a, b in gone.tolist():
                     kept.append(data[last:a])
