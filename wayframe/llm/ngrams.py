@@ -348,7 +348,8 @@ def classes(docs: DataFrame) -> DataFrame:
     named = connected(exact.select("rep", "peer"), "rep", "peer").select(F.col("node").alias("rep"), F.col("comp").alias("class"))
     counts = exact.groupBy("rep").agg(F.sum("links").alias("links"))
     found = members.select("a", "b", "n", "rep").join(counts, "rep").join(named, "rep", "left").drop("rep")
-    known = (sets.select("a", "b", "n", "rep", "copies").join(found, ["a", "b", "n"], "left")
+    # Written out, so that both sides of the last join are dealt anew and a set with many copies can be split.
+    known = cut(sets.select("a", "b", "n", "rep", "copies").join(found, ["a", "b", "n"], "left")
              .select("a", "b", "n", F.coalesce("class", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
     some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     spread = signed.select("doc_id", *[F.when(some, F.col(c)).alias(c) for c in ("a", "b", "n")])
