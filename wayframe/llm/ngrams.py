@@ -200,10 +200,10 @@ def blocked(rows: DataFrame, key: str, size: DataFrame, member: str, most: int =
 def candidates(sets: DataFrame) -> DataFrame:
     """(u, v): links that connect the members of each band's groups that are likely enough to be alike.
 
-    A pair is looked at in the first band that it shares.  Of each task's pairs that are left,
-    a forest is given back, so a large group does not give all its pairs.
+    A pair is looked at in every band that it shares.  Of each task's pairs that are left, a
+    forest is given back, so a large group does not give all its pairs.
     """
-    bands = sets.select("rep", F.posexplode("keys").alias("band", "key"))
+    bands = sets.select("rep", F.explode("keys").alias("key"))
     # Partial counts are summed before they are shuffled, so a key that all share is no burden.
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = blocked(bands, "key", shared, "rep")
@@ -214,16 +214,12 @@ def candidates(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, ["key", "x", "y"]):
             starts = _edges(rows, ["key", "x", "y"])
-            rep, band = rows.column("rep").to_numpy(), rows.column("band").to_numpy()
-            x, y, own = (rows.column(c).to_numpy() for c in ("x", "y", "_own"))
+            rep, x, y, own = (rows.column(c).to_numpy() for c in ("rep", "x", "y", "_own"))
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
             found = [np.zeros((2, 0), np.int64)]
             for i, j in pairs_of(np.diff(np.append(starts, rows.num_rows))):
                 keep = (x[i] == y[i]) | (own[i] != own[j])  # pairs within a block meet where it meets itself
                 i, j = i[keep], j[keep]
-                same = sig.view(np.uint32)[i] == sig.view(np.uint32)[j]
-                keep = np.argmax(same, axis=1) == band[i]
-                i, j = i[keep], j[keep]
                 held = likely(sig[i], sig[j])
                 found.append(np.stack([i[held], j[held]]))
             i, j = np.concatenate(found, axis=1)
@@ -231,7 +227,7 @@ def candidates(sets: DataFrame) -> DataFrame:
             moved = np.flatnonzero(least != np.arange(rows.num_rows))
             yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[least[moved]])], ["u", "v"])
 
-    return dealt.select("key", "x", "y", "_own", "band", "rep", "sig").mapInArrow(run, "u bigint, v bigint")
+    return dealt.select("key", "x", "y", "_own", "rep", "sig").mapInArrow(run, "u bigint, v bigint")
 
 
 def verified(docs: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
