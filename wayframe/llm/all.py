@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import brown, contamination, lines, mixing, negatives, neighbours, ngrams, quality, sharding, suffixes, templates, toxicity  # noqa: F401
+from . import brown, contamination, lines, mixing, negatives, neighbours, ngrams, quality, repair, sharding, suffixes, templates, toxicity  # noqa: F401
