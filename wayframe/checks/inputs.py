@@ -135,8 +135,9 @@ UNION ALL SELECT n_nationkey, 1, 1, CAST(-120 + (n_nationkey % 5) * 10 + 5 AS DO
 UNION ALL SELECT n_nationkey, 1, 2, CAST(-120 + (n_nationkey % 5) * 10 + 4.5 AS DOUBLE), CAST(26 + floor(n_nationkey / 5) * 4 + 2.3 AS DOUBLE) FROM nation""",
 }
 
-# The same rows from one reading of the table, where the form of the text is Spark's own.
+# The same rows from one reading of the table, where the form of the text is Spark's own.  A small table
+# of one file is dealt over TASKS, as many as the session runs at a time.
 SPARK_INPUTS = {
     "vertices": "SELECT seg_id, group_key, v.i, v.lon, v.lat FROM (SELECT o_orderkey AS seg_id, o_custkey AS group_key, explode(array("
-    + ", ".join("named_struct('i', {}, 'lon', {}, 'lat', {})".format(*_spot(i)) for i in range(5)) + ")) AS v FROM orders)",
+    + ", ".join("named_struct('i', {}, 'lon', {}, 'lat', {})".format(*_spot(i)) for i in range(5)) + ")) AS v FROM (SELECT /*+ REPARTITION(TASKS) */ o_orderkey, o_custkey FROM orders))",
 }

@@ -6,6 +6,7 @@ from ..functions.geo import haversine
 from ..operators import graph as R
 from ..operators import lines as L
 from ..operators import stitch as S
+from ..runtime import cut
 from .geometry import LEGS, fragments, hav, vertices
 from .registry import query
 
@@ -23,7 +24,9 @@ comps AS (SELECT n AS node, min(r) AS comp FROM around GROUP BY n)"""
 
 
 def network(t):
-    return S.build_edges(fragments(t), "group_key", SNAP)
+    """Edges and nodes, each derived once for all their readers."""
+    edges, nodes = S.build_edges(cut(fragments(t)), "group_key", SNAP)
+    return cut(edges), cut(nodes)
 
 
 @query("G6_snapped_edges", f"WITH RECURSIVE {LEGS}, {_NODES} SELECT seg_id, a, b, round(km, 6) AS km FROM net")

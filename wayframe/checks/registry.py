@@ -29,7 +29,8 @@ class Tables:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name in INPUTS:
             if name not in self._made:
-                self._made[name] = self.sql(SPARK_INPUTS.get(name, INPUTS[name]))
+                text = SPARK_INPUTS.get(name, INPUTS[name])
+                self._made[name] = self.sql(text.replace("TASKS", str(self.spark.sparkContext.defaultParallelism)))
             return self._made[name]
         raise AttributeError(name)
 

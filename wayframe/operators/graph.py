@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEG, haversine
@@ -18,40 +18,47 @@ from .grid import around, in_cell
 from .ordered import first_by
 
 MAX_ROUNDS = 10_000
+# Costs are added as whole numbers of so small a unit, so that a sum does not depend on the order of its parts.
+COST_UNITS = 1e9
+# Nodes with more neighbours are not contracted: their shortcuts would outnumber their edges by too much.
+MOST_NEIGHBOURS = 4
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """G-7: component of every node named by a link: rows (node, comp), comp the least node id.
 
-    Alternates two steps until nothing changes: every node hands its larger neighbours to
-    the least node it knows, then its smaller ones.  A hub's links shrink to one per
-    neighbour in a round, so no node has to be gathered.
+    The graph is contracted until no link is left.  In a round every node goes to the least of the
+    nodes within two links of it, by a hash that is new in each round; links between what they go to
+    are the next round's graph.  A component that has become one node has no link and is gone, so a
+    round costs what is still open, which shrinks by a factor each time, also for long chains and for
+    hubs.  A hub's links are combined before the shuffle or split by the runtime's skew join.  At the
+    end the rounds are followed backwards, from the few last nodes to all.
     """
-    edges, now = cut(links.filter(F.col(a) != F.col(b))
-                     .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), **_fingerprint())
-    for _ in range(MAX_ROUNDS):
+    edges, m = cut(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), left=F.count(F.lit(1)))
+    rounds: list[DataFrame] = []
+    while m["left"]:
+        if len(rounds) > MAX_ROUNDS:
+            raise RuntimeError("components did not settle")
+        ranked = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("h"), F.col(c).alias("n"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # One row per node on the right: a hub's rows on the left are split by the runtime's skew join.
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.filter(F.col("u") != F.col("v")).distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u")
-        small = (small.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        before, old = now, edges
-        edges, now = cut(small, **_fingerprint())
+        beside = both.groupBy("u").agg(F.least(F.min(ranked("v")), F.first(ranked("u"))).alias("_m"))
+        further = both.join(beside.select(F.col("u").alias("v"), "_m"), "v").groupBy("u").agg(F.min("_m").alias("_f"))
+        goes = cut(further.join(beside, "u").select("u", F.least("_f", "_m")["n"].alias("to")))
+        moved = edges.join(goes.select("u", F.col("to").alias("_u")), "u").join(goes.select(F.col("u").alias("v"), F.col("to").alias("_v")), "v").filter(F.col("_u") != F.col("_v"))
+        old = edges
+        edges, m = cut(moved.select(F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v")).distinct(), left=F.count(F.lit(1)))
         discard(old)
-        if now == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-
-
-def _fingerprint() -> dict:
-    return {"n": F.count(F.lit(1)), "h": F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))}
+        rounds.append(goes)
+    if not rounds:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    named = rounds.pop()
+    for k, goes in enumerate(reversed(rounds)):
+        last = named.select(F.col("u").alias("to"), F.col("to").alias("_to"))
+        named = goes.join(last, "to", "left").select("u", F.coalesce("_to", "to").alias("to"))
+        named = cut(named) if k % 4 == 3 else named
+    named = cut(named)
+    least = named.groupBy("to").agg(F.min("u").alias("comp"))
+    return named.join(least, "to").select(F.col("u").alias("node"), "comp")
 
 
 def label_nodes(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
@@ -230,28 +237,92 @@ def _open_circles(edges: DataFrame, circles: DataFrame, nxt: DataFrame) -> DataF
 def shortest_paths(edges: DataFrame, starts: DataFrame, task: str = "task") -> DataFrame:
     """G-10: least cost from each task's start nodes to every node it reaches.
 
-    ``edges`` has edge_id, a, b, cost, bridge; ``starts`` has task, node.  All tasks relax
-    together, one round per hop; a round is one join of the improved nodes with the edges
-    and one aggregation.  Gives (task, node, dist, prev, edge_id, hops, bridged).
+    ``edges`` has edge_id, a, b, cost, bridge; ``starts`` has task, node.  Gives (task, node, dist,
+    prev, edge_id, hops, bridged); of equal costs the way with fewer edges counts, then the one with
+    fewer bridges.
+
+    The graph is contracted for all tasks together (:func:`contracted`), what is left of it is
+    searched from the starts (:func:`relaxed`), and the contracted nodes get their costs in the
+    opposite order, each from the few neighbours it had.  A round of each part writes only what it has
+    settled, and there are about as many rounds as the logarithm of a road's length.
     """
-    adjacent = cut(edges.select("edge_id", F.col("a").alias("node"), F.col("b").alias("to"), "cost", F.col("bridge").cast("int").alias("bridge")).unionByName(
-        edges.select("edge_id", F.col("b").alias("node"), F.col("a").alias("to"), "cost", F.col("bridge").cast("int").alias("bridge"))))
-    none = F.lit(None).cast("bigint")
-    state, m = cut(starts.select(task, "node").distinct().select(
-        task, "node", F.struct(F.lit(0.0).alias("dist"), F.lit(0).alias("round"), none.alias("prev"), none.alias("edge_id"),
-                               F.lit(0).alias("hops"), F.lit(0).alias("bridged")).alias("s")), fresh=F.count(F.lit(1)))
-    for r in range(1, MAX_ROUNDS):
-        if not m["fresh"]:
-            return state.select(task, "node", "s.dist", "s.prev", "s.edge_id", "s.hops", "s.bridged")
-        front = state.filter(F.col("s.round") == r - 1)
-        reach = front.join(adjacent, "node").select(task, F.col("to").alias("node"), F.struct(
-            (F.col("s.dist") + F.col("cost")).alias("dist"), F.lit(r).alias("round"), F.col("node").alias("prev"), F.col("edge_id").alias("edge_id"),
-            (F.col("s.hops") + 1).alias("hops"), (F.col("s.bridged") + F.col("bridge")).alias("bridged")).alias("s"))
-        # The struct compares by cost first; an equal cost found earlier stays.
-        old = state
-        state, m = cut(state.unionByName(reach).groupBy(task, "node").agg(F.min("s").alias("s")),
-                       fresh=F.count(F.when(F.col("s.round") == r, 1)))
+    arrive = lambda n: F.struct(F.col(n).alias("prev"), F.col("edge_id").alias("edge_id"))
+    weight = F.struct(F.round(F.col("cost") * COST_UNITS).cast("bigint").alias("cost"), F.lit(1).cast("bigint").alias("hops"), F.col("bridge").cast("bigint").alias("bridged"))
+    way = lambda u, v: edges.filter(F.col("a") != F.col("b")).select(F.col(u).alias("u"), F.col(v).alias("v"), F.struct(weight.alias("w"), arrive(u).alias("into"), arrive(v).alias("back")).alias("way"))
+    fixed = cut(starts.select("node").distinct())
+    stop = lambda c: fixed.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}"))
+    flagged = (way("a", "b").unionByName(way("b", "a")).groupBy("u", "v").agg(F.min("way").alias("way")).join(stop("u"), "u", "left").join(stop("v"), "v", "left")
+               .select("u", "v", "way", F.coalesce("_u", F.lit(False)).alias("ufix"), F.coalesce("_v", F.lit(False)).alias("vfix")))
+    core, levels = contracted(flagged)
+    known = relaxed(core, starts.select(task, "node").distinct(), task)
+    for level in reversed(levels):
+        beside = level.select(F.col("v").alias("node"), F.col("u").alias("_x"), F.col("way.w").alias("_w"), F.col("way.back").alias("_arrive"))
+        found = known.join(beside, "node").select(task, F.col("_x").alias("node"), _further("_w", "_arrive").alias("s")).groupBy(task, "node").agg(F.min("s").alias("s"))
+        known = known.unionByName(cut(found))
+    return known.select(task, "node", (F.col("s.cost") / COST_UNITS).alias("dist"), "s.prev", "s.edge_id", F.col("s.hops").cast("int").alias("hops"), F.col("s.bridged").cast("int").alias("bridged"))
+
+
+def _further(weight: str, arrive: str) -> Column:
+    """The state ``s`` moved on by a way."""
+    return F.struct(*[(F.col(f"s.{c}") + F.col(f"{weight}.{c}")).alias(c) for c in ("cost", "hops", "bridged")], *[F.col(f"{arrive}.{c}").alias(c) for c in ("prev", "edge_id")])
+
+
+def contracted(ways: DataFrame, most: int = MOST_NEIGHBOURS) -> tuple[DataFrame, list[DataFrame]]:
+    """Take nodes out of a graph, keeping all least costs between those that stay.
+
+    ``ways`` has both directions of each pair of neighbours: u, v, way (w: cost, hops, bridged; into
+    and back: the last step of the way at v and, the other way round, at u), ufix and vfix for nodes that have to stay.
+    In a round nodes with few neighbours go, no two of them neighbours (a node goes if its hash, new in
+    each round, is less than its neighbours'), and each two neighbours of such a node get a shortcut past it.
+    Returns what is left, and for each round the ways of the nodes that went to their neighbours of that time.
+    """
+    ways, size = cut(ways, rows=F.count(F.lit(1)))
+    levels: list[DataFrame] = []
+    for level in range(MAX_ROUNDS):
+        if not size["rows"]:
+            break
+        draw = lambda c: F.xxhash64(c, F.lit(level))
+        beside = ways.groupBy("u").agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(~F.col("vfix"), draw("v"))).alias("_least"), F.max("ufix").alias("_fix"))
+        going = beside.filter(~F.col("_fix") & (F.col("_n") <= most) & (draw("u") < F.coalesce("_least", F.lit((1 << 63) - 1)))).select("u")
+        out, gone = cut(ways.join(going, "u"), rows=F.count(F.lit(1)))
+        # The last few per cent are not worth a round each.
+        if gone["rows"] * 20 <= size["rows"]:
+            break
+        one = out.select("u", F.col("v").alias("_v"), F.col("way").alias("_way"), F.col("vfix").alias("_vfix"))
+        sums = F.struct(*[(F.col(f"_way.w.{c}") + F.col(f"way.w.{c}")).alias(c) for c in ("cost", "hops", "bridged")])
+        past = one.join(out, "u").filter(F.col("_v") != F.col("v")).select(
+            F.col("_v").alias("u"), "v", F.struct(sums.alias("w"), F.col("way.into").alias("into"), F.col("_way.into").alias("back")).alias("way"), F.col("_vfix").alias("ufix"), "vfix")
+        there = out.withColumn("_out", F.lit(True))
+        back = there.select(F.col("v").alias("u"), F.col("u").alias("v"), "way", F.col("vfix").alias("ufix"), F.col("ufix").alias("vfix"), "_out")
+        every = ways.unionByName(past).withColumn("_out", F.lit(False)).unionByName(there).unionByName(back)
+        old = ways
+        ways, size = cut(every.groupBy("u", "v").agg(F.min("way").alias("way"), F.max("ufix").alias("ufix"), F.max("vfix").alias("vfix"), F.max("_out").alias("_out"))
+                         .filter(~F.col("_out")).drop("_out"), rows=F.count(F.lit(1)))
         discard(old)
+        levels.append(out)
+    return ways, levels
+
+
+def relaxed(ways: DataFrame, starts: DataFrame, task: str) -> DataFrame:
+    """Least costs (task, node, s) from each task's starts over ``ways``, one round per step.
+
+    What was found is only added to: a round looks at the ways from what the last round has found or
+    made better, and keeps what is better than all that is known (an anti-join).
+    """
+    none = F.lit(None).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    front = cut(starts.select(task, "node", F.struct(zero.alias("cost"), zero.alias("hops"), zero.alias("bridged"), none.alias("prev"), none.alias("edge_id")).alias("s")))
+    known, rounds = front, 0
+    if ways.isEmpty():
+        return known
+    for rounds in range(MAX_ROUNDS):
+        steps = front.withColumnRenamed("node", "u").join(ways, "u").withColumns({"_w": F.col("way.w"), "_into": F.col("way.into")})
+        reach = steps.select(task, F.col("v").alias("node"), _further("_w", "_into").alias("s")).groupBy(task, "node").agg(F.min("s").alias("s")).alias("r")
+        worse = (F.col(f"k.{task}") == F.col(f"r.{task}")) & (F.col("k.node") == F.col("r.node")) & (F.col("k.s") <= F.col("r.s"))
+        front, m = cut(reach.join(known.alias("k"), worse, "left_anti"), rows=F.count(F.lit(1)))
+        if not m["rows"]:
+            return known.groupBy(task, "node").agg(F.min("s").alias("s")) if rounds else known
+        known = known.unionByName(front)
     raise RuntimeError("shortest paths did not settle")
 
 
