@@ -114,6 +114,15 @@ SELECT l_partkey AS route, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS pos,
   max(l_tax) AS tax FROM lineitem GROUP BY l_partkey, CAST(l_orderkey * 8 + l_linenumber AS BIGINT)""",
     # Road fragments as vertices.
     "vertices": "\nUNION ALL\n".join(_vertex(i) for i in range(5)),
+    # Straight roads of several systems, one for each customer: 40 slots running east through jurisdictions, most of them empty.
+    "highways": """
+SELECT seg_id, key, slot, system, st, CASE WHEN system = 'us-state' THEN 'us-state|' || CAST(key AS STRING) || '|' || st ELSE system || '|' || CAST(key AS STRING) END AS group_key,
+  CAST(-120 + (key * 37 % 5000) / 100.0 + slot * 0.1 + (slot * slot * 37 % 101) * 0.0005 AS DOUBLE) AS ax, CAST(26 + (key * 53 % 2200) / 100.0 + (slot * slot * slot % 11) * 0.001 AS DOUBLE) AS ay,
+  CAST(-120 + (key * 37 % 5000) / 100.0 + (slot + 1) * 0.1 + ((slot + 1) * (slot + 1) * 37 % 101) * 0.0005 AS DOUBLE) AS bx,
+  CAST(26 + (key * 53 % 2200) / 100.0 + ((slot + 1) * (slot + 1) * (slot + 1) % 11) * 0.001 AS DOUBLE) AS by
+FROM (SELECT min(o_orderkey) AS seg_id, o_custkey AS key, o_orderkey % 40 AS slot, 'J' || CAST((o_custkey * 3 + CAST(floor((o_orderkey % 40) / 5) AS BIGINT)) % 25 AS STRING) AS st,
+  CASE o_custkey % 5 WHEN 0 THEN 'us-numbered' WHEN 1 THEN 'us-state' WHEN 2 THEN 'ca-other' WHEN 3 THEN 'cn-national' ELSE 'hk-route' END AS system
+  FROM orders GROUP BY o_custkey, o_orderkey % 40) q""",
     # Places with a prominence.
     "places": """
 SELECT c_custkey AS place_id, 'Town ' || CAST(c_custkey AS STRING) AS name, c_nationkey AS st, CAST(c_custkey % 97 AS DOUBLE) AS area,

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..plans import overlays as P
 from ..plans import routes as B
+from ..runtime import cut
 from .aggregates import cov, pct
 from .geometry import LEGS, _BORDER, _flat_leg, fragments, hav, road_legs, to_leg, vertices
 from .registry import query
@@ -25,6 +26,37 @@ def route_build(t):
 
 
 
+_BESIDE = "SELECT 'J' || CAST(n_nationkey AS STRING) AS st, 'J' || CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 1 ELSE n_nationkey - 1 END AS STRING) AS beside FROM nation"
+# Fixed values of the systems in ``highways``: gaps that are bridged, and those that are within a corridor.
+_SYSTEM = ", ".join(f"('{s}', {B.SYSTEMS[s].bridge_km}, {B.SYSTEMS[s].wide_km or 0})" for s in ("us-numbered", "us-state", "ca-other", "cn-national", "hk-route"))
+_MI = "floor(({}) / 1.609344 + 0.5)"
+
+
+@query("D1_systems_with_corridors", f"""WITH RECURSIVE how(system, bridge, wide) AS (VALUES {_SYSTEM}), beside AS ({_BESIDE}),
+h AS (SELECT highways.*, bridge, wide, {hav('ax', 'ay', 'bx', 'by')} AS km, {hav('lag(bx) OVER w', 'lag(by) OVER w', 'ax', 'ay')} AS gap FROM highways JOIN how ON highways.system = how.system WINDOW w AS (PARTITION BY group_key ORDER BY slot)),
+one AS (SELECT *, sum(CASE WHEN gap > bridge THEN 1 ELSE 0 END) OVER (PARTITION BY group_key ORDER BY slot) AS c FROM h),
+holds AS (SELECT DISTINCT group_key, c, st FROM one WHERE wide > 0),
+link AS (SELECT DISTINCT x.group_key AS g, x.c AS a, y.c AS b FROM holds x JOIN holds y ON x.group_key = y.group_key WHERE x.st = y.st OR EXISTS (SELECT 1 FROM beside WHERE beside.st = x.st AND beside.beside = y.st)),
+reach(g, a, b) AS (SELECT g, a, b FROM link UNION SELECT reach.g, reach.a, link.b FROM reach JOIN link ON reach.g = link.g AND reach.b = link.a),
+corridor AS (SELECT g, a, min(b) AS k FROM reach GROUP BY 1, 2),
+two AS (SELECT one.*, CASE WHEN wide > 0 THEN k ELSE c END AS k, CASE WHEN wide > 0 THEN wide ELSE bridge END AS most FROM one LEFT JOIN corridor ON g = group_key AND a = c),
+gaps AS (SELECT *, {hav('lag(bx) OVER w', 'lag(by) OVER w', 'ax', 'ay')} AS g2 FROM two WINDOW w AS (PARTITION BY group_key, k ORDER BY slot)),
+runs AS (SELECT *, sum(CASE WHEN g2 > most THEN 1 ELSE 0 END) OVER (PARTITION BY group_key, k ORDER BY slot) AS r FROM gaps),
+main AS (SELECT group_key, k, r, arg_max(st, kms) AS st FROM (SELECT group_key, k, r, st, sum(km) AS kms FROM runs GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+built AS (SELECT group_key, k, r, 2 * min(seg_id) AS comp, any_value(system) AS system, count(*) AS edges, {_MI.format('sum(km)')} AS mi, {_MI.format(hav('arg_min(ax, slot)', 'arg_min(ay, slot)', 'arg_max(bx, slot)', 'arg_max(by, slot)'))} AS span_mi,
+  count(CASE WHEN g2 > 0 AND g2 <= most THEN 1 END) AS breaks, {_MI.format('coalesce(sum(CASE WHEN g2 <= most THEN g2 END), 0)')} AS gap_mi FROM runs GROUP BY 1, 2, 3),
+n AS (SELECT b.*, st, count(*) OVER (PARTITION BY b.group_key) AS n_all, count(*) OVER (PARTITION BY b.group_key, st) AS n_same, row_number() OVER (PARTITION BY b.group_key ORDER BY mi DESC, comp) AS n, row_number() OVER (PARTITION BY b.group_key, st ORDER BY mi DESC, comp) AS s
+  FROM built b JOIN main ON b.group_key = main.group_key AND b.k = main.k AND b.r = main.r)
+SELECT regexp_replace(lower(replace(group_key, '|', '-') || CASE WHEN n_all = 1 THEN '' WHEN system = 'us-state' THEN '-' || n ELSE '-' || st || CASE WHEN n_same > 1 THEN '-' || s ELSE '' END END), '[^a-z0-9-]', '', 'g') AS route_id,
+  system, st, CAST(edges AS BIGINT) AS edges, mi, mi AS paved_mi, span_mi, CAST(breaks AS BIGINT) AS breaks, gap_mi FROM n""")
+def systems_with_corridors(t):
+    coords = F.array(F.struct(F.col("ax").alias("lon"), F.col("ay").alias("lat")), F.struct(F.col("bx").alias("lon"), F.col("by").alias("lat")))
+    grouped = t.highways.select("seg_id", "group_key", "system", F.lit("primary").alias("tier"), F.col("key").cast("string").alias("number"), F.lit(None).cast("string").alias("qualifier"), "st",
+                                F.when(F.col("slot") % 3 == 0, "Freeway").otherwise("Primary").alias("type"), (F.col("slot") % 2 == 0).alias("divided"), coords.alias("coords"))
+    routes, lines = B.build_routes(cut(grouped), B.SYSTEMS, t.sql(_BESIDE))
+    edges = lines.edges.groupBy("comp").agg(F.count(F.lit(1)).alias("edges"))
+    return routes.join(edges, "comp").select("route_id", "system", "st", "edges", "mi", "paved_mi", "span_mi", F.col("breaks").cast("bigint").alias("breaks"), "gap_mi")
+
 
 @query("D2_bridges_on_routes", f"""WITH {LEGS}, r AS (SELECT o_orderkey AS id, o_custkey AS key, CAST(CASE WHEN o_orderkey % 13 = 0 THEN 2 ELSE 1 END AS INT) AS kind, 'S' || (o_custkey % 25) AS st,
   120 - floor(o_custkey * 37 % 5000 / 100) AS dlon, 60 - 1 - (o_custkey * 37 % 5000) % 100 * 0.6 AS mlon, 26 + floor(o_custkey * 53 % 2200 / 100) AS dlat, (o_custkey * 53 % 2200) % 100 * 0.6 AS mlat, o_orderkey % 17 AS k FROM orders),

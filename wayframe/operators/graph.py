@@ -7,6 +7,7 @@ and a lost executor repeats one round at most.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -113,49 +114,96 @@ def extremities(nodes: DataFrame, comp: str = "comp") -> DataFrame:
     return a.select(comp, F.col("_n").alias("a")).join(b.select(comp, F.col("_n").alias("b")), comp)
 
 
+# Gaps of up to so many km are looked for node by node; wider ones cell by cell first.
+FINEST_KM = 2.0
+FINER = 8
+
+
+def closest_gaps(start: DataFrame, ends: DataFrame, group: str, most_km: float) -> DataFrame:
+    """The shortest gap (group, ca, cb, _gap: km, a, b) of each two components of a group that come within reach.
+
+    ``start`` and ``ends`` have group, node, lon, lat, comp and _reach (km, the same in all of a group, at most ``most_km``).
+    Nodes are thinned to one for each cell and component, first in cells as wide as the reach.  Pairs of
+    near cells are then looked at in ever finer cells: the nodes that stand for two cells give a gap that
+    is surely there, and a pair of cells that cannot hold a shorter one than the shortest known of its two
+    components is left out.  Only the cells that stay are looked at node by node, so wide gaps do not pair
+    all nodes within reach.
+    """
+    reach = F.col("_reach")
+    depth = max(0, math.ceil(math.log(most_km / FINEST_KM, FINER))) if most_km > 0 else 0
+    size = lambda k: F.greatest(reach, F.lit(1e-6)) / 110 / FINER ** k
+    cell = lambda df, k: df.withColumn("_cx", F.floor(F.col("lon") / size(k))).withColumn("_cy", F.floor(F.col("lat") / size(k)))
+    finer = lambda df, k: cell(df, k).withColumn("_px", F.floor(F.col("lon") / size(k - 1))).withColumn("_py", F.floor(F.col("lat") / size(k - 1)))
+    comps = F.least("ca", "cb"), F.greatest("ca", "cb")
+
+    here = cell(start, 0).select(group, "_reach", F.col("comp").alias("ca"), F.col("_cx").alias("_ax"), F.col("_cy").alias("_ay")).distinct()
+    there = cell(ends, 0).select(group, F.col("comp").alias("cb"), F.col("_cx").alias("_bx"), F.col("_cy").alias("_by")).distinct()
+    far = F.greatest(F.abs(F.col("_ay")), F.abs(F.col("_ay") + 1)) * size(0) + reach / 110
+    wide = F.least(F.ceil(1 / F.greatest(F.cos(F.radians(F.least(far, F.lit(89.9)))), F.lit(0.01))), F.ceil(360 / size(0)))
+    near = here.withColumn("_bx", F.explode(F.sequence(F.col("_ax") - wide - 1, F.col("_ax") + wide + 1))).withColumn("_by", F.explode(F.sequence(F.col("_ay") - 1, F.col("_ay") + 1)))
+    pairs = skew_join(near, there, [group, "_bx", "_by"]).filter(F.col("ca") != F.col("cb"))
+
+    def joined(pairs: DataFrame, a: DataFrame, b: DataFrame, kept: list[str]) -> DataFrame:
+        """Pairs of cells with what lies in them on both sides, and its distance."""
+        side = lambda df, c, cells: df.select(group, F.col("comp").alias(f"c{c}"), *[F.col(x).alias(f"_{c}{y}") for x, y in cells], *[F.col(x).alias(f"{c}_{x}") for x in kept])
+        at = [("_px", "x"), ("_py", "y")] if "_cx" in kept else [("_cx", "x"), ("_cy", "y")]
+        both = skew_join(skew_join(pairs, side(a, "a", at), [group, "ca", "_ax", "_ay"]), side(b, "b", at), [group, "cb", "_bx", "_by"])
+        return both.withColumn("_km", haversine(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat")))
+
+    for k in range(1, depth + 1):
+        thin = lambda df: finer(df, k).groupBy(group, "comp", "_px", "_py", "_cx", "_cy").agg(F.min(F.struct("node", "lon", "lat")).alias("_r")).select("*", "_r.lon", "_r.lat")
+        looked = cut(joined(pairs, thin(start), thin(ends), ["_cx", "_cy", "lon", "lat"]).select(
+            group, "_reach", "ca", "cb", F.col("a__cx").alias("_ax"), F.col("a__cy").alias("_ay"), F.col("b__cx").alias("_bx"), F.col("b__cy").alias("_by"), "_km"))
+        best = looked.groupBy(group, comps[0].alias("_lo"), comps[1].alias("_hi")).agg(F.min("_km").alias("_best"))
+        # A node is at most a cell's diagonal from the one that stands for its cell.
+        slack = 2 * math.sqrt(2) * KM_PER_DEG * size(k) + 1e-9
+        pairs = looked.withColumn("_lo", comps[0]).withColumn("_hi", comps[1]).join(best, [group, "_lo", "_hi"]).filter(
+            F.col("_km") - slack <= F.least("_best", "_reach")).drop("_km", "_best", "_lo", "_hi")
+    found = joined(pairs, cell(start, depth), cell(ends, depth), ["node", "lon", "lat"]).filter(F.col("_km") <= reach)
+    return found.groupBy(group, comps[0].alias("ca"), comps[1].alias("cb")).agg(
+        F.min(F.struct(F.col("_km").alias("km"), F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))).alias("_gap"))
+
+
 def bridges(nodes: DataFrame, edges: DataFrame, group: str, budget_km: float, any_node: bool = False,
-            from_extremities: bool = False, steps: tuple[float, ...] = (1 / 64, 1 / 8, 1.0)) -> tuple[DataFrame, DataFrame]:
+            from_extremities: bool = False, steps: tuple[float, ...] = (1 / 64, 1 / 8, 1.0), settings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """G-8: gap-closing edges (group, a, b, km) between components of a group, and the components after it (node, comp).
 
     ``nodes`` has group, node, lon, lat, comp.  Shortest gap first, one per merge, is a
     minimum spanning forest over the components; it is grown in rounds in which every
-    component takes its shortest gap.  Reach is widened in steps, so that near gaps are closed, and their pairs gone, before far ones are formed.
+    component takes its shortest gap.  Reach is widened in steps, so that near gaps are closed before
+    far ones are looked for.  A round holds only components that have a gap left to close.
+    ``settings`` (group, bridge_km, from_extremities) gives each group its own; ``budget_km`` is then the widest.
     """
-    dead = degrees(edges).filter(F.col("degree") == 1).select("node")
-    sources = dead
-    if from_extremities:
-        ends = extremities(nodes)
-        sources = dead.unionByName(ends.select(F.col("a").alias("node"))).unionByName(ends.select(F.col("b").alias("node"))).distinct()
     cols = [group, "node", "lon", "lat"]
-    start = cut(nodes.join(sources, "node", "left_semi").select(*cols))
-    ends = nodes.select(*cols) if any_node else start
+    if settings is None:
+        told = nodes.select(*cols, "comp", F.lit(float(budget_km)).alias("_budget"), F.lit(from_extremities).alias("_ext"))
+    else:
+        told = nodes.select(*cols, "comp").join(settings.select(group, F.col("bridge_km").cast("double").alias("_budget"), F.col("from_extremities").alias("_ext")), group).filter("_budget > 0")
+    dead = degrees(edges).filter(F.col("degree") == 1).select("node")
+    tips = extremities(told.filter("_ext"))
+    sources = dead.unionByName(tips.select(F.col("a").alias("node"))).unionByName(tips.select(F.col("b").alias("node"))).distinct()
+    start = cut(told.join(sources, "node", "left_semi").select(*cols, "_budget"))
+    ends = told.select(*cols, "_budget") if any_node else start
     comps = cut(nodes.select("node", "comp").distinct())
     found = []
     for step in steps:
-        km = budget_km * step
-        size = max(km / 60, 1e-4)
-        other = ends.join(comps, "node").select(group, F.col("node").alias("other"), F.col("lon").alias("olon"), F.col("lat").alias("olat"), F.col("comp").alias("ocomp"))
-        pairs = (skew_join(in_cell(start.join(comps, "node"), size), around(other, size, km, "olon", "olat"), [group, "_cx", "_cy"])
-                 .filter(F.col("comp") != F.col("ocomp"))
-                 .withColumn("km", haversine(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat"))).filter(F.col("km") <= km))
-        # Per pair of components only the shortest gap can ever be taken.
-        lo, hi = F.least("comp", "ocomp"), F.greatest("comp", "ocomp")
-        cand, n = cut(pairs.groupBy(group, lo.alias("ca"), hi.alias("cb")).agg(
-            F.min(F.struct("km", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).alias("_gap")), rows=F.count(F.lit(1)))
+        reached = lambda df: df.join(comps, "node").withColumn("_reach", F.col("_budget") * step)
+        cand, n = cut(closest_gaps(reached(start), reached(ends), group, budget_km * step), rows=F.count(F.lit(1)))
+        renamed = []
         while n["rows"]:
-            ends_of = cand.select(F.col("ca").alias("c"), "_gap", group).unionByName(cand.select(F.col("cb").alias("c"), "_gap", group))
-            chosen = cut(ends_of.groupBy("c").agg(F.min_by(F.struct("_gap", group), "_gap").alias("_x")).select("_x._gap", f"_x.{group}").distinct()
-                         .select(group, "_gap.a", "_gap.b", "_gap.km"))
-            found.append(chosen)
-            merged = chosen.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(
-                comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            joined = cut(connected(merged).select(F.col("node").alias("_old"), F.col("comp").alias("_new")))
-            comps = cut(comps.join(joined, F.col("comp") == F.col("_old"), "left").select("node", F.coalesce("_new", "comp").alias("comp")))
+            ends_of = cand.select(F.col("ca").alias("c"), "*").unionByName(cand.select(F.col("cb").alias("c"), "*"))
+            chosen = cut(ends_of.groupBy("c").agg(F.min_by(F.struct("_gap", group, "ca", "cb"), "_gap").alias("_x")).select("_x.*").distinct())
+            found.append(chosen.select(group, "_gap.a", "_gap.b", "_gap.km"))
+            joined = cut(connected(chosen.select("ca", "cb"), "ca", "cb").select(F.col("node").alias("_old"), F.col("comp").alias("_new")))
+            renamed.append(joined)
             look = lambda c: joined.select(F.col("_old").alias(c), F.col("_new").alias(f"_n{c}"))
             moved = (cand.join(look("ca"), "ca", "left").join(look("cb"), "cb", "left")
                      .select(group, "_gap", F.coalesce("_nca", "ca").alias("x"), F.coalesce("_ncb", "cb").alias("y")).filter(F.col("x") != F.col("y"))
                      .groupBy(group, F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).agg(F.min("_gap").alias("_gap")))
             cand, n = cut(moved, rows=F.count(F.lit(1)))
+        for joined in renamed:
+            comps = comps.join(joined, F.col("comp") == F.col("_old"), "left").select("node", F.coalesce("_new", "comp").alias("comp"))
+        comps = cut(comps) if renamed else comps
     none = start.filter(F.lit(False)).select(group, F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("km"))
     return reduce(lambda a, b: a.unionByName(b), found, none), comps
 

@@ -94,21 +94,24 @@ def expand(steps: DataFrame, short: DataFrame, members: DataFrame, edges: DataFr
 
 
 def past_the_end(tree: DataFrame, ends: DataFrame, nodes: DataFrame, dead_ends: DataFrame, walked: DataFrame,
-                 tail_km: float = 0, gain_km: float = 1.6) -> DataFrame:
+                 tail_km: float | DataFrame = 0, gain_km: float = 1.6) -> DataFrame:
     """G-11: the end moved on where the road goes on past it (comp, node).
 
     ``tree`` holds least costs from the other end, ``walked`` the nodes of the path to
     ``ends`` with their cost (comp, node, at).  A dead end beyond is taken if it is reached
     through the end (or its tail) without a bridge, and lies clear of the road walked.
+    ``tail_km`` is one length or a table (comp, tail_km).
     """
     base = tree.join(ends, ["comp", "node"], "left_semi").select("comp", F.col("dist").alias("_base"))
     hooks = climb_to(tree, walked.select("comp", "node"), "comp")
     attach = tree.select("comp", F.col("node").alias("at"), F.col("dist").alias("_at_dist"), F.col("bridged").alias("_at_bridged"))
     beyond = (tree.join(dead_ends.select("node"), "node", "left_semi").join(base, "comp")
               .filter(F.col("dist") - F.col("_base") >= gain_km))
+    per_comp = isinstance(tail_km, DataFrame)
+    beyond = beyond.join(tail_km, "comp") if per_comp else beyond
     # All are looked at in one join: the farthest may be the end of the other direction's lanes.
     ok = (beyond.join(hooks, ["comp", "node"]).join(attach, ["comp", "at"])
-          .filter((F.col("_base") - F.col("_at_dist") <= tail_km) & (F.col("bridged") == F.col("_at_bridged"))))
+          .filter((F.col("_base") - F.col("_at_dist") <= (F.col("tail_km") if per_comp else tail_km)) & (F.col("bridged") == F.col("_at_bridged"))))
     spots = nodes.select("node", "lon", "lat")
     path = walked.select("comp", F.col("node").alias("_w")).join(spots.select(F.col("node").alias("_w"), F.col("lon").alias("wlon"), F.col("lat").alias("wlat")), "_w")
     clear = (ok.join(spots, "node").join(path, "comp").groupBy("comp", "node", "dist", "_base")
@@ -177,24 +180,29 @@ def close_rings(edges: DataFrame, path: DataFrame, ends: DataFrame, tol_km: floa
 
 def stitch(segments: DataFrame, group: str, snap_deg: float = 0.0025, bridge_km: float = 60, min_km: float = 1.2,
            dedupe_km: float | None = None, any_node: bool = False, from_extremities: bool = False, tail_km: float = 0,
-           rings: bool = True) -> Stitched:
+           rings: bool = True, settings: DataFrame | None = None) -> Stitched:
     """G-19, G-20: fragments (seg_id, group, coords) stitched per group into components with one driven path each.
 
     Components without bridging come first; slivers shorter than ``min_km`` are dropped,
     unless the group has nothing longer; what is left is bridged and its path searched.
+
+    ``settings`` gives each group its own bridge_km, min_km, dedupe_km (null: none), from_extremities and
+    tail_km, so that groups of several systems go through the same jobs; ``bridge_km`` and ``dedupe_km``
+    are then the widest of them.
     """
     edges, nodes = build_edges(segments, group, snap_deg)
     edges, nodes = cut(edges), cut(nodes)
     comps = cut(label_nodes(nodes, edges.select("a", "b")))
     sized = edges.join(comps.select(F.col("node").alias("a"), "comp"), "a")
     km = sized.groupBy(group, "comp").agg(F.sum("km").alias("km"))
-    whole = km.filter(F.col("km") >= min_km)
+    km = km.withColumn("min_km", F.lit(float(min_km))) if settings is None else km.join(settings.select(group, "min_km"), group)
+    whole = km.filter(F.col("km") >= F.col("min_km"))
     alone = km.join(whole.select(group).distinct(), group, "left_anti")
     keep = cut(whole.select("comp").withColumn("alone", F.lit(False)).unionByName(alone.filter(F.col("km") > 0).select("comp").withColumn("alone", F.lit(True))))
     edges = cut(sized.join(keep.select("comp"), "comp", "left_semi").select(group, "edge_id", "a", "b", "km", "coords", F.lit(False).alias("bridge")))
     nodes = comps.join(keep.select("comp"), "comp", "left_semi")
     if bridge_km > 0:
-        closed, comps = bridges(nodes, edges, group, bridge_km, any_node, from_extremities)
+        closed, comps = bridges(nodes, edges, group, bridge_km, any_node, from_extremities, settings=settings)
         spot = lambda n: nodes.select(F.col("node").alias(n), F.struct("lon", "lat").alias(f"_{n}"))
         closed = positions(cut(closed), [], [F.col("a"), F.col("b")], "a", name="_place")
         lines = cut(closed.join(spot("a"), "a").join(spot("b"), "b").select(
@@ -202,11 +210,12 @@ def stitch(segments: DataFrame, group: str, snap_deg: float = 0.0025, bridge_km:
         edges = edges.unionByName(lines)
         nodes = cut(nodes.drop("comp").join(comps, "node"))
     edges = cut(edges.join(nodes.select(F.col("node").alias("a"), "comp"), "a"))
-    out = _route(edges, nodes, group, tail_km, rings)
-    return without_opposite_carriageways(out, dedupe_km) if dedupe_km else out
+    tails = tail_km if settings is None else cut(nodes.select(group, "comp").distinct().join(settings.select(group, "tail_km"), group).select("comp", "tail_km"))
+    out = _route(edges, nodes, group, tails, rings)
+    return without_opposite_carriageways(out, dedupe_km, settings=settings) if dedupe_km else out
 
 
-def _route(edges: DataFrame, nodes: DataFrame, group: str, tail_km: float, rings: bool) -> Stitched:
+def _route(edges: DataFrame, nodes: DataFrame, group: str, tail_km: float | DataFrame, rings: bool) -> Stitched:
     """G-9..G-13: ends, path and pieces of every component."""
     ends = cut(extremities(nodes).filter(F.col("a") != F.col("b")))
     stops = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct()
@@ -261,23 +270,29 @@ def _summary(edges: DataFrame, path: DataFrame, group: str) -> Stitched:
     return Stitched(paved.select(group, "comp", "edge_id", "a", "b", "km", "coords"), path, gaps, cut(total.join(driven, "comp")))
 
 
-def without_opposite_carriageways(out: Stitched, tol_km: float = 0.08, share: float = 0.6) -> Stitched:
+def without_opposite_carriageways(out: Stitched, tol_km: float = 0.08, share: float = 0.6, settings: DataFrame | None = None) -> Stitched:
     """G-15: components lying along longer kept ones of their group become branches of the one they lie on most.
 
     A component is kept once the longer ones, kept or undecided, cover less than ``share``
     of it, and dropped once kept ones cover that much.  The longest undecided of a group
-    is settled in every round.
+    is settled in every round.  ``settings`` (group, dedupe_km) gives each group its own tolerance, null to
+    leave it as it is; ``tol_km`` is then the widest.
     """
     group = [c for c in out.components.columns if c not in ("comp", "km", "path_km", "pieces", "gaps", "gap_km")][0]
     lines = out.path.filter(~F.col("bridge")).select("comp", "edge_id").join(out.edges.select(group, "comp", "edge_id", "coords"), ["comp", "edge_id"])
     several = out.components.groupBy(group).agg((F.count(F.lit(1)) > 1).alias("_s")).filter("_s").select(group)
+    if settings is not None:
+        several = several.join(settings.filter(F.col("dedupe_km").isNotNull()), group, "left_semi")
     lines = lines.join(several, group, "left_semi").join(out.components.select("comp", F.col("km").alias("ckm")), "comp")
     samples = cut(sample_fragments(lines, [group, "comp", "ckm", "edge_id"], "coords", 0.2))
     dense = sample_fragments(lines, [group, "comp", "ckm", "edge_id"], "coords", tol_km / 2)
     from .grid import near_points
     others = dense.select(group, F.col("comp").alias("other"), F.col("ckm").alias("okm"), F.col("lon").alias("olon"), F.col("lat").alias("olat"))
     longer = (F.col("okm") > F.col("ckm")) | ((F.col("okm") == F.col("ckm")) & (F.col("other") < F.col("comp")))
-    hits = cut(near_points(samples, others, tol_km, [group], size=tol_km / 100).filter(longer)
+    near = near_points(samples, others, tol_km, [group], size=tol_km / 100).filter(longer)
+    if settings is not None:
+        near = near.join(settings.select(group, "dedupe_km"), group).filter(F.col("dist") <= F.col("dedupe_km"))
+    hits = cut(near
                .select("comp", "edge_id", "along", "other").distinct())
     n = samples.groupBy("comp").agg(F.count(F.lit(1)).alias("_n"))
     state, m = cut(samples.select("comp").distinct().withColumn("kept", F.lit(None).cast("boolean")), open=F.count(F.lit(1)))
