@@ -122,3 +122,50 @@ def test_snapping_crosses_cells(spark):
     got = {x.end_id: x.node for x in R.snap(ends, "g", 0.0002).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
     assert R.snap(ends, "g", 0.0002).filter(F.col("end_id") == 2).first().nlon == 10.0
+
+
+def _km(x1, y1, x2, y2):
+    from math import asin, cos, radians, sin, sqrt
+    h = sin(radians(y2 - y1) / 2) ** 2 + cos(radians(y1)) * cos(radians(y2)) * sin(radians(x2 - x1) / 2) ** 2
+    return 2 * 6371.0088 * asin(sqrt(h))
+
+
+def test_closest_gaps_of_wide_reach(spark):
+    r = random.Random(4)
+    nodes = []
+    for g, reach in ((1, 400.0), (2, 30.0), (3, 900.0)):
+        for comp in range(6):
+            x, y = r.uniform(-110, -104), r.uniform(40, 65)
+            for i in range(25):
+                x, y = x + r.uniform(0, 0.05), y + r.uniform(-0.05, 0.05)
+                nodes.append((g, len(nodes), x, y, g * 10 + comp, reach))
+    df = spark.createDataFrame(nodes, "g bigint, node bigint, lon double, lat double, comp bigint, _reach double")
+    want = {}
+    for x, y in itertools.combinations(nodes, 2):
+        d = _km(x[2], x[3], y[2], y[3])
+        if x[0] == y[0] and x[4] != y[4] and d <= x[5]:
+            key = (x[0], *sorted((x[4], y[4])))
+            want[key] = min(want.get(key, (1e9,)), (d, *sorted((x[1], y[1]))))
+    got = {(x.g, x.ca, x.cb): (x._gap.a, x._gap.b) for x in R.closest_gaps(df, df, "g", 900.0).collect()}
+    assert len(want) > 10 and got == {k: v[1:] for k, v in want.items()}
+
+
+def test_contraction_keeps_least_costs_and_rounds_are_few(spark):
+    n = 600
+    edges = [(i, i, i + 1, 1.0 + i % 3, False) for i in range(n)]
+    df = spark.createDataFrame(edges, "edge_id bigint, a bigint, b bigint, cost double, bridge boolean")
+    ways = df.selectExpr("a AS u", "b AS v").union(df.selectExpr("b", "a")).selectExpr(
+        "u", "v", "named_struct('w', named_struct('cost', 1L, 'hops', 1L, 'bridged', 0L), 'into', named_struct('prev', u, 'edge_id', 0L), 'back', named_struct('prev', v, 'edge_id', 0L)) AS way",
+        "u = 0 AS ufix", "v = 0 AS vfix")
+    core, levels = R.contracted(ways)
+    assert core.count() == 0 and len(levels) < 25
+    tree = {x.node: x for x in R.shortest_paths(df, spark.createDataFrame([(1, 0)], "task bigint, node bigint")).collect()}
+    assert len(tree) == n + 1 and all(tree[i].hops == i and tree[i].dist == sum(1.0 + k % 3 for k in range(i)) for i in range(n + 1))
+    assert all(tree[i].prev == i - 1 and tree[i].edge_id == i - 1 for i in range(1, n + 1))
+
+
+def test_components_of_hubs_and_long_chains(spark):
+    links = [(0, i) for i in range(1, 400)] + [(1_000 + i, 1_001 + i) for i in range(700)] + [(5_000, 5_000)]
+    got = {x.node: x.comp for x in R.connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(400)} | {1_000 + i: 1_000 for i in range(701)}
+    assert R.connected(spark.createDataFrame([], "a string, b string")).count() == 0

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEG, haversine
 from ..runtime import cut, discard, skew_join
-from .grid import around, in_cell
+from .grid import EARTH_KM, around, in_cell, nearest_in_rings
 from .ordered import first_by
 
 MAX_ROUNDS = 10_000
@@ -432,7 +432,7 @@ def corridors(pieces: DataFrame, states: DataFrame, adjacency: DataFrame, number
 
 
 def nearest_node(nodes: DataFrame, points: DataFrame, task: str) -> DataFrame:
-    """Node nearest to each task's point among the nodes of that task."""
-    d = haversine(F.col("plon"), F.col("plat"), F.col("lon"), F.col("lat"))
-    joined = skew_join(nodes, points, [task]).withColumn("km", d)
-    return first_by(joined, [task], ["km", "node"], ["node", "km"])
+    """Node nearest to each task's point (plon, plat) among the nodes of that task, looked for in widening rings."""
+    spots = nodes.select(task, "node", F.col("lon").alias("olon"), F.col("lat").alias("olat"))
+    found = nearest_in_rings(points.select(task, F.col("plon").alias("lon"), F.col("plat").alias("lat")), spots, task, "node", EARTH_KM, [task])
+    return found.select(task, "node", F.col("dist").alias("km"))

@@ -8,11 +8,14 @@ is looked at once and the point side is never multiplied.  Crowded cells are spl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEG, distance, haversine, offset_deg, project
-from ..runtime import skew_join
+from ..runtime import cut, skew_join
 from .ordered import first_by, top_k
 
 
@@ -147,18 +150,86 @@ def nearest_place(points: DataFrame, places: DataFrame, point: str, place: str)
     return first_by(joined.withColumn("_score", score), [point], ["_score", place], [place, F.round("km", 1).alias("km")])
 
 
+# No two places are farther apart.
+EARTH_KM = 20_100
+# Rings widen by this factor; the first is so small that an average cell holds few rows.
+WIDER = 4
+FEW = 4
+
+
+def first_ring(others: DataFrame, most_km: float, on: list[str] = ()) -> float:
+    """A radius at which a cell holds about :data:`FEW` of the others, from their number and extent (one bounded row)."""
+    each = others.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), (F.max("olon") - F.min("olon")).alias("w"), (F.max("olat") - F.min("olat")).alias("h"))
+    seen = each.agg(F.sum("n").alias("n"), F.sum(F.greatest(F.col("w"), F.lit(1e-4)) * F.greatest(F.col("h"), F.lit(1e-4))).alias("area")).first()
+    if not seen["n"]:
+        return most_km
+    return max(min(most_km, KM_PER_DEG * (FEW * seen["area"] / seen["n"]) ** 0.5), most_km / WIDER ** 8)
+
+
+def in_rings(points: DataFrame, keys: list[str], look: Callable[[DataFrame, float], DataFrame], first_km: float, most_km: float) -> DataFrame:
+    """What ``look(points, km)``, the nearest of each point within ``km``, finds for each point in the smallest ring that holds any.
+
+    Looks around all points at once, in rings that widen by a factor.  A point whose nearest lies within the
+    ring is settled, as all that it has not met is farther; it leaves before the next ring.  A point
+    so meets only what is up to a few times as far as its nearest, however much lies within ``most_km``.
+    """
+    left, m = cut(points, rows=F.count(F.lit(1)))
+    km, settled = first_km, []
+    while True:
+        km = min(km, most_km)
+        found = cut(look(left, km))
+        settled.append(found)
+        if km >= most_km or not m["rows"]:
+            return reduce(lambda a, b: a.unionByName(b), settled)
+        left, m = cut(left.join(found.select(*keys), keys, "left_anti"), rows=F.count(F.lit(1)))
+        if not m["rows"]:
+            return reduce(lambda a, b: a.unionByName(b), settled)
+        km *= WIDER
+
+
+def _told(points: DataFrame, others: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Points and others that share a value of ``on`` with the other side."""
+    if not on:
+        return points, others
+    both = cut(points.select(*on).distinct().join(others.select(*on).distinct(), on))
+    return points.join(both, on, "left_semi"), others.join(both, on, "left_semi")
+
+
+def nearest_in_rings(points: DataFrame, others: DataFrame, point: str, other: str, most_km: float, on: list[str] = (), keep: list[str] = (),
+                     radius: float | None = None, first_km: float | None = None) -> DataFrame:
+    """The nearest other (olon, olat) of each point that shares ``on`` and lies within ``most_km``: (point, other, keep, dist).
+
+    Equally near ones go to the least id.  Points with nothing within reach give no row.
+    """
+    points, others = _told(points.select(*dict.fromkeys([point, *on]), "lon", "lat"), others.select(*on, other, "olon", "olat", *keep), on)
+    measure = haversine(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat"), *([radius] if radius else []))
+
+    def look(left: DataFrame, km: float) -> DataFrame:
+        near = skew_join(in_cell(left, km / KM_PER_DEG), around(others, km / KM_PER_DEG, km, "olon", "olat"), [*on, "_cx", "_cy"]).withColumn("dist", measure)
+        return first_by(near.filter(F.col("dist") <= km), [point], ["dist", other], [other, *keep, "dist"])
+    return in_rings(points, [point], look, first_km or first_ring(others, most_km, on), most_km)
+
+
+def nearest_leg_in_rings(points: DataFrame, line_legs: DataFrame, keys: list[str], order: list[str], keep: list[str], on: list[str] = (), first_km: float = 1, most_km: float = EARTH_KM) -> DataFrame:
+    """The nearest leg of each point that shares ``on``: (keys, keep); equally near ones by ``order``.  ``keep`` may name ``dist``."""
+    points, line_legs = _told(points, line_legs, on)
+    return in_rings(points, keys, lambda left, km: first_by(near_legs(left, line_legs, km, on), keys, ["dist", *order], keep), first_km, most_km)
+
+
 def tiered_place(points: DataFrame, places: DataFrame, point: str, place: str, near_km: float = 30, far_km: float = 120,
                  city_bonus: float = 8, radius: float = 6371.0) -> DataFrame:
-    """J-4: best place within the near radius; only where there is none, within the far one.  A city counts nearer."""
+    """J-4: best place within the near radius; only where there is none, within the far one.  A city counts nearer.
+
+    Among cities, and among the rest, the nearest is the best, so each kind is searched in rings and
+    the two are compared.
+    """
+    kinds = [(cut(places.filter(F.col("kind").eqNullSafe("city"))), city_bonus), (cut(places.filter(~F.col("kind").eqNullSafe("city"))), 0.0)]
+
     def best(pts: DataFrame, km: float) -> DataFrame:
-        size = km / 100
-        joined = skew_join(in_cell(pts, size), around(places, size, km, "olon", "olat"), ["_cx", "_cy"])
-        d = haversine(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat"), radius)
-        hits = joined.withColumn("_d", d).filter(F.col("_d") <= km)
-        score = F.col("_d") - F.when(F.col("kind") == "city", city_bonus).otherwise(0.0)
-        return first_by(hits.withColumn("_score", score), [point], ["_score", place], [place, F.round("_d", 1).alias("km")])
-
-    close = best(points, near_km)
+        hits = [nearest_in_rings(pts, of, point, place, km, radius=radius).withColumn("_score", F.col("dist") - bonus) for of, bonus in kinds]
+        return first_by(hits[0].unionByName(hits[1]), [point], ["_score", place], [place, F.round("dist", 1).alias("km")])
+
+    close = cut(best(points, near_km))
     return close.unionByName(best(points.join(close.select(point), point, "left_anti"), far_km))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import bearing, haversine, line_km, offset_deg, project, runs_forward
 from ..runtime import cut, skew_join
-from .grid import within_deg
+from .grid import nearest_leg_in_rings, within_deg
 from .ordered import running_sum
 
 BLOCK_VERTICES = 1024
@@ -173,10 +173,10 @@ def simplify(vertices: DataFrame, keys: list[str], tolerance_deg: float) -> Data
 
 
 def distance_to_lines(points: DataFrame, line_legs: DataFrame, on: list[str], point_keys: list[str]) -> DataFrame:
-    """P-6: least distance from each point to the legs of its own lines (``on``)."""
-    near = project(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))["km"]
-    joined = skew_join(line_legs.drop("km"), points, on).withColumn("_km", near)
-    return joined.groupBy(*point_keys).agg(F.min("_km").alias("km"))
+    """P-6: least distance from each point to the legs of its own lines (``on``), looked for in widening rings."""
+    places = points.select(*dict.fromkeys([*point_keys, *on]), "lon", "lat").distinct()
+    found = nearest_leg_in_rings(places, line_legs.select(*on, "ax", "ay", "bx", "by"), [*point_keys], [], ["dist"], list(on))
+    return found.select(*point_keys, F.col("dist").alias("km"))
 
 
 def unfold(vertices: DataFrame, keys: list[str], out_deg: float = 0.027, near_deg: float = 0.0009, share: float = 0.8) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine, line_km, project
 from ..runtime import cut, skew_join
 from .graph import bridges, chains, climb_to, connected, degrees, extremities, label_nodes, nearest_node, shortest_paths, snap, trace
-from .grid import coincident_share, near_legs, within
+from .grid import coincident_share, near_legs, nearest_leg_in_rings, within
 from .lines import fragment_legs, sample_fragments, walk
 from .ordered import first_by, merge_intervals, positions, running_sum
 
@@ -144,8 +144,11 @@ def close_rings(edges: DataFrame, path: DataFrame, ends: DataFrame, tol_km: floa
     beside = coincident_share(samples, dense, ["comp", "edge_id"], tol_km, ["comp"], spread_samples=True).filter(F.col("share") >= 0.6)
     gone = walked.unionByName(beside.select("comp", "edge_id"))
     bridge_walked = path.filter("bridge").select("comp", "edge_id")
-    residual = cut(edges.join(gone, ["comp", "edge_id"], "left_anti").join(bridge_walked, ["comp", "edge_id"], "left_anti")
-                   .select("comp", "edge_id", "a", "b", "km", "bridge"))
+    residual, m = cut(edges.join(gone, ["comp", "edge_id"], "left_anti").join(bridge_walked, ["comp", "edge_id"], "left_anti")
+                      .select("comp", "edge_id", "a", "b", "km", "bridge"), rows=F.count(F.lit(1)))
+    if not m["rows"]:  # nothing is left that could close a ring
+        last = F.col("seq")
+        return path.filter(F.lit(False)).select("comp", "seq", "edge_id", "forward", "bridge", "km", "a", "b"), path.filter(F.lit(False)).select("comp", last.alias("first"), last.alias("last"))
 
     # Nodes of the path with the distance along it.
     tip = F.when(F.col("forward"), F.col("b")).otherwise(F.col("a"))
@@ -355,9 +358,8 @@ def node_parts(parts: DataFrame, task: str, points: DataFrame | None = None, joi
     cuts = first_by(hits, [task, "_own", "_e"], ["dist", "seg_id", "seq"], ["seg_id", "seq", "lon", "lat", "ax", "ay", "bx", "by"])
     cuts = cuts.select(task, "seg_id", "seq", "lon", "lat", "ax", "ay", "bx", "by")
     if points is not None:
-        near = project(F.col("plon"), F.col("plat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-        named = skew_join(legs, points, [task]).withColumn("_d", near["km"])
-        nearest = first_by(named, [task, "plon", "plat"], ["_d", "seg_id", "seq"], ["seg_id", "seq", "ax", "ay", "bx", "by"])
+        named = points.select(task, "plon", "plat", F.col("plon").alias("lon"), F.col("plat").alias("lat")).distinct()
+        nearest = nearest_leg_in_rings(named, legs, [task, "plon", "plat"], ["seg_id", "seq"], ["seg_id", "seq", "ax", "ay", "bx", "by"], [task])
         cuts = cuts.unionByName(nearest.select(task, "seg_id", "seq", F.col("plon").alias("lon"), F.col("plat").alias("lat"), "ax", "ay", "bx", "by"))
     spot = project(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     cuts = (cuts.withColumn("_s", spot).filter((haversine(F.col("_s.lon"), F.col("_s.lat"), F.col("ax"), F.col("ay")) > 1e-6) | (F.col("seq") > 1))
