@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,15 +29,52 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = N
                    encoding: str = "UTF-8", line_breaks: bool = False) -> DataFrame:
     """S-1, S-2: delimited text with quotes and doubled quotes; headers in lower case.
 
-    A file is split over tasks, unless quoted values may hold line breaks (``line_breaks``): then
-    each file is one task.
+    A file is split over tasks, also where quoted values may hold line breaks (``line_breaks``, see
+    :func:`whole_records`); only texts of more than one byte a line break are then one task for each file.
     """
-    df = (spark.read.option("header", True).option("multiLine", line_breaks).option("quote", quote).option("escape", quote)
+    wide = line_breaks and encoding.upper().replace("-", "").startswith(("UTF16", "UTF32"))
+    df = (spark.read.option("header", True).option("multiLine", wide).option("quote", quote).option("escape", quote)
           .option("sep", sep).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).csv(path))
+    if line_breaks and not wide:
+        records = whole_records(spark, path, quote, encoding)
+        options = {"sep": sep, "quote": quote, "escape": quote, "maxCharsPerColumn": "-1", "ignoreLeadingWhiteSpace": "false", "multiLine": "true"}
+        bare = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(df.columns))])
+        read = records.filter(~F.col("header")).select(F.from_csv("record", bare.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r"))
+        df = read.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(df.columns)])
     df = df.toDF(*[c.replace("\ufeff", "").strip().lower() for c in df.columns])
     return require_columns(df, columns, path) if columns else df
 
 
+def whole_records(spark: SparkSession, path: str, quote: str, encoding: str) -> DataFrame:
+    """Records of delimited files (header, record); a quoted value may hold line breaks, and a file is still split over tasks.
+
+    A line stands inside a value if the quotes before it in its file are odd in number.  Quotes are counted
+    for each range of a file that a task reads; the counts of the ranges before, one row each, give
+    every range the state in which it starts, and its lines follow from there.  Lines that continue
+    a record which began in an earlier range go to the last record that began before them.
+    Line breaks inside values stay as they are.  ``header`` marks each file's first record.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    text = F.decode(F.col("value").cast("binary"), encoding)
+    place = ["_file", "_from"]
+    lines = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_at"),
+                       text.alias("_text"))
+    lines = lines.withColumn("_quotes", F.length("_text") - F.length(F.replace("_text", F.lit(quote), F.lit(""))))
+    earlier = W.partitionBy("_file").orderBy("_from").rowsBetween(W.unboundedPreceding, -1)  # as many rows as the file has ranges
+    states = lines.groupBy(*place).agg(F.sum("_quotes").alias("_n")).select(*place, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) % 2).alias("_open"))
+    row = W.partitionBy(*place).orderBy("_at")
+    before = F.coalesce(F.sum("_quotes").over(row.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    marked = lines.join(states, place).withColumn("_starts", ((before + F.col("_open")) % 2 == 0).cast("bigint"))
+    # The quotes are summed in the same window, so lines are dealt to their ranges once.
+    numbered = cut(marked.withColumn("_no", F.sum("_starts").over(row)).drop("_open", "_quotes"))
+    last = numbered.groupBy(*place).agg(F.max("_no").alias("_k")).withColumn("_last", F.last(F.when(F.col("_k") > 0, F.struct("_from", "_k")), ignorenulls=True).over(earlier))
+    # The blank lines between records belong to none.
+    whole = numbered.join(last.select(*place, "_last"), place).withColumn("_of", F.when(F.col("_no") > 0, F.struct("_from", F.col("_no").alias("_k"))).otherwise(F.col("_last")))
+    first = (F.col("_of._from") == 0) & (F.col("_of._k") == 1)
+    each = whole.groupBy("_file", "_of").agg(F.array_sort(F.collect_list(F.struct("_from", "_at", "_text"))).alias("_l"), F.max(first).alias("header"))
+    return each.select("header", F.regexp_replace(F.array_join(F.transform("_l", lambda x: x["_text"]), "\n"), "\r$", "").alias("record")).filter(F.trim("record") != "")
+
+
 def read_positional(spark: SparkSession, path: str, columns: dict[int, str], width: int, sep: str = "\t", encoding: str = "ISO-8859-1") -> DataFrame:
     """S-3: separated text read by column position; short rows and the header are dropped."""
     lines = spark.read.option("encoding", encoding).option("header", True).option("sep", sep).csv(path, schema=T.StructType(
