@@ -220,6 +220,22 @@ def test_cut_between_points_is_checked_against_the_published_length(spark):
     assert not got["no"].drawn and not got["off"].drawn and got["off"].km is None
 
 
+def test_cut_over_two_lines_that_meet_end_to_end(spark):
+    rows = [("a", 1, i, 0.0, 40 + 0.05 * i) for i in range(5)]  # up to 40.2
+    rows += [("b", 2, i, 0.0, 40.4 - 0.05 * i) for i in range(4)] + [("b", 2, 4, 0.0, 40.203)]  # down to 330 m beyond
+    rows += [("b", 3, 0, 0.002, 40.21), ("b", 3, 1, 0.002, 40.5)]  # starts too far away
+    along = L.chainage(spark.createDataFrame(rows, "key string, line bigint, seq int, lon double, lat double"), ["key", "line"]).drop("km")
+    want = 0.3 * DEG
+    ends = [(f, key, 0.0, 40.05, 0.0, 40.35, want * w) for f, w in (("two", 1.0), ("short", 2.0)) for key in "ab"]
+    ends += [("far", key, 0.0, 40.05, 1.0, 40.35, want) for key in "ab"] + [("one", "a", 0.0, 40.05, 0.0, 40.15, 0.1 * DEG)]
+    df = spark.createDataFrame(ends, "facility string, key string, flon double, flat double, tlon double, tlat double, km double")
+    got = {r.facility: r for r in S.between_points(along, df, "facility", "line", ["key"], 0.5, 0.1).collect()}
+    two = got["two"]
+    assert two.drawn and (two.line, two.line2) == (1, 2) and two.km == pytest.approx(want, abs=0.02) and two.join_at == pytest.approx(0.2 * DEG, abs=0.02)
+    assert two.join2_at == pytest.approx(0.197 * DEG, abs=0.02) and not got["short"].drawn and got["far"].km is None and not got["far"].drawn
+    assert got["one"].drawn and got["one"].line2 is None
+
+
 def test_route_build_end_to_end(spark):
     rows = []
     for i in range(6):

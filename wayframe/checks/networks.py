@@ -153,6 +153,21 @@ def cut_between_points(t):
     return cuts.select("facility", F.round("published", 5).alias("published"), "drawn")
 
 
+@query("G23_cut_over_two_lines", f"""WITH h AS (SELECT *, {hav('ax', 'ay', 'bx', 'by')} AS k, lead(slot) OVER w AS nslot, lead(seg_id) OVER w AS nseg, {hav('lead(ax) OVER w', 'lead(ay) OVER w', 'lead(bx) OVER w', 'lead(by) OVER w')} AS nk FROM highways WINDOW w AS (PARTITION BY group_key ORDER BY slot)),
+f AS (SELECT seg_id, CASE WHEN nslot = slot + 1 THEN nseg END AS line2, k + CASE WHEN nslot = slot + 1 THEN nk ELSE 0 END AS km FROM h)
+SELECT seg_id AS facility, seg_id AS line, line2, round(km, 5) AS km, seg_id % 3 <> 0 AS drawn FROM f""")
+def cut_over_two_lines(t):
+    """From where each road fragment starts to where it, or the next one that it runs into, ends."""
+    h = t.highways
+    along = h.select("group_key", F.col("seg_id").alias("line"), F.lit(0).alias("seq"), "ax", "ay", "bx", "by", F.lit(0.0).alias("from_km"), haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("to_km"))
+    after = h.select("group_key", (F.col("slot") - 1).alias("slot"), F.col("bx").alias("nx"), F.col("by").alias("ny"), haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("nk"))
+    own = haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    ends = h.join(after, ["group_key", "slot"], "left").select(
+        F.col("seg_id").alias("facility"), "group_key", F.col("ax").alias("flon"), F.col("ay").alias("flat"), F.coalesce("nx", "bx").alias("tlon"), F.coalesce("ny", "by").alias("tlat"),
+        ((own + F.coalesce("nk", F.lit(0.0))) * F.when(F.col("seg_id") % 3 == 0, 2.0).otherwise(1.05)).alias("km"))
+    return S.between_points(cut(along), cut(ends), "facility", "line", ["group_key"], 0.5, 0.1).select("facility", "line", "line2", F.round("km", 5).alias("km"), "drawn")
+
+
 @query("G24_flagged_stretches")
 def flagged_stretches(t):
     f = fragments(t)

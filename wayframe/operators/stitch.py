@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine, line_km, project
 from ..runtime import cut, skew_join
 from .graph import bridges, chains, climb_to, connected, degrees, extremities, label_nodes, nearest_node, shortest_paths, snap, trace
-from .grid import coincident_share, near_legs, nearest_leg_in_rings, within
+from .grid import coincident_share, near_legs, near_points, nearest_leg_in_rings, within
 from .lines import fragment_legs, sample_fragments, walk
 from .ordered import first_by, merge_intervals, positions, running_sum
 
@@ -289,7 +289,6 @@ def without_opposite_carriageways(out: Stitched, tol_km: float = 0.08, share: fl
     lines = lines.join(several, group, "left_semi").join(out.components.select("comp", F.col("km").alias("ckm")), "comp")
     samples = cut(sample_fragments(lines, [group, "comp", "ckm", "edge_id"], "coords", 0.2))
     dense = sample_fragments(lines, [group, "comp", "ckm", "edge_id"], "coords", tol_km / 2)
-    from .grid import near_points
     others = dense.select(group, F.col("comp").alias("other"), F.col("ckm").alias("okm"), F.col("lon").alias("olon"), F.col("lat").alias("olat"))
     longer = (F.col("okm") > F.col("ckm")) | ((F.col("okm") == F.col("ckm")) & (F.col("other") < F.col("comp")))
     near = near_points(samples, others, tol_km, [group], size=tol_km / 100).filter(longer)
@@ -414,25 +413,45 @@ def stitch_between(parts: DataFrame, termini: DataFrame, task: str, snap_deg: fl
     return ends.select(task, "status", "snap_from", "snap_to").join(sums, task, "left"), path
 
 
-def between_points(lines_along: DataFrame, ends: DataFrame, facility: str, line: str, on: list[str], snap_km: float, tolerance: float) -> DataFrame:
-    """G-23: the stretch of a line between two points, if it measures what is published within ``tolerance``.
+def between_points(lines_along: DataFrame, ends: DataFrame, facility: str, line: str, on: list[str], snap_km: float, tolerance: float, join_km: float = 0.5) -> DataFrame:
+    """G-23: the stretch between two points, if it measures what is published within ``tolerance``.
 
-    ``lines_along`` are legs with from_km/to_km and ``on``; ``ends`` has the facility, ``on``,
-    flon, flat, tlon, tlat and published km.  The line with the least sum of offsets is taken.
+    ``lines_along`` are legs with from_km/to_km and ``on``; ``ends`` has the facility, ``on`` (a row for
+    each route it may lie on), flon, flat, tlon, tlat and published km.  The line with the least sum of
+    offsets that reaches both points is taken.  Failing that, two lines that meet end to end within
+    ``join_km``, one reaching each point: out from the first point to the end where they meet and on to the second
+    (``{line}2``, join_at and join2_at are where they meet), again with the least sum of offsets and gap.
     """
     def at(x: str, y: str, p: str) -> DataFrame:
         pts = ends.select(facility, *on, F.col(x).alias("lon"), F.col(y).alias("lat"))
         hits = near_legs(pts, lines_along, snap_km, on, metric="flat")
         spot = project(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
         place = (F.col("from_km") + (F.col("to_km") - F.col("from_km")) * spot["t"]).alias(f"{p}_at")
-        return first_by(hits.select(facility, line, "dist", "seq", place), [facility, line], ["dist", "seq"], [F.col("dist").alias(f"{p}_off"), f"{p}_at"])
-
-    both = at("flon", "flat", "f").join(at("tlon", "tlat", "t"), [facility, line])
-    both = both.withColumn("km", F.abs(F.col("t_at") - F.col("f_at"))).withColumn("off", F.col("f_off") + F.col("t_off"))
-    best = first_by(both, [facility], ["off", line], [line, "km", "off", "f_at", "t_at"])
+        return cut(first_by(hits.select(facility, line, "dist", "seq", place), [facility, line], ["dist", "seq"], [F.col("dist").alias(f"{p}_off"), f"{p}_at"]))
+
+    out, back = at("flon", "flat", "f"), at("tlon", "tlat", "t")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    same = dict(lines_along.dtypes)[line]
+    both = out.join(back, [facility, line]).withColumn("km", F.abs(F.col("t_at") - F.col("f_at"))).withColumn("off", F.col("f_off") + F.col("t_off"))
+    one = cut(first_by(both, [facility], ["off", line], [line, none(f"{line}2", same), none("join_at", "double"), none("join2_at", "double"), "km", "off", "f_at", "t_at"]))
+
+    # The two ends of each line that a facility still without a cut reaches, and the least gap between those of two lines.
+    out, back = out.join(one.select(facility), facility, "left_anti"), back.join(one.select(facility), facility, "left_anti")
+    reached = out.select(line).unionByName(back.select(line)).distinct()
+    tips = lines_along.join(reached, line, "left_semi").groupBy(line).agg(
+        F.min_by(F.struct(F.col("ax").alias("lon"), F.col("ay").alias("lat"), F.col("from_km").alias("at")), "seq").alias("_a"),
+        F.max_by(F.struct(F.col("bx").alias("lon"), F.col("by").alias("lat"), F.col("to_km").alias("at")), "seq").alias("_b"))
+    tips = cut(tips.select(line, F.inline(F.array("_a", "_b"))))
+    others = tips.select(F.col(line).alias(f"{line}2"), F.col("lon").alias("olon"), F.col("lat").alias("olat"), F.col("at").alias("join2_at"))
+    met = near_points(tips.withColumnRenamed("at", "join_at"), others, join_km, metric="flat").filter(F.col(line) != F.col(f"{line}2"))
+    meet = first_by(met, [line, f"{line}2"], ["dist", "join_at", "join2_at"], [F.col("dist").alias("gap"), "join_at", "join2_at"])
+    pairs = out.join(back.withColumnRenamed(line, f"{line}2"), facility).join(meet, [line, f"{line}2"])
+    pairs = (pairs.withColumn("km", F.abs(F.col("join_at") - F.col("f_at")) + F.col("gap") + F.abs(F.col("t_at") - F.col("join2_at")))
+             .withColumn("off", F.col("f_off") + F.col("t_off") + F.col("gap")))
+    two = first_by(pairs, [facility], ["off", line, f"{line}2"], [line, f"{line}2", "join_at", "join2_at", "km", "off", "f_at", "t_at"])
     published = ends.select(facility, F.col("km").alias("published")).distinct()
     drawn = F.abs(F.col("km") - F.col("published")) <= F.col("published") * tolerance
-    return published.join(best, facility, "left").withColumn("drawn", F.coalesce(drawn, F.lit(False)))
+    return published.join(one.unionByName(two), facility, "left").withColumn("drawn", F.coalesce(drawn, F.lit(False)))
 
 
 def flag_stretches(parts: DataFrame, mainline: DataFrame, named: Column, key: str, close_km: float = 25, near_km: float = 5) -> DataFrame:
