@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
+from ..functions.sql import register
 from ..operators import grid as N
 from ..operators import lines as L
 from ..operators import ordered as O
@@ -127,6 +128,20 @@ def projected(t):
     return t.orders.select("o_orderkey", F.round(spot["lon"], 7).alias("lon"), F.round(spot["lat"], 7).alias("lat"))
 
 
+_SPOTS = """SELECT o_orderkey, -120 + CAST(o_orderkey % 97 AS DOUBLE) / 10 AS ax, 30 + CAST(o_orderkey % 31 AS DOUBLE) / 10 AS ay, -120 + CAST(o_orderkey % 97 AS DOUBLE) / 10 + CAST(o_orderkey % 7 AS DOUBLE) / 20 AS bx, 30 + CAST(o_orderkey % 31 AS DOUBLE) / 10 + CAST(o_orderkey % 5 AS DOUBLE) / 25 AS by,
+  -120 + CAST(o_orderkey % 97 AS DOUBLE) / 10 + CAST(o_orderkey % 11 AS DOUBLE) / 30 AS px, 30 + CAST(o_orderkey % 31 AS DOUBLE) / 10 + CAST(o_orderkey % 13 AS DOUBLE) / 60 AS py FROM orders"""
+
+
+@query("P1_P5_P10_sql_functions", f"""WITH p AS ({_SPOTS}), tm AS ({_tm2_sql()})
+SELECT p.o_orderkey, round({hav('ax', 'ay', 'px', 'py')}, 6) AS km, round({to_leg('px', 'py')}, 6) AS to_leg, lon, lat FROM p JOIN tm ON p.o_orderkey = tm.o_orderkey""")
+def sql_functions(t):
+    """The same measures in a query that is text."""
+    register(t.spark)
+    spots = t.sql(_SPOTS).select("o_orderkey", *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by", "px", "py")])
+    return t.spark.sql("""SELECT o_orderkey, round(way_km(ax, ay, px, py), 6) AS km, round(way_to_leg(px, py, ax, ay, bx, by), 6) AS to_leg, round(spot.lon, 7) AS lon, round(spot.lat, 7) AS lat
+FROM (SELECT *, way_tm2(150000D + o_orderkey * 13 % 200000, 2450000D + o_orderkey * 29 % 350000) AS spot FROM {spots})""", spots=spots)
+
+
 _DMS = "CAST(o_orderkey * 7919 % 100000000 AS STRING)"
 
 

@@ -6,6 +6,7 @@ from ..functions.geo import haversine
 from ..operators import graph as R
 from ..operators import lines as L
 from ..operators import stitch as S
+from ..operators.ordered import running_sum
 from ..runtime import cut
 from .geometry import LEGS, fragments, hav, vertices
 from .registry import query
@@ -178,6 +179,21 @@ def flagged_stretches(t):
     return S.flag_stretches(parts, main.withColumn("road", F.col("seg_id")).drop("seg_id", "group_key"), F.col("named"), "road")
 
 
+@query("G24_named_stretches", f"""WITH k AS (SELECT group_key, seg_id, slot, {hav('ax', 'ay', 'bx', 'by')} AS k FROM highways),
+h AS (SELECT *, sum(k) OVER w - k AS f, sum(k) OVER w AS t, sum(k) OVER (PARTITION BY group_key) AS total FROM k WINDOW w AS (PARTITION BY group_key ORDER BY slot)),
+i AS (SELECT *, max(t) OVER (PARTITION BY group_key ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h WHERE seg_id % 4 = 0),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR f - reach >= 25 THEN 1 ELSE 0 END) OVER (PARTITION BY group_key ORDER BY slot) AS n FROM i),
+m AS (SELECT group_key, CASE WHEN min(f) < 25 THEN 0 ELSE min(f) END AS lo, CASE WHEN any_value(total) - max(t) < 25 THEN any_value(total) ELSE max(t) END AS hi FROM g GROUP BY group_key, n)
+SELECT seg_id, EXISTS (SELECT 1 FROM m WHERE m.group_key = h.group_key AND h.t BETWEEN lo - 0.05 AND hi + 0.05) AS flagged FROM h""")
+def named_stretches(t):
+    h = t.highways.withColumn("km", haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    main = cut(running_sum(h, ["group_key"], "slot", "km", "to_km", before="from_km"))
+    coords = F.array(F.struct(F.col("ax").alias("lon"), F.col("ay").alias("lat")), F.struct(F.col("bx").alias("lon"), F.col("by").alias("lat")))
+    parts = main.select("group_key", "seg_id", coords.alias("coords"))
+    legs = main.select("group_key", F.col("slot").alias("seq"), "ax", "ay", "bx", "by", "from_km", "to_km")
+    return S.flag_stretches(parts, legs, F.col("seg_id") % 4 == 0, "group_key").select("seg_id", "flagged")
+
+
 @query("G25_split_groups", """SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey || '|named' ELSE CAST(o_custkey AS VARCHAR) END AS part_key, CAST(count(*) AS BIGINT) AS parts FROM orders GROUP BY 1""")
 def split_groups(t):
     flags = t.orders.select(F.col("o_custkey").alias("group_key"), F.col("o_orderkey").alias("seg_id"), (F.col("o_orderpriority") == "1-URGENT").alias("flagged"))

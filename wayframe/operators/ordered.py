@@ -187,17 +187,24 @@ def first_by(df: DataFrame, keys: list[str], order: list[str | Column], keep: li
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: float, close: bool = True) -> DataFrame:
     """G-24: intervals of one line merged over gaps shorter than ``gap``.
 
-    Intervals are first merged inside fixed stretches of the line, which bounds what the
-    last window per line has to see by the line's length.
+    A scan in segments: intervals are merged inside fixed stretches of the line, and how far the stretches before
+    reach, one row each, is carried to each stretch.  There an interval opens a new one, or belongs
+    to the last that was opened, also in an earlier stretch.  No window sees the rows of a whole line.
     """
-    def islands(rows: DataFrame, part: list[str]) -> DataFrame:
-        w = W.partitionBy(*part).orderBy(start, end)
-        reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-        opens = F.when(reach.isNull() | (F.col(start) - reach >= gap), 1).otherwise(0)
-        return (rows.withColumn("_new", opens).withColumn("_island", F.sum("_new").over(w))
-                .groupBy(*part, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island"))
-
-    width = gap * 64
-    coarse = islands(df.select(*keys, start, end).withColumn("_stretch", F.floor(F.col(start) / width)),
-                     [*keys, "_stretch"]).drop("_stretch")
-    return islands(coarse, keys) if close else coarse
+    part = [*keys, "_stretch"]
+    w = W.partitionBy(*part).orderBy(start, end)
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    opens = lambda reach: F.when(reach.isNull() | (F.col(start) - reach >= gap), 1).otherwise(0)
+    rows = df.select(*keys, start, end).withColumn("_stretch", F.floor(F.col(start) / (gap * 64)))
+    inside = (rows.withColumn("_new", opens(F.max(end).over(before))).withColumn("_island", F.sum("_new").over(w))
+              .groupBy(*part, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island"))
+    if not close:
+        return inside.drop("_stretch")
+    inside = cut(inside)
+    earlier = W.partitionBy(*keys).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    reaches = inside.groupBy(*part).agg(F.max(end).alias("_end")).select(*part, F.max("_end").over(earlier).alias("_reach"))
+    # Inside a stretch what is left lies a gap apart already, so only the stretches before can reach it.
+    opened = cut(inside.join(reaches, part).withColumn("_new", opens(F.col("_reach"))).drop("_reach"))
+    counts = opened.groupBy(*part).agg(F.sum("_new").alias("_n")).select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_from"))
+    numbered = opened.join(counts, part).withColumn("_island", F.sum("_new").over(w) + F.col("_from"))
+    return numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
