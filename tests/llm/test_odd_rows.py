@@ -70,6 +70,19 @@ def test_classifiers(sent, documents, operator):
     assert operator.score(documents([]), known).count() == 0
 
 
+@pytest.mark.parametrize("operator", [quality, toxicity])
+def test_samples_are_bounded_by_rows(sent, documents, operator, monkeypatch):
+    taken = []
+    from wayframe.llm import features
+    draw = features.sample_features
+    monkeypatch.setattr(operator, "sample_features", lambda *a, **k: taken.append(draw(*a, **k)) or taken[-1])
+    same = [(7, f"text {k} of one id") for k in range(400)] + [(7, "text 1 of one id")] * 5
+    docs = documents([*same, *[(100 + k, f"other {k}") for k in range(10)]])
+    out = operator.score(docs, labels(sent, [(7, 1, 1), *[(100 + k, k % 2, 0) for k in range(10)]]))
+    assert out.count() == len(same) + 10 and len(taken[0]) <= 2 * 410
+    assert len({(r["doc_id"], r["at"], r["x"], r["y"]) for r in taken[0]}) <= len(taken[0])
+
+
 def test_mix(documents):
     sized = documents(ROWS).select("doc_id", "source", word_count(F.col("text")).alias("size"))
     out = mixing.mix(sized).collect()
@@ -106,3 +119,5 @@ def test_neighbours(sent):
     out = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(vectors).collect())
     assert out == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 2, 0.0), (0, 4, 100, 0.0), (0, 5, 7, 2.0), (100, 1, 0, 0.0), (100, 2, 1, 0.0), (100, 3, 2, 0.0), (100, 4, 2, 0.0), (100, 5, 7, 2.0)]
     assert neighbours.search(vectors.limit(0)).count() == 0
+    again = neighbours.search(vectors.unionByName(vectors.filter("vec_id = 100"))).filter("query_id = 100").collect()
+    assert sorted((r.rank, r.vec_id) for r in again) == [(1, 0), (2, 1), (3, 2), (4, 2), (5, 7)]

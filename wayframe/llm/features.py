@@ -102,9 +102,18 @@ def spread(key: Column, seed: int) -> Column:
     return F.xxhash64(key, F.lit(seed))
 
 
-def sample_features(docs: DataFrame, ids: DataFrame, bits: int, structure: bool) -> list[tuple[int, bytes, bytes, int]]:
-    """(doc_id, columns, values, y) of the chosen documents.  ``ids`` is bounded by its maker, and so is what comes back."""
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+def sample_features(docs: DataFrame, ids: DataFrame, bits: int, structure: bool, most: int) -> list[tuple[int, bytes, bytes, int]]:
+    """(doc_id, columns, values, y) of the chosen documents, at most ``most`` rows.
+
+    ``ids`` (doc_id, y) is bounded by its maker.  An id may stand at many rows: each of its different
+    texts is taken once, and the first ``most`` by hashes of id and text, so that what is broadcast and what comes
+    back is bounded whatever the ids are.
+    """
+    mark = F.xxhash64("text").alias("_h")
+    named = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    keys = named.select("doc_id", "y", mark).distinct().orderBy(spread(F.col("doc_id"), 9), "_h", "y").limit(most)
+    chosen = (docs.select("doc_id", "text", mark).join(F.broadcast(keys), ["doc_id", "_h"])
+              .dropDuplicates(["doc_id", "_h", "y"]).select("doc_id", "text", "y"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -113,7 +113,9 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, shard: int = SHARD
     shards, blocks = max(1, -(-count["n"] // shard)), max(1, -(-count["q"] // block))
     dims = F.size("_v").alias("dim")
     dealt = good.select(dims, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "_v")
-    asked = good.filter(F.col("vec_id") % every == 0).select(dims, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "_v")
+    # A query id counts once: of different rows under it the least (components, values) is asked for.
+    first = good.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct(F.size("_v").alias("_n"), "_v")).alias("_q")).select("vec_id", F.col("_q._v").alias("_v"))
+    asked = first.select(dims, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "_v")
     # Bounded groups: about ``shard`` vectors and ``block`` queries.
     packed = dealt.groupBy("dim", "shard").applyInArrow(_pack, "dim int, shard int, ids binary, packed binary")
     sent = (asked.groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, ids binary, packed binary")

@@ -65,7 +65,7 @@ def model(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = FOLDS,
     for y in (0, 1):
         one = known.filter(F.col("y") == y).orderBy(spread(F.col("doc_id"), 9), "doc_id").limit(sample)
         ids = one if ids is None else ids.unionByName(one)
-    rows = sample_features(docs, ids, bits, structure=True)
+    rows = sample_features(docs, ids, bits, structure=True, most=2 * sample)
     bias, w, v = fit(together(rows), np.array([r["y"] for r in rows], float), (1 << bits) + BINS * len(FIGURES))
     held = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), v.astype(np.float32)))  # 2.4 MB, whatever the input
 

@@ -76,9 +76,9 @@ def model(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = FOLDS,
     count = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0)).alias("toxic")).first()
     prior = min(0.5, max(1e-4, (count["toxic"] + 0.5) / (count["n"] + 1)))
     toxic = known.filter("toxic = 1").select("doc_id").distinct().orderBy(spread(F.col("doc_id"), 7), "doc_id").limit(positives)
-    others = docs.select("doc_id").filter(bucket_of(F.col("doc_id"), folds) != fold).orderBy(spread(F.col("doc_id"), 8), "doc_id").limit(unlabelled)
+    others = docs.select("doc_id").filter(bucket_of(F.col("doc_id"), folds) != fold).distinct().orderBy(spread(F.col("doc_id"), 8), "doc_id").limit(unlabelled)
     ids = toxic.withColumn("y", F.lit(1)).unionByName(others.withColumn("y", F.lit(0)))
-    rows = sample_features(docs, ids, bits, structure=False)
+    rows = sample_features(docs, ids, bits, structure=False, most=positives + unlabelled)
     sides = [together([r for r in rows if r["y"] == y]) for y in (1, 0)]
     w, bias = fit(*sides, prior, 1 << bits)
     held = docs.sparkSession.sparkContext.broadcast(w.astype(np.float32))  # 1 MB, whatever the input
