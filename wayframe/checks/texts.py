@@ -244,6 +244,20 @@ def number_classes(t):
     return t.part.groupBy(D.number_class(F.lit("us-interstate"), n).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("P41_number_plans", """WITH r AS (SELECT p_partkey, p_partkey % 6 AS s, p_partkey % 211 + 1 AS n, p_partkey % 5 = 0 AS suffixed, floor(p_partkey % 900 / 100) + 1 AS d FROM part)
+SELECT p_partkey, CASE s WHEN 0 THEN CASE d WHEN 1 THEN 'radial' WHEN 2 THEN 'ns' WHEN 3 THEN 'ew' WHEN 4 THEN 'other' ELSE 'link' END
+  WHEN 1 THEN CASE WHEN suffixed THEN 'branch' WHEN n % 2 = 1 THEN 'ns' ELSE 'ew' END
+  WHEN 2 THEN CASE WHEN suffixed THEN 'branch' WHEN n >= 62 AND n % 2 = 0 THEN 'ew' WHEN n >= 61 AND n % 2 = 1 THEN 'coast' ELSE 'trunk' END
+  WHEN 3 THEN CASE WHEN suffixed THEN 'toll' WHEN n % 2 = 1 THEN 'ns' ELSE 'ew' END WHEN 4 THEN 'route' END AS cls FROM r""")
+def number_plans(t):
+    """Plans of five systems, and null for one that has none."""
+    key = F.col("p_partkey")
+    system = F.element_at(F.array(*map(F.lit, ["cn-national", "tw-freeway", "tw-provincial", "mx-federal", "hk-route", "mx-state"])), (key % 6 + 1).cast("int"))
+    plain = F.concat((key % 211 + 1).cast("string"), F.when(key % 5 == 0, "D").otherwise(""))
+    number = F.when(key % 6 == 0, F.concat(F.lit("G"), (100 + key % 900).cast("string"))).otherwise(plain)
+    return t.part.select("p_partkey", D.number_class(system, number).alias("cls"))
+
+
 # ---------------------------------------------------------------- names matched with names
 @query("J19_fuzzy_places", """WITH w AS (SELECT o_orderkey AS crossing, CASE o_orderkey % 6 WHEN 0 THEN 'BOLT' WHEN 1 THEN 'GEAR' WHEN 2 THEN 'SMALL' WHEN 3 THEN 'RED' WHEN 4 THEN 'AR' ELSE 'PLATE' END AS town, 'Brand#' || (1 + o_custkey % 25) AS st FROM orders),
 c AS (SELECT p_partkey AS place, p_brand AS st, upper(p_name) AS name, p_size % 5 AS rank, p_retailprice / 300 AS km FROM part)

@@ -393,6 +393,12 @@ NUMBER_CLASSES = {
                       ("city", r"^G(?!9)\d\d0\d$"), ("link", r"^G(?!9)\d\d1\d$"), ("par", r"^G(?!9)\d\d2\d$"), ("other", r".*")],
     "us-interstate": [("ns", r"^\d?[13579]$"), ("ew", r"^\d?[02468]$"), ("spur", r"^[13579]\d\d$"),
                       ("loop", r"^[2468]\d\d$"), ("other", r".*")],
+    "cn-national": [("radial", r"^G1\d\d$"), ("ns", r"^G2\d\d$"), ("ew", r"^G3\d\d$"), ("link", r"^G[5-9]\d\d$"), ("other", r".*")],
+    "tw-freeway": [("ns", r"^\d*[13579]$"), ("ew", r"^\d*[02468]$"), ("branch", r".*")],
+    # Even from 62 on, odd from 61 on, what is below, and what has a suffix.
+    "tw-provincial": [("ew", r"^(?:6[2468]|[7-9][02468]|[1-9]\d+[02468])$"), ("coast", r"^(?:[6-9][13579]|[1-9]\d+[13579])$"), ("trunk", r"^\d+$"), ("branch", r".*")],
+    "mx-federal": [("ns", r"^\d*[13579]$"), ("ew", r"^\d*[02468]$"), ("toll", r".*")],
+    "hk-route": [("route", r".*")],
 }
 
 
