@@ -9,7 +9,7 @@ from tests.plans import unwanted
 from wayframe.checks.registry import ORACLES, QUERIES
 
 # Whole route builds take minutes; test_stitch runs them on known networks.
-LONG = {"D1_route_build", "D12_overlay_routes"}
+LONG = {"D1_route_build", "D1_systems_with_corridors", "D12_overlay_routes"}
 LARGER = FOLDER.replace("0.001", "0.01")
 
 
