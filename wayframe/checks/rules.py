@@ -147,6 +147,29 @@ def headed_columns(t):
     return R.headed_columns(wide, ["c_custkey"], {"Trans Canada Highway": "TCH", "Route Two": "R-2", "Route Three": "R-3"})
 
 
+@query("S20_drifting_documents", """SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) END AS box_size,
+  CASE WHEN p_partkey % 7 = 0 THEN CAST(p_size AS VARCHAR) || ' cm' ELSE CAST(p_size AS VARCHAR) END AS width, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS brand FROM part""")
+def drifting_documents(t):
+    """Fields that come and go, one that changes its type, one that changes its name, and one inside an object."""
+    k = F.col("p_partkey")
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    doc = F.concat(F.lit('{"'), F.when(k % 2 == 0, "title").otherwise("name"), F.lit('": '), q(F.col("p_name")),
+                   F.when(k % 4 == 0, "").otherwise(F.concat(F.lit(', "box": {"size": '), F.col("p_size").cast("string"), F.lit("}"))),
+                   F.lit(', "width": '), F.when(k % 7 == 0, q(F.concat(F.col("p_size").cast("string"), F.lit(" cm")))).otherwise(F.col("p_size").cast("string")),
+                   F.when(k % 3 == 0, F.concat(F.lit(', "brand": '), q(F.col("p_brand")))).otherwise(""), F.lit("}"))
+    return R.drifting_documents(t.part.select("p_partkey", doc.alias("doc")), "doc", ["p_partkey"], {"title": "name"})
+
+
+@query("S5_drifting_arrays", """SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 9 AS BIGINT) END AS lanes_forward, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 3 END AS points FROM orders""")
+def drifting_arrays(t):
+    """Ways as documents: their coordinates are a list, and lanes are told in some editions only."""
+    k = F.col("o_orderkey")
+    doc = F.concat(F.lit('{"id": '), F.col("o_custkey").cast("string"), F.when(k % 2 == 0, F.concat(F.lit(', "lanes": {"forward": '), (k % 9).cast("string"), F.lit("}"))).otherwise(""),
+                   F.lit(', "at": [[1.5, 2], [3, 4.25]'), F.when(k % 5 == 0, "").otherwise(", [5, 6]"), F.lit("]}"))
+    read = R.drifting_documents(t.orders.select("o_orderkey", doc.alias("doc")), "doc", ["o_orderkey"])
+    return read.select("o_orderkey", "id", "lanes_forward", F.size("at").cast("bigint").alias("points"))
+
+
 @query("S20_drifting_union", """SELECT 2019 AS year, CAST(c_custkey AS BIGINT) AS key, c_acctbal AS length FROM customer UNION ALL SELECT 2020, CAST(s_suppkey AS BIGINT), s_acctbal FROM supplier""")
 def drifting_union(t):
     return R.drifting_union({2019: t.customer, 2020: t.supplier}, {"key": ["s_suppkey", "c_custkey"], "length": ["c_acctbal", "s_acctbal"]})

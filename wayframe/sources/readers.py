@@ -140,6 +140,38 @@ def lines_of(geometry: Column) -> Column:
     return F.transform(lines, lambda line: F.transform(line, lambda c: F.struct(F.get(c, 0).alias("lon"), F.get(c, 1).alias("lat"))))
 
 
+def drifting_documents(docs: DataFrame, text: str, keep: list[str] = (), rename: dict[str, str] | None = None) -> DataFrame:
+    """S-5, S-6, S-20: JSON documents whose fields and types drift, as typed columns found from the data.
+
+    The documents are parsed once as variants, and one aggregate over all of them gives the schema that holds
+    them all: a field that is there at times only is null elsewhere, numbers take the wider type, and a field of
+    several types comes out as text (as does one that is always null).  Fields of objects become columns
+    ``outer_inner``.  ``rename`` maps the names of earlier years to today's (path to path); where both are
+    there, today's counts.  Texts that are no JSON give nulls.
+    """
+    parsed = cut(docs.select(*keep, F.try_parse_json(text).alias("_v")))
+    told = parsed.agg(F.schema_of_variant_agg("_v")).first()[0]  # one schema, whatever the number of documents
+    schema = T.StructType.fromDDL("v " + told.replace("OBJECT<", "STRUCT<")) if told.startswith("OBJECT<") else T.StructType()
+    found: dict[str, str] = {}
+
+    def walk(fields: list[T.StructField], path: str) -> None:
+        for f in fields:
+            at = f"{path}.{f.name}" if path else f.name
+            if isinstance(f.dataType, T.StructType):
+                walk(f.dataType.fields, at)
+            else:
+                loose = isinstance(f.dataType, (T.VariantType, T.NullType))
+                found[at] = "string" if loose else f.dataType.simpleString()
+    for f in schema.fields:
+        walk(f.dataType.fields, "")
+    read = {at: F.try_variant_get("_v", f"$.{at}", kind) for at, kind in found.items()}
+    for old, new in (rename or {}).items():
+        if old in read:
+            earlier = read.pop(old)
+            read[new] = F.coalesce(read[new], F.try_variant_get("_v", f"$.{old}", found[new])) if new in read else earlier
+    return parsed.select(*keep, *[c.alias(at.replace(".", "_")) for at, c in sorted(read.items())])
+
+
 def read_partitions(spark: SparkSession, path: str, system: str | None = None, states: list[str] | None = None) -> DataFrame:
     """S-7: one dataset partitioned by system and jurisdiction; only the wanted folders are read."""
     df = spark.read.parquet(path)
