@@ -98,6 +98,13 @@ def test_long_conversations_are_solved_in_blocks(sent):
         assert sorted(map(tuple, got), key=key) == want, block
 
 
+def test_of_same_rows_the_first_is_kept_in_every_block(sent):
+    rows = [(conv, turn, role, text, True) for conv in range(40) for turn, role, text in ((1, "user", "Why?"), (2, "assistant", "Yes.")) for _ in range(12)]
+    df = sent.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, live boolean").repartition(5)
+    for block in (5, 7, 1_024):
+        assert {r["audit"] for r in repair.repair(df, block=block).collect()} == {2 * ("K" + 11 * "D")}, block
+
+
 def test_lost_and_empty(sent):
     schema = "conv_id string, turn int, role string, text string"
     lost = next(k for k in itertools.count() if zlib.crc32(f"c:{k}".encode()) % 20 == 0)

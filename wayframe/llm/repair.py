@@ -281,7 +281,8 @@ def repair(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = cut(blocks.select("conv_id", F.floor((F.col("_at") - F.col("_start")) / block).cast("int").alias("block"), "turn", "role", "text", "live", "fault",
                                (F.coalesce("_first", F.col("_at")) < F.col("_at")).alias("again"), "_text", "_at"))
 
-    groups = short.unionByName(blocks.drop("_at")).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", *order)
+    # Of rows that are the same, the one that is no repeat has to come first in its block too.
+    groups = short.unionByName(blocks.drop("_at")).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", *order, "again")
     solved = cut(_through(groups.select(*taken), _solved, SOLVED))
     gaps = F.when(F.col("low").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("high") - F.col("low") + 1 - F.col("turns"))
     given = ["conv_id", "gaps", *FACTS, "cost", "audit", "repaired_sha256"]
