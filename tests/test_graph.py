@@ -169,3 +169,11 @@ def test_components_of_hubs_and_long_chains(spark):
     got = {x.node: x.comp for x in R.connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(400)} | {1_000 + i: 1_000 for i in range(701)}
     assert R.connected(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_costs_keep_more_decimals_than_are_asked_for(spark):
+    # 400 edges: rounded to 1e-9 each, their sum was wrong in the eighth decimal.
+    edges = spark.createDataFrame([(i, i, i + 1, 0.1 + 4e-10, False) for i in range(400)], "edge_id bigint, a bigint, b bigint, cost double, bridge boolean")
+    starts = spark.createDataFrame([(0, 0)], "task bigint, node bigint")
+    far = {r.node: r.dist for r in R.shortest_paths(edges, starts).collect()}
+    assert abs(far[400] - 400 * (0.1 + 4e-10)) < 1e-9

@@ -19,8 +19,9 @@ from .grid import EARTH_KM, around, in_cell, nearest_in_rings
 from .ordered import first_by
 
 MAX_ROUNDS = 10_000
-# Costs are added as whole numbers of so small a unit, so that a sum does not depend on the order of its parts.
-COST_UNITS = 1e9
+# Costs are added as whole numbers of so small a unit, so that a sum does not depend on the order of its parts, and
+# that its error stays far below the last decimal that is asked for.  Sums up to 9e5 (km) fit; a greater one fails the job.
+COST_UNITS = 1e13
 # Nodes with more neighbours are not contracted: their shortcuts would outnumber their edges by too much.
 MOST_NEIGHBOURS = 4
 
