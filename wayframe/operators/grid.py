@@ -94,14 +94,16 @@ def within(samples: DataFrame, others: DataFrame, km: float, on: list[str] = (),
            also: Column | None = None, spread_samples: bool = False) -> DataFrame:
     """J-2, G-14: the samples that lie within ``km`` of any of the other points (columns olon, olat).
 
-    The others are first thinned to one row per exact place, and only whether there is a
-    neighbour is asked.  Crowded cells are answered by a semi-join, which stops at the
-    first hit and emits no pairs.  The others are spread over the cells around them, or,
-    where they are far more than the samples (which must then be distinct), the samples.
+    The others are first thinned to one row per exact place (unless ``also`` tells those of a place
+    apart), and only whether there is a neighbour is asked.  Crowded cells are answered by a semi-join,
+    which stops at the first hit and emits no pairs.  The others are spread over the cells around
+    them, or, where they are far more than the samples (which must then be distinct), the samples.
+    Cells are twice as wide as the reach, so that each is spread over about 4 of them.
     """
-    size = max(km / KM_PER_DEG, 1e-5)
+    size = max(2 * km / KM_PER_DEG, 1e-5)
     extra = [] if also is None else [c for c in others.columns if c not in (*on, "olon", "olat")]
-    spots = others.select(*on, "olon", "olat", *extra).distinct()
+    spots = others.select(*on, "olon", "olat", *extra)
+    spots = spots.distinct() if also is None else spots
     if spread_samples:
         a, b = around(samples, size, km).alias("a"), in_cell(spots, size, "olon", "olat").alias("b")
     else:
