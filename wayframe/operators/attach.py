@@ -92,15 +92,29 @@ def approved_matches(matches: DataFrame, title: str, route: str, name: str, appr
             .agg(F.count_distinct(name).alias("names"), F.min(name).alias("first_name")))
 
 
+def _designations(rows: DataFrame, key: str, number: str, state: str) -> DataFrame:
+    """Each row's number without its toll suffix, and its jurisdiction, once; ``_several`` where the key has more than one."""
+    each = rows.select(key, F.regexp_replace(F.col(number), "D$", "").alias("_n"), state).distinct()
+    several = each.groupBy(key).agg((F.count(F.lit(1)) > 1).alias("_several"))
+    return each.join(several, key, "left").withColumn("_several", F.coalesce("_several", F.lit(True)))
+
+
 def numbers_in_states(titles: DataFrame, routes: DataFrame, title: str, route: str, number: str, state: str) -> DataFrame:
     """J-24: titles and routes that share a number (toll suffix aside) and a jurisdiction.
 
-    Both sides come as one row per (number, jurisdiction).
+    Both sides come as one row per (number, jurisdiction).  Only where a title and a route both have several
+    can a pair come twice, so only those pairs are made distinct; the others leave the join as they are.
     """
-    bare = F.regexp_replace(F.col(number), "D$", "")
-    a = titles.select(title, bare.alias("_n"), state).distinct()
-    b = routes.select(route, bare.alias("_n"), state).distinct()
-    return skew_join(a, b, ["_n", state]).select(title, route).distinct()
+    a = _designations(titles, title, number, state).withColumnRenamed("_several", "_a")
+    b = _designations(routes, route, number, state).withColumnRenamed("_several", "_b")
+    once = skew_join(a, b, ["_n", state]).filter(~(F.col("_a") & F.col("_b"))).select(title, route)
+    return once.unionByName(skew_join(a.filter("_a"), b.filter("_b"), ["_n", state]).select(title, route).distinct())
+
+
+def linked_by_number(pairs: DataFrame, titles: DataFrame, routes: DataFrame, title: str, route: str, number: str, state: str) -> DataFrame:
+    """J-24: those of the given pairs that :func:`numbers_in_states` links, without making all its links."""
+    a, b = (_designations(df, key, number, state).drop("_several") for df, key in ((titles, title), (routes, route)))
+    return pairs.select(title, route).join(a, title).join(b, [route, "_n", state], "left_semi").select(title, route).distinct()
 
 
 def relabel(names: DataFrame, name: str, aliases: DataFrame) -> DataFrame:

@@ -77,9 +77,11 @@ def tariff_links(titles: DataFrame, matches: DataFrame, routes: DataFrame) -> Da
 
     ``titles`` has title, number, st; ``matches`` has title, route, name, approved; ``routes`` has route, number, st.
     """
-    numbered = attach.numbers_in_states(titles.filter(F.col("number").isNotNull()), routes, "title", "route", "number", "st").withColumn("by", F.lit("number"))
+    listed = titles.filter(F.col("number").isNotNull())
+    numbered = attach.numbers_in_states(listed, routes, "title", "route", "number", "st").withColumn("by", F.lit("number"))
     named = attach.approved_matches(matches, "title", "route", "name", "approved").select("title", "route", F.lit("name").alias("by"))
-    rest = named.join(numbered.select("title", "route"), ["title", "route"], "left_anti")
+    # The links by number are as many as titles times routes of a number, so only the named pairs are looked up.
+    rest = named.join(attach.linked_by_number(named, listed, routes, "title", "route", "number", "st"), ["title", "route"], "left_anti")
     return numbered.unionByName(rest)
 
 
