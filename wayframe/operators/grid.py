@@ -74,6 +74,15 @@ def nearest_leg(points: DataFrame, line_legs: DataFrame, km: float, point: str,
     return first_by(hits, [point], ["dist", line], [line, "dist", *keep])
 
 
+def at_spots(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct places of points, numbered (_spot, lon, lat), and the points with the number of theirs.
+
+    What is asked of a place is then asked once, however many points stand there.
+    """
+    spots = cut(points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("lon", "lat").distinct().withColumn("_spot", F.monotonically_increasing_id()))
+    return spots, points.join(spots, ["lon", "lat"])
+
+
 def nearest_lines(points: DataFrame, line_legs: DataFrame, km: float, point: str, line: str, k: int) -> DataFrame:
     """J-5: up to ``k`` lines nearest to each point within ``km``, nearest first."""
     best = near_legs(points, line_legs, km).groupBy(point, line).agg(F.min("dist").alias("dist"))
@@ -138,20 +147,6 @@ def coincident_share(samples: DataFrame, others: DataFrame, keys: list[str], km:
             .select(*keys, "samples", (F.coalesce("_hit", F.lit(0)) / F.col("samples")).alias("share")))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, point: str, place: str) -> DataFrame:
-    """J-3: the place of least distance less a prominence bonus (half the root of its area, at most 6 km).
-
-    Places of the point's own one-degree cell and the eight around it are considered.
-    """
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    spread = (in_cell(places, 1.0, "olon", "olat").withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-              .withColumn("_cx", F.col("_cx") + F.col("_dx")).withColumn("_cy", F.col("_cy") + F.col("_dy")).drop("_dx", "_dy"))
-    km = haversine(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat"))
-    joined = skew_join(in_cell(points, 1.0), spread, ["_cx", "_cy"]).withColumn("km", km)
-    score = F.col("km") - F.least(F.lit(6.0), F.sqrt("area") * 0.5)
-    return first_by(joined.withColumn("_score", score), [point], ["_score", place], [place, F.round("km", 1).alias("km")])
-
-
 # No two places are farther apart.
 EARTH_KM = 20_100
 # Rings widen by this factor; the first is so small that an average cell holds few rows.
@@ -218,6 +213,33 @@ def nearest_leg_in_rings(points: DataFrame, line_legs: DataFrame, keys: list[str
     return in_rings(points, keys, lambda left, km: first_by(near_legs(left, line_legs, km, on), keys, ["dist", *order], keep), first_km, most_km)
 
 
+# Fixed value: km that prominence may count at most.
+PROMINENCE = 6.0
+
+
+def nearest_place(points: DataFrame, places: DataFrame, point: str, place: str) -> DataFrame:
+    """J-3: the place of least distance less a prominence bonus (half the root of its area, at most 6 km).
+
+    Places of the point's own one-degree cell and the eight around it are considered.  At one spot only the
+    most prominent place counts.  A spot is settled once nothing outside the ring can score less.
+    """
+    bonus = F.least(F.lit(PROMINENCE), F.sqrt("area") * 0.5)
+    best_at = cut(first_by(places.withColumn("_bonus", bonus), ["olon", "olat"], [-F.col("_bonus"), place], [place, "_bonus"]))
+    spots, at = at_spots(points.select(point, "lon", "lat"))
+    beside = lambda a, b: F.abs(F.floor(a) - F.floor(b)) <= 1
+    most_km = 3 * KM_PER_DEG  # farther than any place of the nine cells
+
+    def look(left: DataFrame, km: float) -> DataFrame:
+        near = (skew_join(in_cell(left, km / KM_PER_DEG), around(best_at, km / KM_PER_DEG, km, "olon", "olat"), ["_cx", "_cy"])
+                .withColumn("km", haversine(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat")))
+                .filter((F.col("km") <= km) & beside("lon", "olon") & beside("lat", "olat")).withColumn("_score", F.col("km") - F.col("_bonus")))
+        best = first_by(near, ["_spot"], ["_score", place], [place, "km", "_score"])
+        return best if km >= most_km else best.filter(F.col("_score") <= km - PROMINENCE)
+
+    found = in_rings(spots, ["_spot"], look, max(first_ring(best_at, most_km), 2 * PROMINENCE), most_km)
+    return first_by(at.select(point, "_spot").join(found, "_spot"), [point], ["_score", place], [place, F.round("km", 1).alias("km")])
+
+
 def tiered_place(points: DataFrame, places: DataFrame, point: str, place: str, near_km: float = 30, far_km: float = 120,
                  city_bonus: float = 8, radius: float = 6371.0) -> DataFrame:
     """J-4: best place within the near radius; only where there is none, within the far one.  A city counts nearer.
