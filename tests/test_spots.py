@@ -28,6 +28,14 @@ def answers(df, *cols):
     return {r[0]: tuple(r[1:]) for r in df.select(*cols).collect()}
 
 
+def test_nearest(spark, sides):
+    points, others = placed(spark, 300, "pt"), placed(spark, 210, "place", "olon", "olat")
+    assert answers(grid.nearest_in_rings(points, others, "pt", "place", 10), "pt", "place", "dist") == {k: (k % 3, 0.0) for k in range(300)}
+    kinds = others.withColumn("kind", F.when(F.col("place") < 100, "town").otherwise("city"))
+    assert answers(grid.tiered_place(points, kinds, "pt", "place"), "pt", "place") == {k: (102 if k % 3 == 0 else 100 + (k % 3 - 1),) for k in range(300)}
+    assert max(sides) < 100
+
+
 def test_prominent_place(spark, sides):
     points = placed(spark, 300, "pt")
     places = placed(spark, 210, "place", "olon", "olat").withColumn("area", F.when(F.col("place").isin(7, 10), 100.0).otherwise(1.0))
