@@ -355,7 +355,7 @@ def towns_along(samples: DataFrame, cities: DataFrame, route: str, order: list[s
 
 def parent_cities(districts: DataFrame, cities: DataFrame, district: str, city: str, km: float = 60) -> DataFrame:
     """J-34: the large city a district is filed under: the nearest within ``km``."""
-    return first_by(near_points(districts, cities, km), [district], ["dist", city], [city, "dist"])
+    return nearest_in_rings(districts, cities, district, city, km)
 
 
 def facility_points(listed: DataFrame, named: DataFrame, facility: str) -> DataFrame:
