@@ -42,3 +42,14 @@ def test_prominent_place(spark, sides):
     # Place 7, at the second spot, is prominent by 5 km; the first spot lies 2.2 km off.
     assert answers(grid.nearest_place(points, places, "pt", "place"), "pt", "place", "km") == {k: ((7, 2.2), (7, 0.0), (2, 0.0))[k % 3] for k in range(300)}
     assert max(sides) < 100
+
+
+def test_nearest_lines(spark, sides):
+    points = placed(spark, 300, "pt").unionByName(placed(spark, 4, "pt").filter("pt = 3").withColumn("pt", F.lit(1).cast("bigint")))
+    legs = spark.createDataFrame([(k, -100.01, 30.0 + k / 100, -99.99, 30.0 + k / 100) for k in range(5)], "line int, ax double, ay double, bx double, by double")
+    got = {}
+    for r in grid.nearest_lines(points, legs, 4, "pt", "line", 2).collect():
+        got.setdefault(r["pt"], []).append((r["rank"], r["line"]))
+    want = {k: ([(1, 0), (2, 1)], [(1, 2), (2, 1)])[k % 3] for k in range(300) if k % 3 < 2}
+    assert {k: sorted(v) for k, v in got.items()} == want | {1: [(1, 0), (2, 2)]}
+    assert max(sides) < 100

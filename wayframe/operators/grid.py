@@ -84,9 +84,19 @@ def at_spots(points: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def nearest_lines(points: DataFrame, line_legs: DataFrame, km: float, point: str, line: str, k: int) -> DataFrame:
-    """J-5: up to ``k`` lines nearest to each point within ``km``, nearest first."""
-    best = near_legs(points, line_legs, km).groupBy(point, line).agg(F.min("dist").alias("dist"))
-    return top_k(best, [point], [F.col("dist"), F.col(line)], k)
+    """J-5: up to ``k`` lines nearest to each point within ``km``, nearest first.
+
+    Legs are the larger table, so each goes to the cells it crosses only and places to those around them.
+    A pair that meets in two cells counts once, as the least distance is taken.
+    """
+    spots, at = at_spots(points.select(point, "lon", "lat"))
+    size = max(km / 40, 0.0005)
+    eps = F.lit(1e-9)
+    hits = (skew_join(_leg_cells(line_legs.select(line, "ax", "ay", "bx", "by"), size, eps, eps), around(spots, size, km), ["_cx", "_cy"])
+            .withColumn("dist", leg_distance("haversine", F.col("lon"), F.col("lat"))).filter(F.col("dist") <= km))
+    order = [F.col("dist"), F.col(line)]
+    few = cut(top_k(hits.groupBy("_spot", line).agg(F.min("dist").alias("dist")), ["_spot"], order, k).drop("rank"))
+    return top_k(at.select(point, "_spot").join(few, "_spot").groupBy(point, line).agg(F.min("dist").alias("dist")), [point], order, k)
 
 
 def near_points(points: DataFrame, others: DataFrame, km: float, on: list[str] = (), size: float | None = None,
