@@ -53,3 +53,12 @@ def test_nearest_lines(spark, sides):
     want = {k: ([(1, 0), (2, 1)], [(1, 2), (2, 1)])[k % 3] for k in range(300) if k % 3 < 2}
     assert {k: sorted(v) for k, v in got.items()} == want | {1: [(1, 0), (2, 2)]}
     assert max(sides) < 100
+
+
+def test_towns(spark, sides):
+    samples = placed(spark, 6, "road").withColumn("seq", F.col("road") * 2)
+    cities = placed(spark, 300, "city", "olon", "olat").unionByName(placed(spark, 2, "city", "olon", "olat").withColumn("city", F.lit(2).cast("bigint")))
+    got = sorted(map(tuple, grid.towns_along(samples, cities, "road", ["seq"], "city", 1).collect()))
+    at = {c: {c % 3} for c in range(300)} | {2: {0, 1, 2}}
+    assert got == sorted((r, c, 2 * r) for r in range(6) for c in range(300) if r % 3 in at[c])
+    assert max(sides) < 100

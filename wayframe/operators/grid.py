@@ -358,9 +358,21 @@ def not_covered(samples: DataFrame, network_legs: DataFrame, keys: list[str], km
 
 
 def towns_along(samples: DataFrame, cities: DataFrame, route: str, order: list[str], city: str, km: float = 10) -> DataFrame:
-    """J-34: cities within ``km`` of a route with where along it each is first met."""
-    hits = near_points(samples, cities, km)
-    return hits.groupBy(route, city).agg(F.min(F.struct(*order)).alias("_at")).select(route, city, "_at.*")
+    """J-34: cities within ``km`` of a route with where along it each is first met.
+
+    Routes meet the spots at which cities stand; only what they first meet is then told by city.
+    """
+    at = cut(cities.select(city, "olon", "olat").distinct())
+    spots = cut(at.select("olon", "olat").distinct().withColumn("_spot", F.monotonically_increasing_id()))
+    first = F.min(order[0] if len(order) == 1 else F.struct(*order)).alias("_at")
+    met = cut(near_points(samples.select(route, *order, "lon", "lat"), spots, km).groupBy(route, "_spot").agg(first))
+    names = at.join(spots, ["olon", "olat"]).select(city, "_spot")
+    several = names.groupBy(city).agg((F.count(F.lit(1)) > 1).alias("_several"))
+    names = cut(names.join(several, city, "left").withColumn("_several", F.coalesce("_several", F.lit(True))))
+    # A city of one spot meets a route there only; those of several, the districts' cities, are put together.
+    once = met.join(names.filter(~F.col("_several")), "_spot").select(route, city, "_at")
+    every = once.unionByName(met.join(names.filter("_several"), "_spot").groupBy(route, city).agg(F.min("_at").alias("_at")))
+    return every.select(route, city, *([F.col("_at").alias(order[0])] if len(order) == 1 else ["_at.*"]))
 
 
 def parent_cities(districts: DataFrame, cities: DataFrame, district: str, city: str, km: float = 60) -> DataFrame:
