@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine
+from ..functions.geo import KM_PER_DEG, haversine
 from ..functions.text import expand, squash, unaccent, unbracket
-from ..runtime import skew_join
+from ..runtime import cut, skew_join
+from .grid import EARTH_KM, around, first_ring, in_cell, in_rings, sharing
 from .ordered import first_by
 
 LETTERS = 4
@@ -149,13 +150,34 @@ def resolve_anchors(entries: DataFrame, routes: DataFrame, entry: str, on: list[
     """J-28: the route an entry means: same designation, the hinted jurisdiction if any has it, then nearest its anchor.
 
     ``entries`` has entry, on, hint, lon, lat; ``routes`` has route, on, state, olon, olat.
-    Status is found, far, ambiguous (equally near) or missing.
+    Status is found, far, ambiguous (equally near) or missing.  Distances count to the sixth decimal.  Routes
+    of one spot and state are met as one, in widening rings: first those of the hinted state, then, where it has none, all.
     """
-    d = F.round(haversine(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat")), 6)
-    joined = skew_join(entries, routes, on).withColumn("_km", d).withColumn("_miss", F.when(F.col(hint) == F.col(state), 0).otherwise(1))
-    best = joined.groupBy(entry).agg(F.min(F.struct("_miss", "_km", route)).alias("_b"))
-    ties = (joined.join(best, entry).filter((F.col("_miss") == F.col("_b._miss")) & F.col("_km").eqNullSafe(F.col("_b._km")))
-            .groupBy(entry).agg(F.count(F.lit(1)).alias("_n")))
-    status = (F.when(F.col("_b").isNull(), "missing").when((F.col("_n") > 1), "ambiguous").when(F.col("_b._km") > max_km, "far").otherwise("found"))
-    return entries.select(entry).join(best, entry, "left").join(ties, entry, "left").select(
+    spots = cut(routes.groupBy(*on, state, "olon", "olat").agg(F.min(route).alias(route), F.count(F.lit(1)).alias("_n")))
+    asked = cut(entries.select(entry, *on, F.col(hint).alias("_hint"), "lon", "lat").withColumn("_row", F.monotonically_increasing_id()))
+    drawn, placed = F.col("olon").isNotNull() & F.col("olat").isNotNull(), F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    km = F.round(haversine(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat")), 6)
+
+    def nearest(points: DataFrame, others: DataFrame, by: list[str]) -> DataFrame:
+        points, others = sharing(points.select("_row", *by, "lon", "lat"), others.select(*by, route, "_n", "olon", "olat"), by)
+
+        def look(left: DataFrame, reach: float) -> DataFrame:
+            near = skew_join(in_cell(left, reach / KM_PER_DEG), around(others, reach / KM_PER_DEG, reach, "olon", "olat"), [*by, "_cx", "_cy"]).withColumn("_km", km)
+            each = near.filter(F.col("_km") <= reach).groupBy("_row", "_km").agg(F.min(route).alias(route), F.sum("_n").alias("_n"))
+            best = first_by(each, ["_row"], ["_km"], ["_km", route, "_n"])
+            # What rounds to the same distance must lie within the ring too.
+            return best if reach >= EARTH_KM else best.filter(F.col("_km") <= reach - 1e-5)
+        return in_rings(points, ["_row"], look, first_ring(others, EARTH_KM, by), EARTH_KM)
+
+    hinted = cut(nearest(asked.filter(placed).withColumn(state, F.col("_hint")), spots.filter(drawn), [*on, state]).withColumn("_miss", F.lit(0)))
+    rest = nearest(asked.filter(placed).join(hinted.select("_row"), "_row", "left_anti"), spots.filter(drawn), on).withColumn("_miss", F.lit(1))
+    # Where either side has no place, the distance is half the way round.
+    blank = (asked.filter(~placed).join(spots, on).unionByName(asked.filter(placed).join(spots.filter(~drawn), on))
+             .withColumn("_miss", F.when(F.col("_hint") == F.col(state), 0).otherwise(1)).withColumn("_km", km)
+             .groupBy("_row", "_miss", "_km").agg(F.min(route).alias(route), F.sum("_n").alias("_n")))
+    found = (asked.select("_row", entry).join(hinted.unionByName(rest).unionByName(blank.select(*hinted.columns)), "_row")
+             .groupBy(entry, "_miss", "_km").agg(F.min(route).alias(route), F.sum("_n").alias("_n")))
+    best = found.groupBy(entry).agg(F.min(F.struct("_miss", "_km", route, "_n")).alias("_b"))
+    status = (F.when(F.col("_b").isNull(), "missing").when((F.col("_b._n") > 1), "ambiguous").when(F.col("_b._km") > max_km, "far").otherwise("found"))
+    return entries.select(entry).join(best, entry, "left").select(
         entry, F.when(status == "found", F.col(f"_b.{route}")).alias(route), F.col("_b._km").alias("km"), status.alias("status"))
