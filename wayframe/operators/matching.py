@@ -47,9 +47,15 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str,
 
 def fuzzy_places(crossings: DataFrame, candidates: DataFrame, crossing: str, province: str, town: str, name: str, place: str, rank: str,
                  boundary_km: str, km: float = 5) -> DataFrame:
-    """J-19: the most precise candidate of the same province whose name contains the town, near the boundary."""
-    hits = contains_join(candidates.filter(F.col(boundary_km) <= km), name, crossings, town, [province])
-    return first_by(hits, [crossing], [rank, boundary_km, place], [place, rank, boundary_km])
+    """J-19: the most precise candidate of the same province whose name contains the town, near the boundary.
+
+    Of candidates of one name only the best is met, and a town is asked for once, however many crossings name it.
+    """
+    order = [rank, boundary_km, place]
+    best = first_by(candidates.filter(F.col(boundary_km) <= km), [province, name], order, [place, rank, boundary_km])
+    towns = crossings.select(province, town).distinct()
+    found = first_by(contains_join(best, name, towns, town, [province]), [province, town], order, [place, rank, boundary_km])
+    return first_by(crossings.select(crossing, province, town).join(found, [province, town]), [crossing], order, [place, rank, boundary_km])
 
 
 # What may stand before a port's name, and after it without making it another.
