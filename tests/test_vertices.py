@@ -1,24 +1,28 @@
 """The vertices of road fragments: the same rows as by SQL, from one reading of the orders."""
 
-from tests.compare import ROOT
+import struct
+
+import pytest
+
+from tests.conftest import FOLDER
 from wayframe.checks.geometry import fragments
-from wayframe.checks.inputs import INPUTS, SPARK_INPUTS
+from wayframe.checks.inputs import INPUTS
 from wayframe.checks.registry import Tables
 from wayframe.operators.lines import BLOCK_VERTICES, to_fragments
 
-ODD = [(-5, -7), (0, 0), (None, 3), (9, None), (-13, 14999), (10 ** 12, 10 ** 11), (-78, -1), (91, 2)]
+KEYS = {"vertices": ["seg_id", "i"], "stations": ["station"]}
 
 
-def test_vertices_are_those_of_the_sql(spark):
-    odd = spark.createDataFrame(ODD, "o_orderkey bigint, o_custkey bigint")
-    given = spark.read.parquet(f"{ROOT}/sf0.001/orders.parquet").select("o_orderkey", "o_custkey").unionByName(odd)
-    rows = [spark.sql(text.replace("TASKS", "2").replace("FROM orders", "FROM {orders}"), orders=given) for text in (SPARK_INPUTS["vertices"], INPUTS["vertices"])]
-    assert rows[0].dtypes == rows[1].dtypes
-    assert rows[0].exceptAll(rows[1]).isEmpty() and rows[1].exceptAll(rows[0]).isEmpty()
+@pytest.mark.parametrize("name", KEYS)
+def test_places_are_those_of_the_sql_to_the_last_bit(spark, con, name):
+    rows = lambda found: sorted((*key, struct.pack("dd", lon, lat)) for *key, lon, lat in found)
+    cols = [*KEYS[name], "lon", "lat"]
+    theirs = con.execute(f"SELECT {', '.join(cols)} FROM ({INPUTS[name]})").fetchall()
+    assert rows(getattr(Tables(spark, FOLDER), name).select(*cols).collect()) == rows(theirs)
 
 
 def test_fragments_read_the_orders_once(spark):
-    plan = fragments(Tables(spark, f"{ROOT}/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = fragments(Tables(spark, FOLDER))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1
 
 

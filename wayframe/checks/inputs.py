@@ -145,14 +145,18 @@ UNION ALL SELECT n_nationkey, 1, 2, CAST(-120 + (n_nationkey % 5) * 10 + 4.5 AS
 }
 
 # The same rows from one reading of the table, where the form of the text is Spark's own.  A small table
-# of one file is dealt over TASKS, as many as the session runs at a time.  The decimals of ``_spot`` are counted in whole
-# units of their last place here; a division that rounds once gives the double that is nearest to the decimal.
+# of one file is dealt over TASKS, as many as the session runs at a time.  The comparison database divides in doubles and
+# keeps products with decimals exact; Spark's decimals would differ from it in the last bit, so the same is said in doubles here.
+_BASES = "-120D + CAST({c} * 37 % 5000 AS DOUBLE) / 100D", "26D + CAST({c} * 53 % 2200 AS DOUBLE) / 100D"
 SPARK_INPUTS = {
-    "vertices": """SELECT seg_id, group_key, CAST(CASE WHEN seg_id % 2 = 1 THEN 4 - k ELSE k END AS INT) AS i,
-  CAST(-1200000 + (group_key * 37 % 5000) * 100 + slot * 500 + CASE WHEN branch THEN 0 ELSE k * 125 END AS DOUBLE) / 10000D AS lon,
-  CAST(2600000 + (group_key * 53 % 2200) * 1000 + CASE WHEN branch THEN here * 1000 + k * 1200 ELSE here * 250 * (4 - k) + after * 250 * k END
-    + CASE WHEN k BETWEEN 1 AND 3 THEN (seg_id * 7 + k * 3) % 5 * 30 ELSE (seg_id * 31 + k) % 5 * 3 END AS DOUBLE) / 100000D AS lat
+    "vertices": f"""SELECT seg_id, group_key, CAST(CASE WHEN seg_id % 2 = 1 THEN 4 - k ELSE k END AS INT) AS i,
+  {_BASES[0].format(c='group_key')} + CASE WHEN branch THEN CAST(slot * 5 AS DOUBLE) / 100D ELSE (CAST(slot AS DOUBLE) + CAST(k AS DOUBLE) / 4D) * 0.05D END AS lon,
+  {_BASES[1].format(c='group_key')} + CAST(CASE WHEN branch THEN here * 40 + k * 48 ELSE here * 10 * (4 - k) + after * 10 * k END AS DOUBLE) / 4000D
+    + CASE WHEN k BETWEEN 1 AND 3 THEN CAST((seg_id * 7 + k * 3) % 5 * 3 AS DOUBLE) / 10000D ELSE CAST((seg_id * 31 + k) % 5 * 3 AS DOUBLE) / 100000D END AS lat
 FROM (SELECT o_orderkey AS seg_id, o_custkey AS group_key, o_orderkey % 13 AS slot, CAST(floor(o_orderkey / 13) AS BIGINT) % 6 = 0 AS branch,
   ((o_orderkey % 13) * (o_orderkey % 13) + o_custkey) % 4 AS here, ((o_orderkey % 13 + 1) * (o_orderkey % 13 + 1) + o_custkey) % 4 AS after, explode(sequence(0, 4)) AS k
   FROM (SELECT /*+ REPARTITION(TASKS) */ o_orderkey, o_custkey FROM orders))""",
 }
+SPARK_INPUTS["stations"] = (INPUTS["stations"]
+    .replace("CAST(-120 + (o_custkey * 37 % 5000) / 100.0 + (o_orderkey % 17) * 0.041 AS DOUBLE)", f"{_BASES[0].format(c='o_custkey')} + CAST((o_orderkey % 17) * 41 AS DOUBLE) / 1000D")
+    .replace("CAST(26 + (o_custkey * 53 % 2200) / 100.0 + (o_orderkey % 11) * 0.007 AS DOUBLE)", f"{_BASES[1].format(c='o_custkey')} + CAST((o_orderkey % 11) * 7 AS DOUBLE) / 1000D"))
