@@ -113,19 +113,28 @@ def propose(titles: DataFrame, title_states: DataFrame, roads: DataFrame, points
 
     ``roads`` has state, road, name; ``points`` has state, road, place; ``title_states`` the states a title names.
     """
+    # Titles of the same texts and states are one until the end, as are roads of one name in a state.
+    told = cut(titles.join(title_states.select(title, state), title).groupBy(title).agg(
+        F.sort_array(F.collect_set(text)).alias("_texts"), F.sort_array(F.collect_set(state)).alias("_states")))
+    kinds = cut(told.select("_texts", "_states").distinct().withColumn("_kind", F.monotonically_increasing_id()))
+    in_states, written_as = kinds.select("_kind", F.explode("_states").alias(state)), kinds.select("_kind", F.explode("_texts").alias("_text"))
     plain = roads.select(state, road, plain_title(F.col(name)).alias("_n"))
+    names = cut(plain.select(state, "_n").distinct())
     ends = F.split("_n", " - ")
-    stops = points.select(state, road, plain_title(F.col(place)).alias("a")).distinct()
-    known = stops.select("a").unionByName(plain.filter(F.size(ends) == 2).select(F.explode(ends).alias("a")))
-    pairs = place_pairs(titles, title, text, known, "a").join(title_states, title)
+    stops = cut(points.select(state, road, plain_title(F.col(place)).alias("a")).distinct())
+    known = stops.select("a").unionByName(names.filter(F.size(ends) == 2).select(F.explode(ends).alias("a")))
+    pairs = cut(place_pairs(written_as, "_kind", "_text", known, "a").join(in_states, "_kind"))
     by_ends = (pairs.withColumn("_k", pair_key(F.col("a"), F.col("b")))
-               .join(plain.filter(F.size(ends) == 2).withColumn("_k", pair_key(ends[0], ends[1])), [state, "_k"]).select(title, road, F.lit("road").alias("via")))
-    written = contains_join(titles.withColumn("_t", F.concat(F.lit(" "), plain_title(F.col(text)), F.lit(" "))).join(title_states, title), "_t",
-                            plain.filter(F.length("_n") >= 8).withColumn("_needle", F.concat(F.lit(" "), F.col("_n"), F.lit(" "))), "_needle", [state])
+               .join(names.filter(F.size(ends) == 2).withColumn("_k", pair_key(ends[0], ends[1])), [state, "_k"]).select("_kind", state, "_n"))
+    written = contains_join(written_as.select("_kind", F.concat(F.lit(" "), plain_title(F.col("_text")), F.lit(" ")).alias("_t")).join(in_states, "_kind"), "_t",
+                            names.filter(F.length("_n") >= 8).withColumn("_needle", F.concat(F.lit(" "), F.col("_n"), F.lit(" "))), "_needle", [state])
+    by_name = by_ends.unionByName(written.select("_kind", state, "_n")).distinct()
+    at_roads = skew_join(by_name, plain, [state, "_n"]).select("_kind", road, F.lit("road").alias("via"))
     at_points = (pairs.filter(F.col("a") != F.col("b")).join(stops, [state, "a"])
-                 .join(stops.withColumnRenamed("a", "b"), [state, road, "b"]).select(title, road, F.lit("points").alias("via")))
-    every = by_ends.unionByName(written.select(title, road, F.lit("road").alias("via"))).unionByName(at_points)
-    return every.groupBy(title, road).agg(F.max("via").alias("via"))
+                 .join(stops.withColumnRenamed("a", "b"), [state, road, "b"]).select("_kind", road, F.lit("points").alias("via")))
+    every = at_roads.unionByName(at_points).groupBy("_kind", road).agg(F.max("via").alias("via"))
+    found = skew_join(told.join(kinds, ["_texts", "_states"]).select(title, "_kind"), every, ["_kind"])
+    return found.select(title, road, "via")
 
 
 def terminus_names(name: Column) -> Column:
@@ -139,11 +148,13 @@ def number_verdicts(register: DataFrame, ours: DataFrame, state: str, number: st
 
     A register name agrees with one of our segment names that contains all its ends.
     """
-    listed = register.select(state, number, road, F.array_distinct(terminus_names(F.col(name))).alias("_ends"))
-    needles = listed.filter(F.size("_ends") > 0).select(state, F.col(number).alias("_num"), road, F.size("_ends").alias("_need"), F.explode("_ends").alias("_end"))
-    texts = ours.select(state, F.col(number).alias("_ours"), F.regexp_replace(squash(unbracket(F.col(name))), "[^A-Z]", "").alias("_seg")).distinct()
-    hits = (contains_join(texts, "_seg", needles, "_end", [state]).groupBy(state, "_num", road, "_ours", "_seg", "_need")
-            .agg(F.count(F.lit(1)).alias("_got")).filter(F.col("_got") == F.col("_need")))
+    # Names are looked for as texts: each end once in each segment name of its state, however many roads or numbers bear it.
+    listed = register.select(state, number, F.array_sort(F.array_distinct(terminus_names(F.col(name)))).alias("_ends")).distinct()
+    needles = listed.filter(F.size("_ends") > 0).select(state, F.col(number).alias("_num"), "_ends", F.size("_ends").alias("_need"), F.explode("_ends").alias("_end"))
+    texts = cut(ours.select(state, F.col(number).alias("_ours"), F.regexp_replace(squash(unbracket(F.col(name))), "[^A-Z]", "").alias("_seg")).distinct())
+    met = cut(contains_join(texts.select(state, "_seg").distinct(), "_seg", needles.select(state, "_end").distinct(), "_end", [state]))
+    hits = (skew_join(needles, met, [state, "_end"]).groupBy(state, "_num", "_ends", "_seg", "_need").agg(F.count(F.lit(1)).alias("_got"))
+            .filter(F.col("_got") == F.col("_need")).select(state, "_num", "_seg").distinct().join(texts, [state, "_seg"]))
     per = hits.groupBy(state, F.col("_num").alias(number)).agg(
         F.max(F.col("_ours") == F.col("_num")).alias("_same"), F.max(F.col("_ours") != F.col("_num")).alias("_other"))
     have = ours.select(state, number).distinct().withColumn("_have", F.lit(True))
