@@ -177,3 +177,31 @@ def test_costs_keep_more_decimals_than_are_asked_for(spark):
     starts = spark.createDataFrame([(0, 0)], "task bigint, node bigint")
     far = {r.node: r.dist for r in R.shortest_paths(edges, starts).collect()}
     assert abs(far[400] - 400 * (0.1 + 4e-10)) < 1e-9
+
+
+def test_ends_look_in_wide_cells(spark, monkeypatch):
+    rows, join = [], R.skew_join
+
+    def counted(left, right, on, how="inner"):
+        rows.append((left.count(), right.count()))
+        return join(left, right, on, how)
+    monkeypatch.setattr(R, "skew_join", counted)
+    ends = spark.createDataFrame([("g", k, -100 + 0.00137 * (k // 2) + 0.00003 * (k % 2), 40 + 0.0009 * (k // 2 % 7)) for k in range(400)], "g string, end_id bigint, lon double, lat double")
+    assert {x.end_id: x.node for x in R.snap(ends, "g", 0.0002).collect()} == {k: k - k % 2 for k in range(400)}
+    assert rows[0][1] < 2 * rows[0][0]  # before: about ten cells for each end
+
+
+def test_two_cells_are_met_once(spark, monkeypatch):
+    nodes = [("g", k, -100 + 0.031 * (k * k % 97), 45 + 0.027 * (k * 31 % 89), k // 2, 4.0) for k in range(160)]
+    df = spark.createDataFrame(nodes, "g string, node bigint, lon double, lat double, comp bigint, _reach double")
+    again = df.select("*")
+    plain = lambda d: {(x.g, x.ca, x.cb): tuple(x._gap) for x in d.collect()}
+    met, join = [], R.skew_join
+    both = plain(R.closest_gaps(df, again, "g", 4.0))
+
+    def counted(left, right, on, how="inner"):
+        met.append(left.count())
+        return join(left, right, on, how)
+    monkeypatch.setattr(R, "skew_join", counted)
+    assert plain(R.closest_gaps(df, df, "g", 4.0)) == both and len(both) > 10
+    assert met[0] <= 8 * 160  # before: 21 cells for each

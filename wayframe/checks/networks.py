@@ -25,9 +25,9 @@ comps AS (SELECT n AS node, min(r) AS comp FROM around GROUP BY n)"""
 
 
 def network(t):
-    """Edges and nodes, each derived once for all their readers."""
+    """Edges, without their coordinates, and nodes, each derived once for all their readers."""
     edges, nodes = S.build_edges(cut(fragments(t)), "group_key", SNAP)
-    return cut(edges), cut(nodes)
+    return cut(edges.drop("coords")), cut(nodes)
 
 
 @query("G6_snapped_edges", f"WITH RECURSIVE {LEGS}, {_NODES} SELECT seg_id, a, b, round(km, 6) AS km FROM net")

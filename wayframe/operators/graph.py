@@ -24,6 +24,8 @@ MAX_ROUNDS = 10_000
 COST_UNITS = 1e13
 # Nodes with more neighbours are not contracted: their shortcuts would outnumber their edges by too much.
 MOST_NEIGHBOURS = 4
+# Width of the cells in which ends look for each other, in tolerances.
+SNAP_CELLS = 8
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -77,10 +79,12 @@ def snap(ends: DataFrame, group: str, snap_deg: float) -> DataFrame:
     named after, and lies at, its least end.
     """
     km = snap_deg * KM_PER_DEG
+    # Cells are so much wider than the reach that most ends stand in one; at the width of the reach each is written ten times.
+    size = SNAP_CELLS * snap_deg
     # Ends at the very same place are one before any pair is formed.
     spots = ends.groupBy(group, "lon", "lat").agg(F.min("end_id").alias("spot"))
     others = spots.select(group, F.col("spot").alias("other"), F.col("lon").alias("olon"), F.col("lat").alias("olat"))
-    pairs = skew_join(in_cell(spots, snap_deg), around(others, snap_deg, km, "olon", "olat"), [group, "_cx", "_cy"]).filter(
+    pairs = skew_join(in_cell(spots, size), around(others, size, km, "olon", "olat"), [group, "_cx", "_cy"]).filter(
         (F.col("spot") < F.col("other")) & (haversine(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat")) <= km))
     named = label_nodes(spots, pairs.select(F.col("spot").alias("a"), F.col("other").alias("b")), "spot")
     # The least end of a component is itself a spot, which gives the node its place.
@@ -141,8 +145,14 @@ def closest_gaps(start: DataFrame, ends: DataFrame, group: str, most_km: float)
     there = cell(ends, 0).select(group, F.col("comp").alias("cb"), F.col("_cx").alias("_bx"), F.col("_cy").alias("_by")).distinct()
     far = F.greatest(F.abs(F.col("_ay")), F.abs(F.col("_ay") + 1)) * size(0) + reach / 110
     wide = F.least(F.ceil(1 / F.greatest(F.cos(F.radians(F.least(far, F.lit(89.9)))), F.lit(0.01))), F.ceil(360 / size(0)))
-    near = here.withColumn("_bx", F.explode(F.sequence(F.col("_ax") - wide - 1, F.col("_ax") + wide + 1))).withColumn("_by", F.explode(F.sequence(F.col("_ay") - 1, F.col("_ay") + 1)))
-    pairs = skew_join(near, there, [group, "_bx", "_by"]).filter(F.col("ca") != F.col("cb"))
+    near = here.withColumn("_bx", F.explode(F.sequence(F.col("_ax") - wide, F.col("_ax") + wide))).withColumn("_by", F.explode(F.sequence(F.col("_ay") - 1, F.col("_ay") + 1)))
+    apart = F.col("ca") != F.col("cb")
+    if start is ends:  # each two cells are then met from one of them only
+        beyond = (F.col("_by") > F.col("_ay")) | ((F.col("_by") == F.col("_ay")) & (F.col("_bx") > F.col("_ax")))
+        level = (F.col("_by") == F.col("_ay")) & (F.col("_bx") == F.col("_ax"))
+        near = near.filter(beyond | level)
+        apart = apart & (~level | (F.col("ca") < F.col("cb")))
+    pairs = skew_join(near, there, [group, "_bx", "_by"]).filter(apart)
 
     def joined(pairs: DataFrame, a: DataFrame, b: DataFrame, kept: list[str]) -> DataFrame:
         """Pairs of cells with what lies in them on both sides, and its distance."""
@@ -189,7 +199,8 @@ def bridges(nodes: DataFrame, edges: DataFrame, group: str, budget_km: float, an
     found = []
     for step in steps:
         reached = lambda df: df.join(comps, "node").withColumn("_reach", F.col("_budget") * step)
-        cand, n = cut(closest_gaps(reached(start), reached(ends), group, budget_km * step), rows=F.count(F.lit(1)))
+        one = reached(start)
+        cand, n = cut(closest_gaps(one, reached(ends) if any_node else one, group, budget_km * step), rows=F.count(F.lit(1)))
         renamed = []
         while n["rows"]:
             ends_of = cand.select(F.col("ca").alias("c"), "*").unionByName(cand.select(F.col("cb").alias("c"), "*"))
