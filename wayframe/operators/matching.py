@@ -149,9 +149,9 @@ def number_verdicts(register: DataFrame, ours: DataFrame, state: str, number: st
     A register name agrees with one of our segment names that contains all its ends.
     """
     # Names are looked for as texts: each end once in each segment name of its state, however many roads or numbers bear it.
-    listed = register.select(state, number, F.array_sort(F.array_distinct(terminus_names(F.col(name)))).alias("_ends")).distinct()
+    listed = register.select(state, number, name).distinct().select(state, number, F.array_sort(F.array_distinct(terminus_names(F.col(name)))).alias("_ends")).distinct()
     needles = listed.filter(F.size("_ends") > 0).select(state, F.col(number).alias("_num"), "_ends", F.size("_ends").alias("_need"), F.explode("_ends").alias("_end"))
-    texts = cut(ours.select(state, F.col(number).alias("_ours"), F.regexp_replace(squash(unbracket(F.col(name))), "[^A-Z]", "").alias("_seg")).distinct())
+    texts = cut(ours.select(state, number, name).distinct().select(state, F.col(number).alias("_ours"), F.regexp_replace(squash(unbracket(F.col(name))), "[^A-Z]", "").alias("_seg")).distinct())
     met = cut(contains_join(texts.select(state, "_seg").distinct(), "_seg", needles.select(state, "_end").distinct(), "_end", [state]))
     hits = (skew_join(needles, met, [state, "_end"]).groupBy(state, "_num", "_ends", "_seg", "_need").agg(F.count(F.lit(1)).alias("_got"))
             .filter(F.col("_got") == F.col("_need")).select(state, "_num", "_seg").distinct().join(texts, [state, "_seg"]))
