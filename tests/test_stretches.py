@@ -29,6 +29,45 @@ def laid(p, legs):
     return None if best is None else best[1]
 
 
+def test_flagged_stretches_reach_beyond_what_is_named(spark):
+    t = Tables(spark, FOLDER)
+    got = {r["seg_id"]: r["flagged"] for r in QUERIES["G24_flagged_stretches"](spark, FOLDER).collect()}
+    named = {r["o_orderkey"]: r["o_orderpriority"] == "1-URGENT" for r in t.orders.collect()}
+    roads = {}
+    for r in t.vertices.collect():
+        roads.setdefault(r["group_key"], {}).setdefault(r["seg_id"], {})[r["i"]] = (r["lon"], r["lat"])
+    want = {}
+    for segs in roads.values():
+        spots = {}
+        for s in sorted(segs):
+            if (s // 13) % 6:
+                for i, p in segs[s].items():
+                    spots.setdefault(s % 13 * 5 + (4 - i if s % 2 else i), p)
+        legs, at = [], 0.0
+        for n in sorted(spots):
+            if n - 1 in spots:
+                d = hav(spots[n - 1], spots[n])
+                legs.append((spots[n - 1], spots[n], at, at + d))
+                at += d
+        spans = []
+        for s in segs:
+            ends = [laid(segs[s][i], legs) for i in (0, 4)] if named[s] else [None]
+            if None not in ends:
+                spans.append((min(ends), max(ends)))
+        merged = []
+        for lo, hi in sorted(spans):
+            if merged and lo - merged[-1][1] < 25:
+                merged[-1][1] = max(merged[-1][1], hi)
+            else:
+                merged.append([lo, hi])
+        merged = [(0 if lo < 25 else lo, at if at - hi < 25 else hi) for lo, hi in merged]
+        for s in segs:
+            m = laid(segs[s][2], legs)
+            want[s] = named[s] if m is None else any(lo - 0.05 <= m <= hi + 0.05 for lo, hi in merged)
+    assert got == want
+    assert any(got[s] and not named[s] for s in got)
+
+
 def test_both_points_of_a_cut_meet_the_legs_in_one_join(spark, monkeypatch):
     calls, plain = [], S.near_legs
     monkeypatch.setattr(S, "near_legs", lambda *a, **k: calls.append(1) or plain(*a, **k))

@@ -171,12 +171,16 @@ def cut_over_two_lines(t):
 
 @query("G24_flagged_stretches")
 def flagged_stretches(t):
-    f = cut(fragments(t))
-    main = L.chainage(vertices(t).filter(F.col("seg_id") >= 0), ["seg_id", "group_key"])
-    # Every fragment is its own mainline here; a fragment is named if its order is urgent.
+    """A customer's road is named where an order is urgent: the stretches between and around such fragments."""
+    v = vertices(t)
+    slot, branch = F.col("seg_id") % 13, F.floor(F.col("seg_id") / 13) % 6 == 0
+    # The mainline runs east, with the least fragment of each slot that is no branch; a missing slot has no length.
+    east = F.when(F.col("seg_id") % 2 == 1, 4 - F.col("seq")).otherwise(F.col("seq"))
+    placed = v.filter(~branch).select(F.col("group_key").alias("road"), "seg_id", (slot * 5 + east).alias("seq"), "lon", "lat")
+    main = cut(L.chainage(first_by(placed, ["road", "seq"], ["seg_id"], ["lon", "lat"]), ["road"]).drop("km"))
     named = t.orders.select(F.col("o_orderkey").alias("seg_id"), (F.col("o_orderpriority") == "1-URGENT").alias("named"))
-    parts = f.join(named, "seg_id").withColumn("road", F.col("seg_id"))
-    return S.flag_stretches(parts, main.withColumn("road", F.col("seg_id")).drop("seg_id", "group_key"), F.col("named"), "road")
+    parts = cut(fragments(t).withColumnRenamed("group_key", "road").join(named, "seg_id"))
+    return S.flag_stretches(parts, main, F.col("named"), "road")
 
 
 @query("G24_named_stretches", f"""WITH k AS (SELECT group_key, seg_id, slot, {hav('ax', 'ay', 'bx', 'by')} AS k FROM highways),

@@ -499,25 +499,25 @@ def flag_stretches(parts: DataFrame, mainline: DataFrame, named: Column, key: st
     fragments give intervals along the mainline, merged over gaps shorter than
     ``close_km`` and drawn out to ends that near; a fragment belongs if its middle does.
     """
-    def projected(points: DataFrame, ids: list[str]) -> DataFrame:
-        hits = near_legs(points, mainline, near_km, [key], metric="flat")
-        spot = project(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-        return first_by(hits.withColumn("_at", F.col("from_km") + (F.col("to_km") - F.col("from_km")) * spot["t"]), ids, ["dist", "_at"], ["_at"])
-
     total = mainline.groupBy(key).agg(F.max("to_km").alias("_total"))
     tip = lambda c: F.struct(c["lon"].alias("lon"), c["lat"].alias("lat"))
-    ends = parts.filter(named).select(key, "seg_id", F.posexplode(F.array(tip(F.element_at("coords", 1)), tip(F.element_at("coords", -1)))).alias("e", "c")).select(key, "seg_id", "e", "c.lon", "c.lat")
-    spans = (projected(ends, [key, "seg_id", "e"]).groupBy(key, "seg_id").agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"), F.count(F.lit(1)).alias("_n"))
+    # The ends of what is named and the middles of all are laid on the mainline in one join, in cells so wide that legs stand in few.
+    middle = F.get("coords", F.floor(F.size("coords") / 2).cast("int"))
+    points = (parts.select(key, "seg_id", F.coalesce(named, F.lit(False)).alias("_named"), F.posexplode(F.array(tip(F.element_at("coords", 1)), tip(F.element_at("coords", -1)), tip(middle))).alias("e", "c"))
+              .filter((F.col("e") == 2) | F.col("_named")).select(key, "seg_id", "e", "c.lon", "c.lat"))
+    hits = near_legs(points, mainline, near_km, [key], size=near_km / 20, metric="flat")
+    spot = project(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    laid = cut(first_by(hits.withColumn("_at", F.col("from_km") + (F.col("to_km") - F.col("from_km")) * spot["t"]), [key, "seg_id", "e"], ["dist", "_at"], ["_at"]))
+    spans = (laid.filter("e < 2").groupBy(key, "seg_id").agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"), F.count(F.lit(1)).alias("_n"))
              .filter(F.col("_n") == 2))
     merged = merge_intervals(spans, [key], "lo", "hi", close_km).join(total, key)
     merged = merged.withColumn("lo", F.when(F.col("lo") < close_km, 0.0).otherwise(F.col("lo"))).withColumn(
         "hi", F.when(F.col("_total") - F.col("hi") < close_km, F.col("_total")).otherwise(F.col("hi")))
-    middle = F.get("coords", F.floor(F.size("coords") / 2).cast("int"))
-    mids = projected(parts.select(key, "seg_id", middle["lon"].alias("lon"), middle["lat"].alias("lat")), [key, "seg_id"])
     # Merged stretches of one road lie ``close_km`` apart, so few meet a fragment's road.
-    inside = mids.join(merged, key).filter(F.col("_at").between(F.col("lo") - 0.05, F.col("hi") + 0.05)).select(key, "seg_id").distinct().withColumn("_in", F.lit(True))
-    off = parts.join(mids.select(key, "seg_id", F.lit(True).alias("_on")), [key, "seg_id"], "left").join(inside, [key, "seg_id"], "left")
-    return off.select(key, "seg_id", F.when(F.col("_on").isNull(), named).otherwise(F.coalesce("_in", F.lit(False))).alias("flagged"))
+    inside = F.coalesce(F.col("_at").between(F.col("lo") - 0.05, F.col("hi") + 0.05), F.lit(False))
+    mids = laid.filter("e = 2").join(merged, key, "left").groupBy(key, "seg_id").agg(F.max(inside).alias("_in"))
+    return parts.select(key, "seg_id", named.alias("_named")).join(mids, [key, "seg_id"], "left").select(
+        key, "seg_id", F.when(F.col("_in").isNull(), F.col("_named")).otherwise(F.col("_in")).alias("flagged"))
 
 
 def split_groups(segments: DataFrame, flags: DataFrame, key: str, suffix: str) -> DataFrame:
