@@ -96,9 +96,8 @@ def resample(vertices: DataFrame, keys: list[str], step_km: float) -> DataFrame:
 
 def sample_evenly(vertices: DataFrame, keys: list[str], n: int) -> DataFrame:
     """G-2: ``n`` evenly spaced points, ends included."""
-    along = chainage(vertices, keys)
-    total = along.groupBy(*keys).agg(F.max("to_km").alias("_total"), F.max("seq").alias("_last")).filter(F.col("_total") > 0)
-    return _points_at(skew_join(along, total, keys), keys, F.col("_total") / (n - 1), n)
+    along = running_sum(_legs_in_blocks(vertices, keys), keys, "seq", "km", "to_km", before="from_km", block="_block", total="_total", last="_last")
+    return _points_at(along.filter(F.col("_total") > 0), keys, F.col("_total") / (n - 1), n)
 
 
 def _points_at(along: DataFrame, keys: list[str], step: Column, n: int | None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import KM_PER_MI, band, cover, js_round, null_if_zero, percent, step_round
-from .ordered import carry, quantiles, running_sum
+from .ordered import BLOCK, carry, quantiles, running_sum
 
 # Reporting step of each measure.
 STEPS = {"aadt": 100, "truck": 10, "iri": 1, "lanes": 0.1, "speed": 1, "rutting": 0.01, "cracking": 0.1}
@@ -301,9 +301,11 @@ def climb(profile: DataFrame, route: str, seq: str, height: str) -> DataFrame:
             .agg(F.max(height).alias("high"), F.min(height).alias("low"), F.round(F.sum(F.coalesce(rise, F.lit(0.0))), 4).alias("climb")))
 
 
-def fill_gaps(profile: DataFrame, route: str, seq: str, height: str) -> DataFrame:
-    """W-5: missing samples interpolated between their banks, never below zero."""
-    both = carry(carry(profile, [route], seq, height, "_a"), [route], seq, height, "_b", forward=False)
+def fill_gaps(profile: DataFrame, route: str, seq: str, height: str, block: int | str = BLOCK) -> DataFrame:
+    """W-5: missing samples interpolated between their banks, never below zero.  ``block`` as for :func:`carry`."""
+    blocked = profile if block == "_block" else profile.withColumn("_block", F.floor(F.col(seq) / block))
+    both = carry(carry(blocked, [route], seq, height, "_a", block="_block"), [route], seq, height, "_b", forward=False, block="_block")
+    both = both if block == "_block" else both.drop("_block")
     a, b = F.coalesce(F.col("_a.value"), F.col("_b.value"), F.lit(0.0)), F.coalesce(F.col("_b.value"), F.col("_a.value"), F.lit(0.0))
     # A gap at an end has one bank only and stays level with it.
     span = F.col("_b.seq") - F.col("_a.seq")

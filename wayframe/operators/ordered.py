@@ -130,11 +130,12 @@ def quantiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple
 
 
 def running_sum(df: DataFrame, keys: list[str], seq: str, value: str, name: str, before: str | None = None,
-                block: int | str = BLOCK) -> DataFrame:
+                block: int | str = BLOCK, total: str | None = None, last: str | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` in the order of the whole number ``seq`` (P-4, A-30, A-31).
 
     ``before`` names a column for the sum up to the row before, equal to what that row got.  ``block`` is how many
-    numbers of ``seq`` make a block, or "_block" if the rows have that column already.
+    numbers of ``seq`` make a block, or "_block" if the rows have that column already.  ``total`` and ``last``
+    name columns for the key's greatest running sum and ``seq``, which come with the few block results.
     """
     keys, extra = _keyed(keys, seq)
     row = W.partitionBy(*keys, "_block").orderBy(seq)
@@ -143,8 +144,12 @@ def running_sum(df: DataFrame, keys: list[str], seq: str, value: str, name: str,
               .withColumn("_in", F.sum(value).over(row.rowsBetween(W.unboundedPreceding, W.currentRow))))
     # A block's total is its last running sum, so the next block starts from the very number at which this one ends.
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = (inside.groupBy(*keys, "_block").agg(F.max_by("_in", seq).alias("_bw"))
-              .withColumn("_start", F.coalesce(F.sum("_bw").over(earlier), F.lit(0.0))).drop("_bw"))
+    starts = (inside.groupBy(*keys, "_block").agg(F.max_by("_in", seq).alias("_bw"), *([F.max(seq).alias("_seq")] if last else []))
+              .withColumn("_start", F.coalesce(F.sum("_bw").over(earlier), F.lit(0.0))))
+    whole = W.partitionBy(*keys)
+    starts = starts.withColumn(total, F.max(F.col("_start") + F.col("_bw")).over(whole)) if total else starts
+    starts = starts.withColumn(last, F.max("_seq").over(whole)) if last else starts
+    starts = starts.drop("_bw", "_seq")
     summed = inside.join(starts, [*keys, "_block"]).withColumn(name, F.col("_in") + F.col("_start"))
     if before:
         summed = summed.withColumn(before, F.coalesce(F.lag(name).over(row), F.col("_start")))
@@ -152,12 +157,13 @@ def running_sum(df: DataFrame, keys: list[str], seq: str, value: str, name: str,
 
 
 def carry(df: DataFrame, keys: list[str], seq: str, value: str, name: str, forward: bool = True,
-          block: int = BLOCK) -> DataFrame:
+          block: int | str = BLOCK) -> DataFrame:
     """Last stated ``value`` at or before each row (or the next one at or after it) (W-5, P-39).
 
-    The result is struct(seq, value) of the row it came from, null where there is none.
+    The result is struct(seq, value) of the row it came from, null where there is none.  With "_block" for ``block``
+    the rows have that column and keep it, so that one carry after another needs no shuffle of its own.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(seq) / block)).withColumn(
+    blocked = (df if block == "_block" else df.withColumn("_block", F.floor(F.col(seq) / block))).withColumn(
         "_own", F.when(F.col(value).isNotNull(), F.struct(F.col(seq).alias("seq"), F.col(value).alias("value"))))
     edge, pick = (W.unboundedPreceding, F.last) if forward else (0, F.first)
     frame = (edge, 0) if forward else (0, W.unboundedFollowing)
@@ -169,7 +175,7 @@ def carry(df: DataFrame, keys: list[str], seq: str, value: str, name: str, forwa
     inside = W.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(*frame)
     return (blocked.withColumn("_in", pick("_own", ignorenulls=True).over(inside))
             .join(starts, [*keys, "_block"])
-            .withColumn(name, F.coalesce("_in", "_carried")).drop("_in", "_carried", "_own", "_block"))
+            .withColumn(name, F.coalesce("_in", "_carried")).drop("_in", "_carried", "_own", *([] if block == "_block" else ["_block"])))
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

@@ -11,7 +11,8 @@ from ..functions.numbers import js_round, null_if_redundant, year_in
 from ..functions.text import other_names
 from ..operators import attach, grid, identity, measures, statistics
 from ..operators.lines import sample_evenly
-from ..operators.ordered import carry
+from ..operators.ordered import BLOCK, carry
+from ..runtime import cut
 from ..sources.readers import edition_fallback, require_columns
 
 FEET = 3.280839895
@@ -97,9 +98,11 @@ def elevation_profiles(vertices: DataFrame, pixels: DataFrame, key: str, samples
     water = (F.col("metres") < 0) & ~(F.lit(False) if dry is None else dry)
     # What a sample reads: a height, water, or nothing.
     read = F.when(F.col("metres").isNotNull(), F.struct(water.alias("water"), js_round(F.col("metres") * FEET).cast("double").alias("ft")))
-    kept = carry(found.withColumn("_r", read), [key], "n", "_r", "_c").select(key, "n", F.coalesce("_r", F.col("_c.value")).alias("_r"))
+    # What was read is written once, and the three passes along the routes share its blocks.
+    rows = cut(found.select(key, "n", F.floor(F.col("n") / BLOCK).alias("_block"), read.alias("_r")))
+    kept = carry(rows, [key], "n", "_r", "_c", block="_block").select(key, "n", "_block", F.coalesce("_r", F.col("_c.value")).alias("_r"))
     ft = F.when(F.col("_r").isNull(), 0.0).when(~F.col("_r.water"), F.col("_r.ft"))
-    filled = measures.fill_gaps(kept.select(key, "n", ft.alias("h")), key, "n", "h")
+    filled = measures.fill_gaps(kept.select(key, "n", "_block", ft.alias("h")), key, "n", "h", block="_block")
     return filled.select(key, "n", F.col("filled").alias("ft"))
 
 
